@@ -84,6 +84,58 @@ def _hour_ctr(fn) -> Query:
     return _on(lambda L: fn(L.gold("gold_hourly_trends"), reports.Filters(channels=CHANNELS)))
 
 
+def _fresh_warehouse(spark: SparkSession, label: str):
+    import uuid
+
+    from adpulse.session import scratch_path
+    from adpulse.sources.warehouse import Warehouse
+    name = f"{label}_{uuid.uuid4().hex[:10]}"
+    return Warehouse(spark, database=name, location=scratch_path(spark, name))
+
+
+def _date_span(df: DataFrame) -> tuple:
+    """(min, max) date of a source: two scalars, the job's parameters."""
+    from pyspark.sql import functions as F
+    r = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    return r["lo"], r["hi"]
+
+
+def _incremental_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full bronze load, then the latest date replaced again (D-1 style).
+
+    The end state must equal the source: replacing a slice is idempotent.
+    """
+    from adpulse.operators.common import drop_audit
+    from adpulse.plans import pipeline
+    wh = _fresh_warehouse(spark, "incremental")
+    src = driver_sources(spark, sf_dir)
+    pipeline.ingest_bronze(wh, src, "b1")
+    _, hi = _date_span(src["bronze_ads_performance"])
+    pipeline.ingest_bronze_dates(wh, src, [hi], "b2")
+    return drop_audit(wh.read("bronze_ads_performance"))
+
+
+def _backfill_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full pipeline, then a backfill over the whole date span; gold must not change."""
+    from adpulse.plans import pipeline
+    wh = _fresh_warehouse(spark, "backfill")
+    src = driver_sources(spark, sf_dir)
+    b = "b1"
+    pipeline.ingest_bronze(wh, src, b)
+    pipeline.build_silver(wh, b)
+    pipeline.build_gold(wh)
+    lo, hi = _date_span(src["bronze_ads_performance"])
+    pipeline.backfill(wh, src, lo, hi, "b2")
+    return wh.read("gold_channel_daily").drop("_loaded_at")
+
+
+def _warehouse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adpulse.plans import pipeline
+    wh = _fresh_warehouse(spark, "inventory")
+    pipeline.run_full(wh, driver_sources(spark, sf_dir), batch_id=BATCH_ID, as_of=AS_OF)
+    return wh.inventory()
+
+
 CD, CH = "gold_campaign_daily", "gold_channel_daily"
 
 QUERIES: dict[str, Query] = {
@@ -122,4 +174,7 @@ QUERIES: dict[str, Query] = {
     "dq_freshness": _checks("freshness"),
     "dq_suite": _checks(None),
     "dq_summary": _on(_summary),
+    "incremental_replace": _incremental_replace,
+    "backfill_range": _backfill_range,
+    "warehouse_inventory": _warehouse_inventory,
 }

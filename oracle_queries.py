@@ -413,4 +413,24 @@ def oracle_sql() -> dict[str, str]:
     }
     q.update(_reports())
     q.update(_quality())
+    q["incremental_replace"] = with_([ADS], """
+SELECT date, hour, campaign_id, adgroup_id, channel, impressions, clicks, spend, conversions, revenue FROM ads""")
+    q["backfill_range"] = with_(_gold(GOLD_CHANNEL), "SELECT * FROM gold_channel_daily")
+    counts = [
+        ("bronze_adgroups", "adgroups"), ("bronze_ads_performance", "ads"), ("bronze_campaigns", "campaigns"),
+        ("bronze_ga_events", "ga"), ("gold_campaign_daily", "gold_campaign_daily"),
+        ("gold_channel_daily", "gold_channel_daily"), ("gold_funnel_summary", "gold_funnel_summary"),
+        ("gold_hourly_trends", "gold_hourly_trends"), ("quality_check_results", "dq"),
+        ("silver_ads_performance", "silver_ads"), ("silver_ga_events", "silver_ga"),
+        ("stage_ads_hourly", "stage_ads_hourly"),
+    ]
+    layer = ("CASE WHEN t LIKE 'bronze%' THEN 'BRONZE' WHEN t LIKE 'silver%' THEN 'SILVER' "
+             "WHEN t LIKE 'gold%' THEN 'GOLD' ELSE 'SYSTEM' END")
+    union = "\nUNION ALL ".join(f"SELECT '{t}' AS t, COUNT(*) AS n FROM {v}" for t, v in counts)
+    stage = ("stage_ads_hourly AS (SELECT date, hour, campaign_id, campaign_name, channel, objective "
+             "FROM silver_ads GROUP BY ALL)")
+    q["warehouse_inventory"] = with_(
+        _ADS_CHAIN + [GA, SILVER_GA, GOLD_CAMPAIGN, GOLD_CHANNEL, GOLD_FUNNEL, GOLD_HOURLY, stage,
+                      f"dq AS ({quality_sql(standard_suite())})"],
+        f"SELECT t AS table_name, CAST(n AS BIGINT) AS row_count, {layer} AS layer FROM ({union}) c")
     return q
