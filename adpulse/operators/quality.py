@@ -68,6 +68,15 @@ def _row(name, ctype: str, table: str, column, status: Column, metric: Column, t
     )
 
 
+_ROW_TYPE = ("array<struct<check_name:string,check_type:string,table_name:string,column_name:string,"
+             "status:string,metric_value:double,threshold:double,details:string>>")
+
+
+def _rows(items: list[Column]) -> Column:
+    """array<struct> of result rows; typed even when empty."""
+    return F.array(*items) if items else F.array().cast(_ROW_TYPE)
+
+
 def _py_num(v) -> str:
     """How the reference prints a bound: Python ``str`` of the value."""
     return str(v)
@@ -105,7 +114,7 @@ class _Compiler:
             ))
         empty = _row("completeness", "completeness", self.table, "*", F.lit("FAIL"), F.lit(0.0), 0,
                      F.lit("Null count impossible: Table is empty"))
-        self.rows.append(F.when(n == 0, F.array(empty)).otherwise(F.array(*per_col)))
+        self.rows.append(F.when(n == 0, F.array(empty)).otherwise(_rows(per_col)))
 
     def _non_negative(self, c: Check) -> None:
         out = []
@@ -117,7 +126,7 @@ class _Compiler:
                 F.when(F.col(a) == 0, "PASS").otherwise("FAIL"), F.col(a), 0,
                 F.concat(F.lit("Illegal negative values detected ("), thousands(F.col(a)), F.lit(" instances)")),
             ))
-        self.rows.append(F.array(*out))
+        self.rows.append(_rows(out))
 
     def _range(self, c: Check) -> None:
         col = c.columns[0]
@@ -196,7 +205,7 @@ class _Compiler:
                 F.concat(F.lit("Outlier density: "), fixed(pct * 100.0, 2), F.lit("% ("), thousands(F.col(out)), F.lit(" rows)")),
             )
             self.rows.append(
-                F.when(F.col(cnt) == 0, F.array().cast("array<struct<check_name:string,check_type:string,table_name:string,column_name:string,status:string,metric_value:double,threshold:double,details:string>>"))
+                F.when(F.col(cnt) == 0, _rows([]))
                 .when(F.col(sd) == 0, F.array(flat))
                 .otherwise(F.array(scored))
             )

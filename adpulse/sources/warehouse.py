@@ -33,7 +33,7 @@ class Warehouse:
         return f"{_q(self.database)}.{_q(table)}"
 
     def exists(self, table: str) -> bool:
-        return self.spark.catalog.tableExists(table, self.database)
+        return self.spark.catalog.tableExists(f"{self.database}.{table}")
 
     def tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database))
