@@ -42,5 +42,9 @@ FACT_TABLES = ["bronze_ads_performance", "bronze_ga_events"]
 GOLD_TABLES = ["gold_campaign_daily", "gold_channel_daily", "gold_hourly_trends", "gold_funnel_summary"]
 RESULTS_TABLE = "quality_check_results"
 
+# Average rows per day at which a fact table is partitioned by day rather
+# than by month (about 100 MB of Parquet per daily partition).
+DAILY_PARTITION_ROWS = 1_000_000
+
 # Largest dimension (rows) that may be broadcast to every executor.
 BROADCAST_MAX_ROWS = 1_000_000

@@ -64,18 +64,17 @@ def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: lis
 def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> None:
     """silver_ads_performance (whole or for ``dates``) and silver_ga_events (whole)."""
     if wh.exists("bronze_ads_performance"):
-        bronze = wh.read("bronze_ads_performance")
-        if dates is not None:
-            bronze = slice_dates(bronze, dates)
+        bronze = wh.read("bronze_ads_performance") if dates is None else wh.read_dates("bronze_ads_performance", dates)
         ads = silver.transform_ads(bronze, wh.read("bronze_campaigns"), wh.read("bronze_adgroups"))
         ads = with_audit(ads, batch_id)
         if dates is None or not wh.exists("silver_ads_performance"):
-            wh.replace("silver_ads_performance", ads, partition_by="date")
+            wh.replace("silver_ads_performance", ads, partition_by="date",
+                       grain=wh.grain_of("bronze_ads_performance"))
         else:
             wh.replace_dates("silver_ads_performance", ads, dates)
     if wh.exists("bronze_ga_events"):
         ev = with_audit(silver.transform_events(wh.read("bronze_ga_events")), batch_id)
-        wh.replace("silver_ga_events", ev, partition_by="date")
+        wh.replace("silver_ga_events", ev, partition_by="date", grain=wh.grain_of("bronze_ga_events"))
 
 
 # ---------------------------------------------------------------- gold
@@ -83,12 +82,10 @@ def build_gold(wh: Warehouse, dates: list | None = None) -> None:
     """Hourly rollup of silver (whole or for ``dates``), then the four gold tables from it."""
     if not wh.exists("silver_ads_performance"):
         return
-    s = wh.read("silver_ads_performance")
-    if dates is not None:
-        s = slice_dates(s, dates)
+    s = wh.read("silver_ads_performance") if dates is None else wh.read_dates("silver_ads_performance", dates)
     roll = gold.rollup(s)
     if dates is None or not wh.exists(ROLLUP_TABLE):
-        wh.replace(ROLLUP_TABLE, roll, partition_by="date")
+        wh.replace(ROLLUP_TABLE, roll, partition_by="date", grain=wh.grain_of("silver_ads_performance"))
     else:
         wh.replace_dates(ROLLUP_TABLE, roll, dates)
     base = wh.read(ROLLUP_TABLE)

@@ -1,9 +1,18 @@
 """Warehouse: one catalog database of Parquet tables at a shared location.
 
-Fact tables are partitioned by ``date``; a date slice is replaced with
-dynamic partition overwrite, and dates left without rows are dropped as
-partitions (a DELETE that inserts nothing).  Writes go through Spark's
-commit protocol, so a lost executor only reruns its tasks.
+Fact tables are partitioned by time.  The grain follows volume: a table
+whose days hold at least ``DAILY_PARTITION_ROWS`` rows on average is
+partitioned by ``date``; a smaller one by ``date_month`` (first day of the
+month), so small tables do not explode into one tiny file per day.  The
+choice is made once, when the table is first written, from a one-column
+scan, and is recorded by the schema itself (``date_month`` present or not).
+
+A date slice is replaced with dynamic partition overwrite: under the daily
+grain the slice's partitions are rewritten directly; under the monthly
+grain the affected months are rewritten as (old rows outside the slice) +
+(new rows).  Partitions left without rows are dropped (a DELETE that
+inserts nothing).  Writes go through Spark's commit protocol, so a lost
+executor only reruns its tasks.
 """
 
 from __future__ import annotations
@@ -12,19 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adpulse.config import DAILY_PARTITION_ROWS
 from adpulse.functions.exprs import layer_of
 from adpulse.session import configure, shared_dir
 
+MONTH_COL = "date_month"
+
 
 def _q(name: str) -> str:
     return f"`{name}`"
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, database: str = "adpulse", location: str | None = None):
+    def __init__(self, spark: SparkSession, database: str = "adpulse", location: str | None = None,
+                 grain: str | None = None):
+        """``grain`` forces "day" or "month" for new time-partitioned tables; None decides by volume."""
         configure(spark)
         self.spark = spark
         self.database = database
+        self.grain = grain
         self.location = (location or f"{shared_dir(spark)}/warehouse/{database}").rstrip("/")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)} LOCATION '{self.location}'")
 
@@ -38,9 +53,33 @@ class Warehouse:
     def tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database))
 
-    def read(self, table: str) -> DataFrame:
+    def _raw(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
+    def read(self, table: str) -> DataFrame:
+        df = self._raw(table)
+        return df.drop(MONTH_COL) if MONTH_COL in df.columns else df
+
+    def read_dates(self, table: str, dates: list) -> DataFrame:
+        """Rows of ``dates`` with partition pruning under either grain."""
+        from adpulse.sources.extracts import slice_dates
+
+        df = self._raw(table)
+        if MONTH_COL in df.columns:
+            months = sorted({_month(d) for d in dates})
+            df = df.where(F.col(MONTH_COL).isin([F.lit(str(m)).cast("date") for m in months])).drop(MONTH_COL)
+        return slice_dates(df, dates)
+
+    def grain_of(self, table: str) -> str:
+        return "month" if MONTH_COL in self._raw(table).columns else "day"
+
+    def _choose_grain(self, df: DataFrame) -> str:
+        """Daily partitions only when days are large; reads just the ``date`` column."""
+        if self.grain:
+            return self.grain
+        r = df.select("date").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("d")).first()
+        return "day" if r["d"] and r["n"] / r["d"] >= DAILY_PARTITION_ROWS else "month"
+
     def read_or_empty(self, table: str, schema: T.StructType) -> DataFrame:
         """The table, or an empty frame of ``schema`` when it does not exist."""
         if self.exists(table):
@@ -86,36 +125,73 @@ class Warehouse:
         return out.sortWithinPartitions(partition_by, *sort_by) if sort_by else out
 
     def replace(self, table: str, df: DataFrame, partition_by: str | None = None,
-                sort_by: list[str] | None = None) -> None:
-        """Idempotent full replace of ``table`` with ``df`` (DROP + CREATE AS SELECT)."""
+                sort_by: list[str] | None = None, grain: str | None = None) -> None:
+        """Idempotent full replace of ``table`` with ``df`` (DROP + CREATE AS SELECT).
+
+        ``partition_by="date"`` asks for time partitioning at ``grain``; by
+        default the existing table's grain, else one chosen by volume.  Derived
+        tables pass their upstream table's grain, so their plan runs once.
+        """
+        if partition_by == "date":
+            if grain is None:
+                grain = self.grain_of(table) if self.exists(table) else self._choose_grain(df)
+            if grain == "month":
+                df, partition_by = df.withColumn(MONTH_COL, F.trunc("date", "MM")), MONTH_COL
         w = self._clustered(df, partition_by, sort_by).write.mode("overwrite").format("parquet")
         if partition_by:
             w = w.partitionBy(partition_by)
         w.saveAsTable(self.name(table))
 
     def replace_dates(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None = None) -> None:
-        """Replace the ``dates`` slice of a date-partitioned table with ``df``.
+        """Replace the ``dates`` slice of a time-partitioned table with ``df``.
 
-        ``df`` must only hold rows of ``dates``.  Partitions present in ``df``
-        are overwritten (dynamic mode); dates in ``dates`` that ``df`` leaves
-        empty are dropped, so the slice ends exactly as ``df``.
+        ``df`` must only hold rows of ``dates``; afterwards the slice holds
+        exactly ``df`` and every other date is untouched.
         """
-        target = self.read(table)
-        ordered = df.select(*target.columns)
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        self._clustered(ordered, "date", sort_by).write.insertInto(self.name(table), overwrite=True)
+        if self.grain_of(table) == "month":
+            self._replace_months(table, df, dates, sort_by)
+            return
+        target = self._raw(table)
+        self._clustered(df.select(*target.columns), "date", sort_by).write.insertInto(self.name(table), overwrite=True)
         # Dates of the slice that got no new rows but still hold old ones are
         # dropped.  Both sets are bounded by the number of dates.
         present = {r[0] for r in df.select("date").distinct().collect()}
-        stale = sorted((set(self.partition_dates(table)) & {_as_date(d) for d in dates}) - present)
+        self._drop_partitions(table, "date", (set(self.partition_values(table, "date")) & {_as_date(d) for d in dates}) - present)
+
+    def _replace_months(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None) -> None:
+        """Monthly grain: rewrite each touched month as old-outside-slice + new.
+
+        Dynamic overwrite stages the output and swaps whole month partitions
+        at commit, so reading the old rows of those months in the same job
+        is safe.
+        """
+        target = self._raw(table)
+        months = sorted({_month(d) for d in dates})
+        month_lits = [F.lit(str(m)).cast("date") for m in months]
+        kept = target.where(F.col(MONTH_COL).isin(month_lits) & ~_in_dates(dates)).drop(MONTH_COL)
+        data_cols = [c for c in target.columns if c != MONTH_COL]
+        merged = kept.unionByName(df.select(*data_cols)).withColumn(MONTH_COL, F.trunc("date", "MM"))
+        self._clustered(merged.select(*target.columns), MONTH_COL, sort_by).write.insertInto(self.name(table), overwrite=True)
+        present = {r[0] for r in merged.select(MONTH_COL).distinct().collect()}
+        self._drop_partitions(table, MONTH_COL, (set(self.partition_values(table, MONTH_COL)) & set(months)) - present)
+
+    def _drop_partitions(self, table: str, column: str, values) -> None:
+        stale = sorted(values)
         for i in range(0, len(stale), 200):
-            specs = ", ".join(f"PARTITION (date = DATE '{d}')" for d in stale[i:i + 200])
+            specs = ", ".join(f"PARTITION ({column} = DATE '{d}')" for d in stale[i:i + 200])
             self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {specs}")
 
-    def partition_dates(self, table: str) -> list:
-        """Dates present as partitions of a date-partitioned table (catalog metadata only)."""
+    def partition_values(self, table: str, column: str) -> list:
+        """Values of a date-typed partition column (catalog metadata only)."""
         rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
-        return [_as_date(r[0].split("=", 1)[1]) for r in rows]
+        return [_as_date(r[0].split("=", 1)[1]) for r in rows if r[0].startswith(f"{column}=")]
+
+    def partition_dates(self, table: str) -> list:
+        """Dates that hold rows: partition values, or distinct dates under the monthly grain."""
+        if self.grain_of(table) == "day":
+            return self.partition_values(table, "date")
+        return [r[0] for r in self.read(table).select("date").distinct().collect()]
 
     def replace_where(self, table: str, df: DataFrame, column: str, value: str,
                       schema: T.StructType | None = None) -> None:
@@ -135,4 +211,19 @@ class Warehouse:
 
 def _as_date(d):
     import datetime as dt
+    if isinstance(d, dt.datetime):
+        return d.date()
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
+
+
+def _month(d):
+    return _as_date(d).replace(day=1)
+
+
+def _in_dates(dates: list):
+    """Predicate on ``date`` for a set of days (a BETWEEN when they are contiguous)."""
+    days = sorted({_as_date(d) for d in dates})
+    lo, hi = days[0], days[-1]
+    if (hi - lo).days + 1 == len(days):
+        return F.col("date").between(F.lit(str(lo)).cast("date"), F.lit(str(hi)).cast("date"))
+    return F.col("date").isin([F.lit(str(d)).cast("date") for d in days])
