@@ -89,6 +89,17 @@ class Warehouse:
     def row_count(self, table: str) -> int:
         return self.read(table).count()
 
+    def execute(self, sql: str, params: dict | list | None = None) -> DataFrame:
+        """Ad-hoc SQL in this database with bound parameters (``:name`` or ``?``)."""
+        self.spark.catalog.setCurrentDatabase(self.database)
+        return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
+
+    def execute_script(self, statements: list[str]) -> int:
+        """Run statements in order; they arrive as a list, so no ``;`` splitting is needed."""
+        for stmt in statements:
+            self.execute(stmt)
+        return len(statements)
+
     def inventory(self) -> DataFrame:
         """(table_name, row_count, layer) for every table, sorted by name.
 

@@ -1,0 +1,6 @@
+"""Streaming operators.
+
+The reference has no streaming, watermark, time window or stateful
+operator; late data is handled by re-running a date (``plans.pipeline``
+``run_incremental`` / ``backfill``).  Nothing is defined here.
+"""

@@ -137,3 +137,12 @@ def test_d_minus_1_uses_as_of(spark, full):
     before = _rows(drop_audit(wh.read("gold_channel_daily")))
     pipeline.run_d_minus_1(wh, src, as_of=dt.datetime(1998, 8, 3, 6, 0))
     assert _rows(drop_audit(wh.read("gold_channel_daily"))) == before
+
+
+def test_execute_with_parameters(full):
+    wh, _, _ = full
+    n = wh.execute("SELECT COUNT(*) AS n FROM gold_channel_daily WHERE channel = :ch", {"ch": "Google Ads"}).first().n
+    assert n == wh.read("gold_channel_daily").where(F.col("channel") == "Google Ads").count()
+    assert wh.execute_script(["CREATE TABLE IF NOT EXISTS scratch_t (x INT) USING parquet",
+                              "INSERT INTO scratch_t VALUES (1), (2)"]) == 2
+    assert wh.row_count("scratch_t") == 2
