@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adpulse.operators import gold, quality, reports, silver
+from adpulse.operators import gold, insights, quality, reports, silver
 from adpulse.sources.adapters import driver_sources
 
 BATCH_ID = "oracle_batch"
@@ -174,6 +174,10 @@ QUERIES: dict[str, Query] = {
     "dq_freshness": _checks("freshness"),
     "dq_suite": _checks(None),
     "dq_summary": _on(_summary),
+    "volume_vs_trailing_avg": _on(lambda L: insights.volume_vs_trailing_avg(L.silver_ads, "silver_ads_performance")),
+    "hourly_spikes": _on(lambda L: insights.hourly_spikes(L.silver_ads)),
+    "attribution_gap": _on(lambda L: insights.attribution_gap(L.silver_ga)),
+    "peak_conversion_hours": _on(lambda L: insights.peak_conversion_hours(L.gold("gold_hourly_trends"))),
     "incremental_replace": _incremental_replace,
     "backfill_range": _backfill_range,
     "warehouse_inventory": _warehouse_inventory,

@@ -120,19 +120,16 @@ class Warehouse:
     # -- writes --------------------------------------------------------------
     @staticmethod
     def _clustered(df: DataFrame, partition_by: str | None, sort_by: list[str] | None) -> DataFrame:
-        """Range-partition rows by (partition column, row hash) before a partitioned write.
+        """Shape rows for a partitioned write: ``REBALANCE`` on the partition column.
 
-        Each write task then holds a contiguous run of dates (few files per
-        date), and a date holding a large share of rows is split across many
-        tasks by the hash instead of landing in one.
+        Rows of one partition value meet in one task (one file per value),
+        and AQE splits a value holding a large share of the rows into
+        several tasks and packs small values together; unlike a range
+        repartition this needs no sampling pass over the upstream plan.
         """
         if partition_by is None:
             return df.sortWithinPartitions(*sort_by) if sort_by else df
-        spread = F.xxhash64(*[F.col(c) for c in df.columns])
-        # An explicit count (the session's shuffle width) keeps AQE from
-        # coalescing the write into a handful of tasks.
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = df.repartitionByRange(n, F.col(partition_by), spread)
+        out = df.hint("rebalance", partition_by)
         return out.sortWithinPartitions(partition_by, *sort_by) if sort_by else out
 
     def replace(self, table: str, df: DataFrame, partition_by: str | None = None,

@@ -413,6 +413,36 @@ def oracle_sql() -> dict[str, str]:
     }
     q.update(_reports())
     q.update(_quality())
+    q["volume_vs_trailing_avg"] = with_(_ADS_CHAIN + ["""daily AS (SELECT date, COUNT(*) AS row_count FROM silver_ads
+ WHERE date IS NOT NULL GROUP BY date)""", """w AS (SELECT date, row_count,
+ SUM(row_count) OVER (ORDER BY date_diff('day', DATE '1970-01-01', date) RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS s,
+ COUNT(row_count) OVER (ORDER BY date_diff('day', DATE '1970-01-01', date) RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS n
+ FROM daily)"""], """
+SELECT 'silver_ads_performance' AS table_name, date, CAST(row_count AS BIGINT) AS row_count,
+ CASE WHEN n = 0 THEN NULL ELSE CAST(s AS DOUBLE) / CAST(n AS DOUBLE) END AS trailing_avg,
+ CASE WHEN n = 0 THEN NULL ELSE CAST(row_count AS DOUBLE) / (CAST(s AS DOUBLE) / CAST(n AS DOUBLE)) END AS ratio,
+ COALESCE(CASE WHEN n = 0 THEN NULL ELSE CAST(row_count AS DOUBLE) / (CAST(s AS DOUBLE) / CAST(n AS DOUBLE)) END < 0.5, FALSE) AS is_drop
+FROM w""")
+    q["hourly_spikes"] = with_(_ADS_CHAIN + [
+        "h AS (SELECT date, hour, channel, CAST(SUM(clicks) AS BIGINT) AS traffic FROM silver_ads WHERE channel IS NOT NULL GROUP BY date, hour, channel)",
+        "st AS (SELECT channel, CAST(COUNT(*) AS HUGEINT) AS n, CAST(SUM(traffic) AS HUGEINT) AS s1, "
+        "CAST(SUM(CAST(traffic AS HUGEINT) * traffic) AS HUGEINT) AS s2 FROM h GROUP BY channel)",
+        "z AS (SELECT h.date, h.hour, h.channel, h.traffic, "
+        "CASE WHEN st.n * st.s2 - st.s1 * st.s1 = 0 THEN NULL ELSE "
+        "CAST(st.n * h.traffic - st.s1 AS DOUBLE) / sqrt(CAST(st.n * st.s2 - st.s1 * st.s1 AS DOUBLE)) END AS z "
+        "FROM h LEFT JOIN st ON h.channel = st.channel)"], f"""
+SELECT date, hour, channel, traffic, ROUND(z, 4) AS zscore, COALESCE(ABS(z) > {ZSCORE_THRESHOLD}, FALSE) AS is_spike FROM z""")
+    q["attribution_gap"] = with_([GA, SILVER_GA], """
+SELECT source, COUNT(*) AS paid_events, COUNT(*) FILTER (WHERE campaign_id IS NULL) AS unattributed_events,
+ CAST(COUNT(*) FILTER (WHERE campaign_id IS NULL) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS gap_share
+FROM silver_ga WHERE medium <> '(none)' GROUP BY source""")
+    q["peak_conversion_hours"] = with_(_gold(GOLD_HOURLY), """
+SELECT channel, hour, total_conversions, rank FROM (
+ SELECT channel, hour, total_conversions,
+  CAST(ROW_NUMBER() OVER (PARTITION BY channel ORDER BY total_conversions DESC, hour ASC) AS INTEGER) AS rank
+ FROM (SELECT channel, hour, CAST(SUM(total_conversions) AS BIGINT) AS total_conversions FROM gold_hourly_trends
+  WHERE channel IS NOT NULL AND hour IS NOT NULL GROUP BY channel, hour) t) r
+WHERE rank <= 3""")
     q["incremental_replace"] = with_([ADS], """
 SELECT date, hour, campaign_id, adgroup_id, channel, impressions, clicks, spend, conversions, revenue FROM ads""")
     q["backfill_range"] = with_(_gold(GOLD_CHANNEL), "SELECT * FROM gold_channel_daily")
