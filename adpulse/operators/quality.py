@@ -293,7 +293,16 @@ def summary(results: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "FAIL").alias("failed"),
     )
     rate = F.when(F.col("total") > 0, round_half_away(F.col("passed") * 100.0 / F.col("total"), 1)).otherwise(F.lit(0.0))
-    return s.select("total", "passed", "warned", "failed", rate.alias("pass_rate"))
+    exact = F.when(F.col("total") > 0, F.col("passed") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
+    # Governance index band on the unrounded rate: >= 90 healthy, >= 70 at risk.
+    band = F.when(exact >= 90, "HEALTHY").when(exact >= 70, "AT RISK").otherwise("CRITICAL")
+    return s.select("total", "passed", "warned", "failed", rate.alias("pass_rate"), band.alias("score_band"))
+
+
+def audit_log(results: DataFrame, check_type: str | None = None) -> DataFrame:
+    """Stored results, optionally of one check type, newest first."""
+    out = results if check_type is None else results.where(F.col("check_type") == check_type)
+    return out.orderBy(F.desc("checked_at"), "table_name", "check_name")
 
 
 class QualityGateError(RuntimeError):

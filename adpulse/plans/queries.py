@@ -69,6 +69,11 @@ def _checks(kind: str | None) -> Query:
     return _on(run)
 
 
+def _audit_log(L: Layers) -> DataFrame:
+    res = quality.run_checks(L.tables(), batch_id=BATCH_ID, as_of=AS_OF)
+    return quality.audit_log(res, "validity").drop("checked_at")
+
+
 def _summary(L: Layers) -> DataFrame:
     return quality.summary(quality.run_checks(L.tables(), batch_id=BATCH_ID, as_of=AS_OF))
 
@@ -174,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "dq_freshness": _checks("freshness"),
     "dq_suite": _checks(None),
     "dq_summary": _on(_summary),
+    "dq_audit_log": _on(_audit_log),
     "volume_vs_trailing_avg": _on(lambda L: insights.volume_vs_trailing_avg(L.silver_ads, "silver_ads_performance")),
     "hourly_spikes": _on(lambda L: insights.hourly_spikes(L.silver_ads)),
     "attribution_gap": _on(lambda L: insights.attribution_gap(L.silver_ga)),

@@ -395,8 +395,13 @@ def _quality() -> dict[str, str]:
     q["dq_summary"] = f"""WITH r AS ({quality_sql(suite)})
 SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'PASS') AS passed,
  COUNT(*) FILTER (WHERE status = 'WARN') AS warned, COUNT(*) FILTER (WHERE status = 'FAIL') AS failed,
- CASE WHEN COUNT(*) > 0 THEN ROUND(COUNT(*) FILTER (WHERE status = 'PASS') * 100.0 / COUNT(*), 1) ELSE 0.0 END AS pass_rate
+ CASE WHEN COUNT(*) > 0 THEN ROUND(COUNT(*) FILTER (WHERE status = 'PASS') * 100.0 / COUNT(*), 1) ELSE 0.0 END AS pass_rate,
+ CASE WHEN (CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE status = 'PASS') AS DOUBLE) * 100.0 / COUNT(*) ELSE 0.0 END) >= 90 THEN 'HEALTHY'
+      WHEN (CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE status = 'PASS') AS DOUBLE) * 100.0 / COUNT(*) ELSE 0.0 END) >= 70 THEN 'AT RISK'
+      ELSE 'CRITICAL' END AS score_band
 FROM r"""
+    q["dq_audit_log"] = f"""WITH r AS ({quality_sql(suite)})
+SELECT * FROM r WHERE check_type = 'validity'"""
     return q
 
 

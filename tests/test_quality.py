@@ -75,7 +75,10 @@ def test_referential_summary_and_gate(df):
     r = res.where("check_name = 'ref_integrity_campaign_id'").first()
     assert (r.status, r.metric_value) == ("WARN", 1.0)
     s = quality.summary(res).first()
-    assert (s.total, s.passed, s.warned, s.failed, s.pass_rate) == (1, 0, 1, 0, 0.0)
+    assert (s.total, s.passed, s.warned, s.failed, s.pass_rate, s.score_band) == (1, 0, 1, 0, 0.0, "CRITICAL")
+    log = quality.audit_log(res, "consistency").collect()
+    assert [r.check_name for r in log] == ["ref_integrity_campaign_id"]
+    assert quality.audit_log(res, "freshness").count() == 0
     quality.enforce(res)     # WARN does not trip the gate
     bad = quality.run_checks({"t": df([(-1.0,)], "x double")}, [Check("non_negative", "t", ("x",))], batch_id="b")
     with pytest.raises(quality.QualityGateError):
