@@ -89,3 +89,46 @@ def peak_conversion_hours(hourly_trends: DataFrame, k: int = 3) -> DataFrame:
     )
     w = Window.partitionBy("channel").orderBy(F.desc("total_conversions"), F.asc("hour"))
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ------------------------------------------------------------------ governance
+# Row-level validation rules of the silver ads table (the same bounds the
+# check suite audits).  Each rule is (reason, predicate that marks a bad row).
+def _ads_rules() -> list[tuple[str, F.Column]]:
+    from adpulse.config import ROAS_MAX
+    return [
+        ("negative_impressions", F.col("impressions") < 0),
+        ("negative_clicks", F.col("clicks") < 0),
+        ("negative_spend", F.col("spend") < 0),
+        ("negative_conversions", F.col("conversions") < 0),
+        ("negative_revenue", F.col("revenue") < 0),
+        ("ctr_out_of_range", (F.col("ctr") < 0.0) | (F.col("ctr") > 1.0)),
+        ("roas_out_of_range", (F.col("roas") < 0.0) | (F.col("roas") > ROAS_MAX)),
+    ]
+
+
+def quarantine_split(silver_ads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, quarantined rows + ``_reasons``) of silver ads.
+
+    A row is quarantined when any rule marks it; ``_reasons`` lists every
+    rule it breaks, comma-separated, in rule order.  NULL never breaks a rule.
+    """
+    flags = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in _ads_rules()]
+    reasons = F.concat_ws(",", *flags)
+    tagged = silver_ads.withColumn("_reasons", reasons)
+    return (
+        tagged.where(F.col("_reasons") == "").drop("_reasons"),
+        tagged.where(F.col("_reasons") != ""),
+    )
+
+
+def pseudonymize(df: DataFrame, salt: str, columns: tuple[str, ...] = ("user_id", "session_id")) -> DataFrame:
+    """Replace identifier columns by salted SHA-256 (NULL stays NULL).
+
+    Equal ids map to equal digests, so sessions, bounces and joins are unchanged.
+    """
+    out = df
+    for c in columns:
+        if c in df.columns:
+            out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.sha2(F.concat(F.lit(salt), F.col(c)), 256)))
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import BATCH_ID_FORMAT, FACT_TABLES, RESULTS_TABLE, SOURCE_MAP
-from adpulse.operators import gold, quality, silver
+from adpulse.operators import gold, insights, quality, silver
 from adpulse.operators.common import with_audit
 from adpulse.sources.extracts import slice_dates
 from adpulse.sources.schemas import QUALITY_RESULTS
@@ -34,15 +34,27 @@ def new_batch_id(now: dt.datetime | None = None) -> str:
 
 
 # ---------------------------------------------------------------- bronze
-def ingest_bronze(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str) -> None:
-    """Full load of every available source into bronze, with audit columns."""
+def _prepared(table: str, df: DataFrame, pii_salt: str | None) -> DataFrame:
+    """Source rows as they enter bronze: identifiers hashed when a salt is given."""
+    if pii_salt and table == "bronze_ga_events":
+        return insights.pseudonymize(df, pii_salt)
+    return df
+
+
+def ingest_bronze(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str, pii_salt: str | None = None) -> None:
+    """Full load of every available source into bronze, with audit columns.
+
+    ``pii_salt`` hashes user and session ids at ingestion (off by default).
+    """
     for table, df in sources.items():
+        df = _prepared(table, df, pii_salt)
         part = "date" if table in FACT_TABLES else None
         wh.replace(table, with_audit(df, batch_id, SOURCE_MAP[table]), partition_by=part)
         log.info("bronze %s loaded", table)
 
 
-def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str) -> bool:
+def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str,
+                        pii_salt: str | None = None) -> bool:
     """Replace the ``dates`` slice of the bronze facts; dimensions are left as loaded.
 
     Returns False when bronze did not exist yet and a full load ran instead.
@@ -53,9 +65,9 @@ def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: lis
             continue
         if not wh.exists(table):
             log.info("%s does not exist -- running a full load", table)
-            ingest_bronze(wh, sources, batch_id)
+            ingest_bronze(wh, sources, batch_id, pii_salt)
             return False
-        new = with_audit(slice_dates(sources[table], dates), batch_id, SOURCE_MAP[table])
+        new = with_audit(slice_dates(_prepared(table, sources[table], pii_salt), dates), batch_id, SOURCE_MAP[table])
         wh.replace_dates(table, new, dates)
     return True
 
@@ -77,6 +89,37 @@ def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> Non
         wh.replace("silver_ga_events", ev, partition_by="date", grain=wh.grain_of("bronze_ga_events"))
 
 
+def quarantine_silver(wh: Warehouse, batch_id: str) -> int:
+    """Move silver ads rows that break a validation rule to ``silver_ads_quarantine``.
+
+    Opt-in: the reference's silver keeps every row.  Both tables are written
+    from one staged copy of silver (a written table cuts the lineage before
+    silver itself is replaced).  Returns the number of quarantined rows.
+    """
+    staged = "silver_ads_staging"
+    wh.replace(staged, wh.read("silver_ads_performance"), partition_by="date",
+               grain=wh.grain_of("silver_ads_performance"))
+    clean, bad = insights.quarantine_split(wh.read(staged))
+    wh.replace("silver_ads_quarantine", bad, partition_by="date", grain=wh.grain_of(staged))
+    wh.replace("silver_ads_performance", clean, partition_by="date", grain=wh.grain_of(staged))
+    wh.spark.sql(f"DROP TABLE IF EXISTS {wh.name(staged)}")
+    return wh.row_count("silver_ads_quarantine")
+
+
+def apply_retention(wh: Warehouse, table: str, as_of: dt.datetime | dt.date | None = None, days: int = 90) -> list:
+    """Delete the rows of ``table`` dated before ``as_of - days`` (whole dates).
+
+    Uses the date-slice replace with an empty slice, so daily partitions are
+    dropped and a monthly partition straddling the cutoff is rewritten.
+    Returns the removed dates.
+    """
+    cutoff = _date(as_of or dt.datetime.now()) - dt.timedelta(days=days)
+    old = sorted(d for d in wh.partition_dates(table) if d < cutoff)
+    if old:
+        wh.replace_dates(table, wh.read(table).limit(0), old)
+    return old
+
+
 # ---------------------------------------------------------------- gold
 def build_gold(wh: Warehouse, dates: list | None = None) -> None:
     """Hourly rollup of silver (whole or for ``dates``), then the four gold tables from it."""

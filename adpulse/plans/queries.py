@@ -184,6 +184,7 @@ QUERIES: dict[str, Query] = {
     "hourly_spikes": _on(lambda L: insights.hourly_spikes(L.silver_ads)),
     "attribution_gap": _on(lambda L: insights.attribution_gap(L.silver_ga)),
     "peak_conversion_hours": _on(lambda L: insights.peak_conversion_hours(L.gold("gold_hourly_trends"))),
+    "silver_ads_quarantine": _on(lambda L: insights.quarantine_split(L.silver_ads)[1]),
     "incremental_replace": _incremental_replace,
     "backfill_range": _backfill_range,
     "warehouse_inventory": _warehouse_inventory,

@@ -9,7 +9,7 @@ rounding is ``ROUND`` (scaled, half away from zero).
 
 from __future__ import annotations
 
-from adpulse.config import CHANNELS, MAX_NULL_PCT, MAX_STALENESS_HOURS, ZSCORE_THRESHOLD
+from adpulse.config import CHANNELS, MAX_NULL_PCT, MAX_STALENESS_HOURS, ROAS_MAX, ZSCORE_THRESHOLD
 from adpulse.operators.quality import Check, standard_suite
 
 BATCH_ID = "oracle_batch"
@@ -448,6 +448,17 @@ SELECT channel, hour, total_conversions, rank FROM (
  FROM (SELECT channel, hour, CAST(SUM(total_conversions) AS BIGINT) AS total_conversions FROM gold_hourly_trends
   WHERE channel IS NOT NULL AND hour IS NOT NULL GROUP BY channel, hour) t) r
 WHERE rank <= 3""")
+    reasons = ", ".join([
+        "CASE WHEN impressions < 0 THEN 'negative_impressions' END",
+        "CASE WHEN clicks < 0 THEN 'negative_clicks' END",
+        "CASE WHEN spend < 0 THEN 'negative_spend' END",
+        "CASE WHEN conversions < 0 THEN 'negative_conversions' END",
+        "CASE WHEN revenue < 0 THEN 'negative_revenue' END",
+        "CASE WHEN ctr < 0.0 OR ctr > 1.0 THEN 'ctr_out_of_range' END",
+        f"CASE WHEN roas < 0.0 OR roas > {ROAS_MAX} THEN 'roas_out_of_range' END",
+    ])
+    q["silver_ads_quarantine"] = with_(_ADS_CHAIN, f"""
+SELECT * FROM (SELECT *, concat_ws(',', {reasons}) AS _reasons FROM silver_ads) t WHERE _reasons <> ''""")
     q["incremental_replace"] = with_([ADS], """
 SELECT date, hour, campaign_id, adgroup_id, channel, impressions, clicks, spend, conversions, revenue FROM ads""")
     q["backfill_range"] = with_(_gold(GOLD_CHANNEL), "SELECT * FROM gold_channel_daily")

@@ -38,3 +38,24 @@ def test_peak_hours(df):
     rows = [(D, 18, "G", 5), (D, 19, "G", 9), (D, 20, "G", 9), (D, 3, "G", 1), (D + dt.timedelta(days=1), 18, "G", 1)]
     out = insights.peak_conversion_hours(df(rows, "date date, hour int, channel string, total_conversions long")).collect()
     assert [(r.hour, r.total_conversions, r.rank) for r in out] == [(19, 9, 1), (20, 9, 2), (18, 6, 3)]
+
+
+def test_quarantine_split(df):
+    rows = [(1, 5, 10.0, 1, 20.0, 0.1, 2.0), (1, 5, -3.0, 1, 20.0, 0.1, 0.0), (1, 50, 1.0, 0, 900.0, 1.5, 900.0),
+            (None, None, None, None, None, None, None)]
+    d = df(rows, "impressions long, clicks long, spend double, conversions long, revenue double, ctr double, roas double")
+    clean, bad = insights.quarantine_split(d)
+    assert clean.count() == 2
+    assert sorted(r._reasons for r in bad.collect()) == ["ctr_out_of_range,roas_out_of_range", "negative_spend"]
+
+
+def test_pseudonymize_keeps_sessions(df):
+    from adpulse.operators import silver
+    rows = [(D, 1, "page_view", "S1", "U1", "/", None, None, None), (D, 2, "click", "S1", "U1", "/", None, None, None),
+            (D, 3, "login", "S2", "U2", "/", None, None, None), (D, 4, "login", None, "U3", "/", None, None, None)]
+    ga = df(rows, "date date, hour int, event_name string, session_id string, user_id string, page string, "
+                  "source string, medium string, campaign_id string")
+    hashed = insights.pseudonymize(ga, "pepper")
+    got = silver.transform_events(hashed).orderBy("hour").collect()
+    assert [r.is_bounce for r in got] == [False, False, True, False]
+    assert got[0].user_id != "U1" and len(got[0].user_id) == 64 and got[3].session_id is None

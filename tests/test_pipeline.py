@@ -146,3 +146,30 @@ def test_execute_with_parameters(full):
     assert wh.execute_script(["CREATE TABLE IF NOT EXISTS scratch_t (x INT) USING parquet",
                               "INSERT INTO scratch_t VALUES (1), (2)"]) == 2
     assert wh.row_count("scratch_t") == 2
+
+
+def test_retention_daily_drops_partitions(spark):
+    wh = _wh(spark, "retention_day", "day")
+    src = driver_sources(spark, SF_SMALL)
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": src["bronze_ads_performance"]}, "b1")
+    dates = sorted(wh.partition_dates("bronze_ads_performance"))
+    removed = pipeline.apply_retention(wh, "bronze_ads_performance", dates[-1] + dt.timedelta(days=90), days=90)
+    assert removed == dates[:-1] and wh.partition_dates("bronze_ads_performance") == [dates[-1]]
+
+
+def test_retention_and_quarantine(spark):
+    wh = _wh(spark, "retention", "month")
+    src = driver_sources(spark, SF_SMALL)
+    pipeline.ingest_bronze(wh, src, "b1", pii_salt="pepper")
+    assert wh.read("bronze_ga_events").where(F.length("user_id") != 64).count() == 0
+    dates = sorted(pipeline._date(r[0]) for r in src["bronze_ads_performance"].select("date").distinct().collect())
+    as_of = dates[-1] + dt.timedelta(days=90)                  # keep the last ~90 days
+    removed = pipeline.apply_retention(wh, "bronze_ads_performance", as_of)
+    left = wh.read("bronze_ads_performance").agg(F.min("date")).first()[0]
+    assert removed and left >= dates[-1] and max(removed) < dates[-1]
+    pipeline.ingest_bronze(wh, src, "b2")
+    pipeline.build_silver(wh, "b2")
+    before = wh.row_count("silver_ads_performance")
+    n_bad = pipeline.quarantine_silver(wh, "b2")
+    assert n_bad > 0 and wh.row_count("silver_ads_performance") == before - n_bad
+    assert wh.read("silver_ads_performance").where(F.col("spend") < 0).count() == 0
