@@ -2,10 +2,10 @@
 
 Each report is a lazy DataFrame; only its (small) result reaches a caller.
 Filters compile to Column predicates, so date, channel and campaign
-conditions reach the Parquet scan.  Grand totals for shares, the default
-date window and the default drill-down campaign are scalar subqueries, not
-``OVER ()`` windows (which would pull every row into one task), cross joins
-or driver round-trips.
+conditions reach the Parquet scan.  Grand totals for shares and the default
+drill-down campaign are scalar subqueries, not ``OVER ()`` windows (which
+would pull every row into one task), cross joins or driver round-trips; the
+default date window is one fetched value, so it is pushed down as literals.
 
 Semantics follow the pandas dashboard: NULL grouping keys are dropped
 (pandas ``groupby``), sums of nothing are 0, guarded ratios give 0, report
@@ -15,7 +15,6 @@ pandas would give inf/NaN, and NULLs rank last.
 
 from __future__ import annotations
 
-import datetime as _dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +23,6 @@ from pyspark.sql import functions as F
 from adpulse.config import HEALTHY_ROAS, TARGET_ROAS
 from adpulse.functions.exprs import exact_mean, guarded_ratio, money_sum, open_ratio, round_half_even
 
-DateLike = "str | _dt.date | Column"
-
-
 def _lit_date(d) -> Column:
     return d if isinstance(d, Column) else F.lit(str(d)).cast("date")
 
@@ -41,7 +37,7 @@ class Filters:
     ``campaign_id``.
     """
 
-    date_range: tuple | None = None
+    date_range: tuple | None = None      # (start, end): dates, ISO strings or Columns
     channels: list[str] | None = None
     campaigns: list[str] | None = None
     extra: list[Column] = field(default_factory=list)
@@ -63,10 +59,20 @@ class Filters:
 ALL = Filters()
 
 
-def default_window(df: DataFrame, days: int = 30) -> tuple[Column, Column]:
-    """[max(date) - days, max(date)]: the dashboard's opening date range."""
-    end = df.select(F.max("date")).scalar()
-    return F.date_sub(end, days), end
+def default_window(df: DataFrame, days: int = 30) -> tuple | None:
+    """[max(date) - days, max(date)]: the dashboard's opening date range.
+
+    The bound is one aggregated value fetched once (as the dashboard does
+    per page load); as literal dates the range reaches the Parquet scan as
+    pushed filters and skips row groups of the date-sorted gold tables.
+    ``None`` (no filter) when the table has no dates.
+    """
+    import datetime as dt
+
+    end = df.agg(F.max("date").alias("d")).first()["d"]
+    if end is None:
+        return None
+    return end - dt.timedelta(days=days), end
 
 
 def default_filters(df: DataFrame, days: int = 30, channels: list[str] | None = None) -> Filters:
