@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adpulse.config import ADS_COUNTS, ADS_KEYS, ADS_MONEY
+from adpulse.config import ADS_KEYS
 from adpulse.functions.exprs import event_category, safe_ratio
 from adpulse.operators.common import join_dimension
 
@@ -76,7 +76,7 @@ SILVER_GA_COLUMNS = [
 ]
 
 
-def transform_events(bronze_ga: DataFrame) -> DataFrame:
+def transform_events(bronze_ga: DataFrame, sessions_from: DataFrame | None = None) -> DataFrame:
     """bronze_ga_events -> silver_ga_events (without audit columns).
 
     A session of exactly one event is a bounce.  Session sizes come from a
@@ -84,9 +84,13 @@ def transform_events(bronze_ga: DataFrame) -> DataFrame:
     skew-join handling a hot session is split rather than sent to one task.
     Events without a session never match a count, so they are never bounces;
     they skip the shuffle entirely instead of all hashing to one partition.
+
+    ``sessions_from`` holds every event of the sessions in ``bronze_ga`` when
+    ``bronze_ga`` is only a slice (default: ``bronze_ga`` itself).
     """
     keyed = bronze_ga.where(F.col("session_id").isNotNull())
-    sizes = keyed.groupBy("session_id").agg(F.count(F.lit(1)).alias("_events"))
+    counted = keyed if sessions_from is None else sessions_from.where(F.col("session_id").isNotNull())
+    sizes = counted.groupBy("session_id").agg(F.count(F.lit(1)).alias("_events"))
     bounced = keyed.join(sizes, "session_id", "left").withColumn("is_bounce", F.coalesce(F.col("_events") == 1, F.lit(False)))
     orphan = bronze_ga.where(F.col("session_id").isNull()).withColumn("is_bounce", F.lit(False))
 

@@ -3,9 +3,10 @@
 The jobs only sequence table writes; every transform is a DataFrame plan
 from ``adpulse.operators``.  Incremental runs replace the date slice in the
 two bronze facts, rebuild silver ads and the hourly rollup for those dates
-only (their grains contain ``date``), rebuild silver events in full (a
-session may span dates, so a bounce flag depends on other days), and
-rewrite the small gold tables from the rollup.
+only (their grains contain ``date``), rebuild silver events for the dates
+of every session the slice touches (a session may span dates, so a bounce
+flag can depend on other days), and rewrite the small gold tables from the
+rollup.
 """
 
 from __future__ import annotations
@@ -85,8 +86,37 @@ def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> Non
         else:
             wh.replace_dates("silver_ads_performance", ads, dates)
     if wh.exists("bronze_ga_events"):
-        ev = with_audit(silver.transform_events(wh.read("bronze_ga_events")), batch_id)
-        wh.replace("silver_ga_events", ev, partition_by="date", grain=wh.grain_of("bronze_ga_events"))
+        if dates is None or not wh.exists("silver_ga_events"):
+            ev = with_audit(silver.transform_events(wh.read("bronze_ga_events")), batch_id)
+            wh.replace("silver_ga_events", ev, partition_by="date", grain=wh.grain_of("bronze_ga_events"))
+        else:
+            rebuild_events_for(wh, batch_id, dates)
+
+
+def rebuild_events_for(wh: Warehouse, batch_id: str, dates: list) -> list:
+    """Rebuild silver events touched by a replaced bronze slice, exactly.
+
+    A bounce flag depends on the size of its session, and a session may span
+    days.  The sessions touched are those in the slice before (silver) or
+    after (bronze) the replace; every date on which such a session has an
+    event is rebuilt, with session sizes counted over all of bronze through a
+    semi-join (only matching rows move).  Sessions of other dates did not
+    change, so their rows are left as they are.  Returns the rebuilt dates.
+    """
+    bronze = wh.read("bronze_ga_events")
+    touched_sessions = (
+        wh.read_dates("silver_ga_events", dates).select("session_id")
+        .unionByName(wh.read_dates("bronze_ga_events", dates).select("session_id"))
+        .where(F.col("session_id").isNotNull()).distinct()
+    )
+    spread = bronze.join(touched_sessions, "session_id", "left_semi").select("date").distinct()
+    rebuilt = sorted({_date(d) for d in dates} | {r[0] for r in spread.collect()})   # bounded by the calendar
+    events = wh.read_dates("bronze_ga_events", rebuilt)
+    on_dates = events.select("session_id").where(F.col("session_id").isNotNull()).distinct()
+    sessions_from = bronze.join(on_dates, "session_id", "left_semi")
+    ev = with_audit(silver.transform_events(events, sessions_from), batch_id)
+    wh.replace_dates("silver_ga_events", ev, rebuilt)
+    return rebuilt
 
 
 def quarantine_silver(wh: Warehouse, batch_id: str) -> int:

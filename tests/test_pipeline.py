@@ -173,3 +173,29 @@ def test_retention_and_quarantine(spark):
     n_bad = pipeline.quarantine_silver(wh, "b2")
     assert n_bad > 0 and wh.row_count("silver_ads_performance") == before - n_bad
     assert wh.read("silver_ads_performance").where(F.col("spend") < 0).count() == 0
+
+
+@pytest.mark.parametrize("grain", ["day", "month"])
+def test_scoped_event_rebuild_handles_sessions_across_days(spark, grain):
+    """A session spanning two days loses its day-2 event: its day-1 event becomes a bounce."""
+    d1, d2, d3 = dt.date(2024, 1, 31), dt.date(2024, 2, 1), dt.date(2024, 2, 2)
+    schema = ("date date, hour int, event_name string, session_id string, user_id string, page string, "
+              "source string, medium string, campaign_id string")
+    rows = [(d1, 23, "page_view", "S1", "U1", "/", None, None, None),
+            (d2, 0, "click", "S1", "U1", "/", None, None, None),
+            (d2, 5, "login", "S2", "U2", "/", None, None, None),
+            (d3, 1, "page_view", "S3", "U3", "/", None, None, None),
+            (d3, 2, "click", "S3", "U3", "/", None, None, None),
+            (d2, 6, "login", None, "U4", "/", None, None, None)]
+    v1 = spark.createDataFrame(rows, schema)
+    v2 = spark.createDataFrame([r for r in rows if not (r[3] == "S1" and r[0] == d2)], schema)
+    wh = _wh(spark, "events_scope", grain)
+    pipeline.ingest_bronze(wh, {"bronze_ga_events": v1}, "b1")
+    pipeline.build_silver(wh, "b1")
+    assert not wh.read("silver_ga_events").where(F.col("session_id") == "S1").first().is_bounce
+    pipeline.ingest_bronze_dates(wh, {"bronze_ga_events": v2}, [d2], "b2")
+    rebuilt = pipeline.rebuild_events_for(wh, "b2", [d2])
+    assert rebuilt == [d1, d2]                                 # d3 untouched
+    from adpulse.operators import silver
+    expect = silver.transform_events(v2)
+    assert _rows(drop_audit(wh.read("silver_ga_events"))) == _rows(expect)
