@@ -84,7 +84,9 @@ def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> Non
             wh.replace("silver_ads_performance", ads, partition_by="date",
                        grain=wh.grain_of("bronze_ads_performance"))
         else:
-            wh.replace_dates("silver_ads_performance", ads, dates)
+            # Dedup keeps a row per key and the joins are LEFT joins, so the
+            # silver slice has exactly the dates of its bronze slice.
+            wh.replace_dates("silver_ads_performance", ads, dates, dates_from=bronze)
     if wh.exists("bronze_ga_events"):
         if dates is None or not wh.exists("silver_ga_events"):
             ev = with_audit(silver.transform_events(wh.read("bronze_ga_events")), batch_id)
@@ -115,7 +117,7 @@ def rebuild_events_for(wh: Warehouse, batch_id: str, dates: list) -> list:
     on_dates = events.select("session_id").where(F.col("session_id").isNotNull()).distinct()
     sessions_from = bronze.join(on_dates, "session_id", "left_semi")
     ev = with_audit(silver.transform_events(events, sessions_from), batch_id)
-    wh.replace_dates("silver_ga_events", ev, rebuilt)
+    wh.replace_dates("silver_ga_events", ev, rebuilt, dates_from=events)
     return rebuilt
 
 
@@ -160,7 +162,7 @@ def build_gold(wh: Warehouse, dates: list | None = None) -> None:
     if dates is None or not wh.exists(ROLLUP_TABLE):
         wh.replace(ROLLUP_TABLE, roll, partition_by="date", grain=wh.grain_of("silver_ads_performance"))
     else:
-        wh.replace_dates(ROLLUP_TABLE, roll, dates)
+        wh.replace_dates(ROLLUP_TABLE, roll, dates, dates_from=s)
     base = wh.read(ROLLUP_TABLE)
     for table, (build, order) in gold.BUILDERS.items():
         # Gold is small: one sorted, unpartitioned table rewritten from the rollup.

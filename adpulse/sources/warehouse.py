@@ -77,7 +77,7 @@ class Warehouse:
         """Daily partitions only when days are large; reads just the ``date`` column."""
         if self.grain:
             return self.grain
-        r = df.select("date").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("d")).first()
+        r = df.select("date").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("date").alias("d")).first()
         return "day" if r["d"] and r["n"] / r["d"] >= DAILY_PARTITION_ROWS else "month"
 
     def read_or_empty(self, table: str, schema: T.StructType) -> DataFrame:
@@ -150,29 +150,33 @@ class Warehouse:
             w = w.partitionBy(partition_by)
         w.saveAsTable(self.name(table))
 
-    def replace_dates(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None = None) -> None:
+    def replace_dates(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None = None,
+                      dates_from: DataFrame | None = None) -> None:
         """Replace the ``dates`` slice of a time-partitioned table with ``df``.
 
         ``df`` must only hold rows of ``dates``; afterwards the slice holds
-        exactly ``df`` and every other date is untouched.
+        exactly ``df`` and every other date is untouched.  ``dates_from`` is
+        a cheaper frame with the same set of dates as ``df`` (for a silver
+        slice, its bronze slice), so finding which dates got rows does not
+        re-run ``df``'s plan.
         """
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        present = {r[0] for r in (dates_from if dates_from is not None else df).select("date").distinct().collect()}
         if self.grain_of(table) == "month":
-            self._replace_months(table, df, dates, sort_by)
+            self._replace_months(table, df, dates, present, sort_by)
             return
         target = self._raw(table)
         self._clustered(df.select(*target.columns), "date", sort_by).write.insertInto(self.name(table), overwrite=True)
         # Dates of the slice that got no new rows but still hold old ones are
         # dropped.  Both sets are bounded by the number of dates.
-        present = {r[0] for r in df.select("date").distinct().collect()}
         self._drop_partitions(table, "date", (set(self.partition_values(table, "date")) & {_as_date(d) for d in dates}) - present)
 
-    def _replace_months(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None) -> None:
+    def _replace_months(self, table: str, df: DataFrame, dates: list, present: set, sort_by: list[str] | None) -> None:
         """Monthly grain: rewrite each touched month as old-outside-slice + new.
 
         Dynamic overwrite stages the output and swaps whole month partitions
         at commit, so reading the old rows of those months in the same job
-        is safe.
+        is safe.  A month left with no rows at all is dropped.
         """
         target = self._raw(table)
         months = sorted({_month(d) for d in dates})
@@ -180,9 +184,11 @@ class Warehouse:
         kept = target.where(F.col(MONTH_COL).isin(month_lits) & ~_in_dates(dates)).drop(MONTH_COL)
         data_cols = [c for c in target.columns if c != MONTH_COL]
         merged = kept.unionByName(df.select(*data_cols)).withColumn(MONTH_COL, F.trunc("date", "MM"))
+        # Months that will still hold rows, known before the table changes.
+        kept_months = {r[0] for r in kept.select(F.trunc("date", "MM")).distinct().collect()}
+        filled = kept_months | {_month(d) for d in present}
         self._clustered(merged.select(*target.columns), MONTH_COL, sort_by).write.insertInto(self.name(table), overwrite=True)
-        present = {r[0] for r in merged.select(MONTH_COL).distinct().collect()}
-        self._drop_partitions(table, MONTH_COL, (set(self.partition_values(table, MONTH_COL)) & set(months)) - present)
+        self._drop_partitions(table, MONTH_COL, (set(self.partition_values(table, MONTH_COL)) & set(months)) - filled)
 
     def _drop_partitions(self, table: str, column: str, values) -> None:
         stale = sorted(values)
