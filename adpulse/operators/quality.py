@@ -265,7 +265,9 @@ def run_checks(
         if r is not None:
             parts.append(r)
     if not parts:
-        return tables[next(iter(tables))].sparkSession.createDataFrame([], _results_schema())
+        from pyspark.sql import SparkSession
+        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+        return spark.createDataFrame([], _results_schema())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -90,3 +90,10 @@ def test_check_ids_are_stable(df):
     a = quality.run_checks({"t": t}, [Check("non_negative", "t", ("x",))], batch_id="b").first().check_id
     b = quality.run_checks({"t": t}, [Check("non_negative", "t", ("x",))], batch_id="b").first().check_id
     assert a == b and len(a) == 12
+
+
+def test_no_audited_tables_gives_empty_results(spark):
+    res = quality.run_checks({}, batch_id="b")
+    assert res.count() == 0 and "check_id" in res.columns
+    s = quality.summary(res).first()
+    assert (s.total, s.pass_rate) == (0, 0.0)
