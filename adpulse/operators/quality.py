@@ -24,7 +24,7 @@ from adpulse.functions.exprs import fixed, round_half_away, thousands
 
 @dataclass(frozen=True)
 class Check:
-    kind: str                      # completeness | non_negative | range | row_count | referential | zscore | freshness
+    kind: str                      # completeness | non_negative | range | row_count | referential | zscore | freshness | unique
     table: str
     columns: tuple[str, ...] = ()
     min_val: float | None = None
@@ -157,6 +157,17 @@ class _Compiler:
             F.concat(F.lit("Current volume: "), thousands(n), F.lit(f" (Baseline: {c.min_rows:,})")),
         )))
 
+    def _unique(self, c: Check) -> None:
+        """Key uniqueness of a dimension (a duplicate key fans out every LEFT join to it)."""
+        col = c.columns[0]
+        a = self._name("dup")
+        self.aggs.append((F.count(F.col(col)) - F.count_distinct(F.col(col))).alias(a))
+        self.rows.append(F.array(_row(
+            f"unique_{col}", "consistency", self.table, col,
+            F.when(F.col(a) == 0, "PASS").otherwise("FAIL"), F.col(a), 0,
+            F.concat(F.lit("Duplicate key rows: "), thousands(F.col(a))),
+        )))
+
     def _zscore(self, c: Check) -> None:
         self._zcols.append(c.columns[0])
 

@@ -97,3 +97,11 @@ def test_no_audited_tables_gives_empty_results(spark):
     assert res.count() == 0 and "check_id" in res.columns
     s = quality.summary(res).first()
     assert (s.total, s.pass_rate) == (0, 0.0)
+
+
+def test_unique_key_check(df):
+    dims = df([("C1", "a"), ("C1", "b"), ("C2", "c"), (None, "d")], "campaign_id string, campaign_name string")
+    r = _run({"d": dims}, [Check("unique", "d", ("campaign_id",))])[("unique_campaign_id", "d")]
+    assert (r.status, r.metric_value, r.details) == ("FAIL", 1.0, "Duplicate key rows: 1")
+    ok = _run({"d": dims.where("campaign_name != 'b'")}, [Check("unique", "d", ("campaign_id",))])
+    assert ok[("unique_campaign_id", "d")].status == "PASS"
