@@ -195,31 +195,63 @@ class RunResult:
     summary: dict
 
 
+def gate_silver(wh: Warehouse, as_of=None) -> None:
+    """Quality gate on the silver layer, before gold is published.
+
+    Runs the suite's checks on the tables that exist so far (silver and the
+    campaign dimension) and raises ``QualityGateError`` on any FAIL.
+    """
+    tables = {t: df for t, df in audited_tables(wh).items() if not t.startswith("gold")}
+    quality.enforce(quality.run_checks(tables, as_of=as_of))
+
+
 def run_full(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str | None = None,
-             as_of=None, gate: bool = False) -> RunResult:
-    """bronze -> silver -> gold -> checks, one batch id throughout."""
+             as_of=None, gate: bool = False, gate_before_gold: bool = False) -> RunResult:
+    """bronze -> silver -> gold -> checks, one batch id throughout.
+
+    ``gate`` raises after the checks are stored (the reference's order);
+    ``gate_before_gold`` stops the run before gold is rebuilt when silver
+    fails a check, so a bad batch never reaches the reports.
+    """
     batch_id = batch_id or new_batch_id()
     ingest_bronze(wh, sources, batch_id)
     build_silver(wh, batch_id)
+    if gate_before_gold:
+        gate_silver(wh, as_of)
     build_gold(wh)
     return RunResult(batch_id, run_quality(wh, batch_id, as_of=as_of, gate=gate))
 
 
-def run_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str | None = None) -> str:
-    """Replace ``dates`` in bronze, then rebuild what depends on them."""
+DIMENSIONS = ["bronze_campaigns", "bronze_adgroups"]
+
+
+def run_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str | None = None,
+              refresh_dimensions: bool = False) -> str:
+    """Replace ``dates`` in bronze, then rebuild what depends on them.
+
+    Dimensions are left as loaded (the reference's incremental behaviour)
+    unless ``refresh_dimensions``; a refreshed dimension can rename any
+    date's rows, so silver and gold are then rebuilt whole.
+    """
     batch_id = batch_id or new_batch_id()
     if not ingest_bronze_dates(wh, sources, dates, batch_id):
         build_silver(wh, batch_id)
         build_gold(wh)
         return batch_id
+    if refresh_dimensions:
+        ingest_bronze(wh, {t: sources[t] for t in DIMENSIONS if t in sources}, batch_id)
+        build_silver(wh, batch_id)
+        build_gold(wh)
+        return batch_id
     build_silver(wh, batch_id, dates)
     build_gold(wh, dates)
     return batch_id
 
 
-def run_incremental(wh: Warehouse, sources: dict[str, DataFrame], target_date, batch_id: str | None = None) -> str:
+def run_incremental(wh: Warehouse, sources: dict[str, DataFrame], target_date, batch_id: str | None = None,
+                    refresh_dimensions: bool = False) -> str:
     """Idempotent reprocessing of one date."""
-    return run_dates(wh, sources, [_date(target_date)], batch_id)
+    return run_dates(wh, sources, [_date(target_date)], batch_id, refresh_dimensions)
 
 
 def run_d_minus_1(wh: Warehouse, sources: dict[str, DataFrame], as_of: dt.datetime | None = None) -> str:

@@ -199,3 +199,21 @@ def test_scoped_event_rebuild_handles_sessions_across_days(spark, grain):
     from adpulse.operators import silver
     expect = silver.transform_events(v2)
     assert _rows(drop_audit(wh.read("silver_ga_events"))) == _rows(expect)
+
+
+def test_gate_before_gold_and_dimension_refresh(spark):
+    from adpulse.operators.quality import QualityGateError
+    wh = _wh(spark, "gate_first")
+    src = driver_sources(spark, SF_SMALL)
+    with pytest.raises(QualityGateError):                    # negative spend in silver stops the run
+        pipeline.run_full(wh, src, batch_id="g1", as_of="2024-02-01 00:00:00", gate_before_gold=True)
+    assert wh.exists("silver_ads_performance") and not wh.exists("gold_campaign_daily")
+    pipeline.build_gold(wh)
+    renamed = dict(src)
+    renamed["bronze_campaigns"] = src["bronze_campaigns"].withColumn("campaign_name", F.upper("campaign_name"))
+    hi = src["bronze_ads_performance"].agg(F.max("date")).first()[0]
+    pipeline.run_incremental(wh, renamed, hi, "g2")                               # default: dimensions kept
+    assert wh.read("gold_campaign_daily").where(F.col("campaign_name").startswith("CAMPAIGN_")).count() == 0
+    pipeline.run_incremental(wh, renamed, hi, "g3", refresh_dimensions=True)
+    names = {r[0] for r in wh.read("gold_campaign_daily").select("campaign_name").distinct().collect()}
+    assert names and all(n is None or n.startswith("CAMPAIGN_") for n in names)
