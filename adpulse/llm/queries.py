@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adpulse.llm import byte_bpe, golay_simhash, kd_topk, page_text, rule_cascade, suffix_dedup
+from adpulse.llm import best_fit, byte_bpe, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, rule_cascade, suffix_dedup
 from adpulse.llm.runtime import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil_quality.train(docs, table(spark, sf_dir, "labels"))
+    return mil_quality.predictions(mil_quality.score(docs, model), mil_quality.FOLDS, mil_quality.HELD_OUT)
+
+
+def op2_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = nb_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return mil_quality.predictions(nb_toxicity.score(docs, model), nb_toxicity.FOLDS, nb_toxicity.HELD_OUT)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.components(table(spark, sf_dir, "documents"))
 
@@ -30,6 +43,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the benchmark's texts; background: all documents.  Rounded to 6 places, as the SQL is."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, lm_scoring.train(docs, table(spark, sf_dir, "benchmark")))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
@@ -49,7 +73,9 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_suffix_dedup, op7_page_text, op8_byte_bpe, op9_rule_cascade, op10_kd_topk)
+    f.__name__: f for f in (
+        op1_mil_quality, op2_nb_toxicity, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_best_fit, op7_page_text, op8_byte_bpe,
+        op9_rule_cascade, op10_kd_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,6 +95,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
                sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op5_lm_scoring": r"""
+        WITH tw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+        v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM (SELECT unnest(ws) AS w FROM tw) GROUP BY w QUALIFY id <= 1023),
+        n AS (SELECT CAST(count(*) + 1 AS DOUBLE) AS size FROM v),
+        words AS (SELECT 't' AS side, item_id AS doc, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM tw
+                  UNION ALL
+                  SELECT 'b', doc_id, unnest(ws), unnest(range(1, len(ws) + 1))
+                  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        ids AS (SELECT side, doc, i, coalesce(v.id, 0) AS b FROM words LEFT JOIN v USING (w)),
+        pairs AS (SELECT side, doc, coalesce(lag(b) OVER (PARTITION BY side, doc ORDER BY i), 0) AS a, b FROM ids),
+        ab AS (SELECT side, a, b, count(*) AS k FROM pairs GROUP BY side, a, b),
+        a_ AS (SELECT side, a, sum(k) AS k FROM ab GROUP BY side, a),
+        b_ AS (SELECT side, b, sum(k) AS k FROM ab GROUP BY side, b),
+        all_ AS (SELECT side, sum(k) AS k FROM ab GROUP BY side),
+        used AS (SELECT DISTINCT s.side, p.a, p.b FROM ab p, (SELECT unnest(['t', 'b']) AS side) s WHERE p.side = 'b'),
+        cost AS (SELECT u.side, u.a, u.b,
+                        -log2((coalesce(ab.k, 0) + 8.0::DOUBLE * ((coalesce(b_.k, 0) + 1)::DOUBLE / (all_.k + n.size))) / (coalesce(a_.k, 0)::DOUBLE + 8.0)) AS bits
+                 FROM used u CROSS JOIN n JOIN all_ ON all_.side = u.side LEFT JOIN ab ON ab.side = u.side AND ab.a = u.a AND ab.b = u.b
+                 LEFT JOIN a_ ON a_.side = u.side AND a_.a = u.a LEFT JOIN b_ ON b_.side = u.side AND b_.b = u.b),
+        s AS (SELECT p.doc, count(*) AS n, avg(t.bits) AS t, avg(g.bits) AS g
+              FROM pairs p JOIN cost t ON t.side = 't' AND t.a = p.a AND t.b = p.b JOIN cost g ON g.side = 'b' AND g.a = p.a AND g.b = p.b
+              WHERE p.side = 'b' GROUP BY p.doc)
+        SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(g, 0), 6) AS background_loss,
+               round(coalesce(t - g, 0), 6) AS score
+        FROM documents LEFT JOIN s ON s.doc = doc_id""",
     "op9_rule_cascade": r"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
