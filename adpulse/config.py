@@ -1,4 +1,4 @@
-"""Contract constants: thresholds, channel list, batch-id format, table names.
+"""Contract constants: thresholds, batch-id format, table names.
 
 The values under "fixed values" must equal the reference's for results to
 match; they are stated here once, in natural order.
@@ -7,7 +7,6 @@ match; they are stated here once, in natural order.
 from __future__ import annotations
 
 # --- fixed values (must equal the reference) -------------------------------
-CHANNELS = ["Google Ads", "Facebook Ads", "TikTok Ads"]
 BATCH_ID_FORMAT = "%Y%m%d_%H%M%S"
 MAX_NULL_PCT = 0.01          # completeness: null share allowed per column
 ROAS_MAX = 50.0              # range check upper bound on silver roas
@@ -19,32 +18,23 @@ ENGAGEMENT_EVENTS = ["page_view", "scroll", "click", "video_start", "video_compl
 NAVIGATION_EVENTS = ["session_start", "login"]
 HEALTHY_ROAS = 2.5           # executive headline label threshold
 TARGET_ROAS = 2.0            # campaign page label threshold
-# --- end fixed values --------------------------------------------------------
-
-# Money columns carry cents (2 dp) in every source; sums of money are taken
-# exactly in integer minor units, so results do not depend on summation order.
-MONEY_SCALE = 2
-
-# Grain of the silver ads table (deduplication key).
-ADS_KEYS = ["date", "hour", "campaign_id", "adgroup_id", "channel"]
-ADS_COUNTS = ["impressions", "clicks", "conversions"]
-ADS_MONEY = ["spend", "revenue"]
-
-# Source extract file per bronze table.
-SOURCE_MAP = {
+OUTLIER_PASS, OUTLIER_WARN = 0.02, 0.05    # anomaly: share of outliers below which it passes / warns
+RANGE_WARN = 0.01            # range check: share of violations below which it warns
+SCORE_HEALTHY, SCORE_AT_RISK = 90, 70      # governance index bands on the pass rate, percent
+ADS_KEYS = ["date", "hour", "campaign_id", "adgroup_id", "channel"]   # grain of the silver ads table
+SOURCE_MAP = {               # source extract per bronze table
     "bronze_ads_performance": "ads_performance.parquet",
     "bronze_ga_events": "ga_events.parquet",
     "bronze_campaigns": "campaigns.parquet",
     "bronze_adgroups": "adgroups.parquet",
 }
 FACT_TABLES = ["bronze_ads_performance", "bronze_ga_events"]
-
-GOLD_TABLES = ["gold_campaign_daily", "gold_channel_daily", "gold_hourly_trends", "gold_funnel_summary"]
 RESULTS_TABLE = "quality_check_results"
+# --- end fixed values --------------------------------------------------------
 
-# Average rows per day at which a fact table is partitioned by day rather
-# than by month (about 100 MB of Parquet per daily partition).
-DAILY_PARTITION_ROWS = 1_000_000
+# Sums of money are exact: values become decimals of this type before they are
+# added, and only the total is rounded.
+MONEY_TYPE = "decimal(28,10)"
 
-# Largest dimension (rows) that may be broadcast to every executor.
-BROADCAST_MAX_ROWS = 1_000_000
+# Tables that only the jobs use; the inventory leaves them out.
+STAGE_PREFIX = "stage_"

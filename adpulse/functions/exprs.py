@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from adpulse.config import CONVERSION_EVENTS, ENGAGEMENT_EVENTS, MONEY_SCALE, NAVIGATION_EVENTS
+from adpulse.config import CONVERSION_EVENTS, ENGAGEMENT_EVENTS, MONEY_TYPE, NAVIGATION_EVENTS
 
 
 def _col(c) -> Column:
@@ -48,19 +48,14 @@ def open_ratio(num, den) -> Column:
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
-def to_minor(x) -> Column:
-    """Money in exact integer minor units (cents) for order-independent sums."""
-    return F.round(_col(x).cast("double") * float(10 ** MONEY_SCALE), 0).cast("long")
-
-
-def from_minor(x) -> Column:
-    """Integer minor units back to a double amount."""
-    return _col(x).cast("double") / float(10 ** MONEY_SCALE)
+def money(x) -> Column:
+    """A money value as a wide decimal: sums of it are exact, in any order."""
+    return _col(x).cast(MONEY_TYPE)
 
 
 def money_sum(x) -> Column:
     """Exact sum of a money column, returned as double; NULL on no rows."""
-    return from_minor(F.sum(to_minor(x)))
+    return F.sum(money(x)).cast("double")
 
 
 def exact_mean(x, k: int) -> Column:

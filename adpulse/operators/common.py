@@ -5,24 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import BROADCAST_MAX_ROWS
-
-
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads at most n + 1 rows."""
-    return df.limit(n + 1).count() <= n
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, key: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """LEFT join a fact to a dimension on ``key``.
-
-    The dimension is broadcast only after its row count is checked against
-    ``max_rows``; a larger dimension takes the shuffle join and AQE decides
-    the rest at runtime.
-    """
-    side = F.broadcast(dim) if has_at_most(dim, max_rows) else dim
-    return fact.join(side, on=key, how="left")
-
 
 def with_audit(df: DataFrame, batch_id: str, source_file: str | None = None, loaded_at=None) -> DataFrame:
     """Append the lineage columns ``_loaded_at`` [, ``_source_file``], ``_batch_id``."""

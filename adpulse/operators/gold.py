@@ -1,8 +1,8 @@
 """Gold layer: daily campaign, channel, hourly and funnel aggregates.
 
 Every builder takes a *measure frame*: dimension columns plus
-``impressions, clicks, conversions`` (long) and ``spend_minor,
-revenue_minor`` (money in exact integer cents).  Silver rows become one via
+``impressions, clicks, conversions`` (long) and ``spend_exact,
+revenue_exact`` (money as wide decimals, so that sums are exact).  Silver rows become one via
 ``measures(silver)``; ``rollup(silver)`` pre-aggregates silver to
 (date, hour, campaign, channel, objective) so the four tables share one
 scan and one map-side-combined shuffle of silver.  Because sums of sums are
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.functions.exprs import from_minor, safe_ratio, to_minor
+from adpulse.functions.exprs import money, round_half_away, safe_ratio
 
 ROLLUP_KEYS = ["date", "hour", "campaign_id", "campaign_name", "channel", "objective"]
 
@@ -22,7 +22,7 @@ ROLLUP_KEYS = ["date", "hour", "campaign_id", "campaign_name", "channel", "objec
 def measures(silver: DataFrame, keys: list[str] = ROLLUP_KEYS) -> DataFrame:
     return silver.select(
         *keys, "impressions", "clicks", "conversions",
-        to_minor("spend").alias("spend_minor"), to_minor("revenue").alias("revenue_minor"),
+        money("spend").alias("spend_exact"), money("revenue").alias("revenue_exact"),
     )
 
 
@@ -31,8 +31,8 @@ def _sums() -> list:
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
         F.sum("conversions").alias("conversions"),
-        F.sum("spend_minor").alias("spend_minor"),
-        F.sum("revenue_minor").alias("revenue_minor"),
+        F.sum("spend_exact").alias("spend_exact"),
+        F.sum("revenue_exact").alias("revenue_exact"),
     ]
 
 
@@ -48,14 +48,14 @@ def _totals(g: DataFrame, keys: list[str]) -> DataFrame:
 def campaign_daily(m: DataFrame) -> DataFrame:
     keys = ["date", "campaign_id", "campaign_name", "channel", "objective"]
     t = _totals(m, keys)
-    spend, rev = from_minor("spend_minor"), from_minor("revenue_minor")
+    spend, rev = F.col("spend_exact").cast("double"), F.col("revenue_exact").cast("double")
     return t.select(
         *keys,
         F.col("impressions").alias("total_impressions"),
         F.col("clicks").alias("total_clicks"),
-        spend.alias("total_spend"),
+        round_half_away(spend, 2).alias("total_spend"),
         F.col("conversions").alias("total_conversions"),
-        rev.alias("total_revenue"),
+        round_half_away(rev, 2).alias("total_revenue"),
         safe_ratio("clicks", "impressions", 6).alias("avg_ctr"),
         safe_ratio(spend, "clicks", 4).alias("avg_cpc"),
         safe_ratio(spend, "conversions", 4).alias("avg_cpa"),
@@ -67,19 +67,19 @@ def campaign_daily(m: DataFrame) -> DataFrame:
 def channel_daily(m: DataFrame) -> DataFrame:
     """Per (date, channel); exact distinct campaign count.
 
-    COUNT(DISTINCT) is planned as two ordinary aggregations (per campaign,
-    then per channel) instead of an Expand over every silver row.
+    The distinct count is two ordinary aggregations, per campaign and then per
+    channel: both combine map-side, and the sums ride along.
     """
     per_campaign = _totals(m, ["date", "channel", "campaign_id"])
     t = per_campaign.groupBy("date", "channel").agg(*_sums(), F.count("campaign_id").alias("campaign_count"))
-    spend, rev = from_minor("spend_minor"), from_minor("revenue_minor")
+    spend, rev = F.col("spend_exact").cast("double"), F.col("revenue_exact").cast("double")
     return t.select(
         "date", "channel",
         F.col("impressions").alias("total_impressions"),
         F.col("clicks").alias("total_clicks"),
-        spend.alias("total_spend"),
+        round_half_away(spend, 2).alias("total_spend"),
         F.col("conversions").alias("total_conversions"),
-        rev.alias("total_revenue"),
+        round_half_away(rev, 2).alias("total_revenue"),
         safe_ratio("clicks", "impressions", 6).alias("avg_ctr"),
         safe_ratio(spend, "clicks", 4).alias("avg_cpc"),
         safe_ratio(rev, spend, 4).alias("avg_roas"),
@@ -93,9 +93,9 @@ def hourly_trends(m: DataFrame) -> DataFrame:
         "date", "hour", "channel",
         F.col("impressions").alias("total_impressions"),
         F.col("clicks").alias("total_clicks"),
-        from_minor("spend_minor").alias("total_spend"),
+        round_half_away("spend_exact", 2).alias("total_spend"),
         F.col("conversions").alias("total_conversions"),
-        from_minor("revenue_minor").alias("total_revenue"),
+        round_half_away("revenue_exact", 2).alias("total_revenue"),
         safe_ratio("clicks", "impressions", 6).alias("avg_ctr"),
     )
 

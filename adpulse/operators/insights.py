@@ -6,8 +6,9 @@
   channel's own mean and (population) standard deviation; |z| > 3 is a spike.
 * ``attribution_gap`` -- share of paid-medium events that lost their campaign id.
 * ``peak_conversion_hours`` -- the hours with the most conversions per channel.
+* ``budget_reallocation`` -- channels by ROAS, and spend moved in line with revenue.
 
-All four aggregate first, so every window below runs over per-day or
+All five aggregate first, so every window below runs over per-day or
 per-hour rows (bounded by the calendar), never over raw events.
 """
 
@@ -17,8 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.config import ZSCORE_THRESHOLD
-from adpulse.functions.exprs import round_half_away
-from adpulse.operators.common import join_dimension
+from adpulse.functions.exprs import money_sum, open_ratio, round_half_away
 
 
 def volume_vs_trailing_avg(df: DataFrame, table_name: str, days: int = 30, drop_ratio: float = 0.5) -> DataFrame:
@@ -61,7 +61,7 @@ def hourly_spikes(silver_ads: DataFrame, measure: str = "clicks", threshold: flo
         F.sum(F.col("traffic").cast(big)).alias("_s1"),
         F.sum(F.col("traffic").cast(big) * F.col("traffic").cast(big)).alias("_s2"),
     )
-    j = join_dimension(hourly, stats, "channel")
+    j = hourly.join(stats, "channel", "left")
     spread = F.sqrt((F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double"))
     z = F.try_divide((F.col("_n") * F.col("traffic").cast(big) - F.col("_s1")).cast("double"), spread)
     return j.select(
@@ -91,6 +91,30 @@ def peak_conversion_hours(hourly_trends: DataFrame, k: int = 3) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def budget_reallocation(channel_daily: DataFrame) -> DataFrame:
+    """Channels by efficiency, and the spend each would have if the same budget followed revenue.
+
+    ``suggested_spend`` is the total spend times the channel's share of revenue,
+    ``shift`` its difference from what was spent; the shifts sum to zero but for
+    rounding.  A channel without revenue gets nothing, one without spend has no
+    ROAS and ranks last; without any revenue there is no suggestion (NULL).
+    """
+    t = (
+        channel_daily.where(F.col("channel").isNotNull()).groupBy("channel")
+        .agg(money_sum("total_spend").alias("total_spend"), money_sum("total_revenue").alias("total_revenue"))
+    )
+    all_spend, all_revenue = t.select(money_sum("total_spend")).scalar(), t.select(money_sum("total_revenue")).scalar()
+    suggested = round_half_away(all_spend * F.try_divide(F.col("total_revenue"), all_revenue), 2)
+    roas = round_half_away(open_ratio("total_revenue", "total_spend"), 4)
+    # One row for each channel by now, so ranking them is small.
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("roas").desc_nulls_last(), "channel")
+    return (
+        t.select("channel", "total_spend", "total_revenue", roas.alias("roas"), suggested.alias("suggested_spend"))
+        .withColumn("shift", round_half_away(F.col("suggested_spend") - F.col("total_spend"), 2))
+        .withColumn("efficiency_rank", F.row_number().over(order))
+    )
+
+
 # ------------------------------------------------------------------ governance
 # Row-level validation rules of the silver ads table (the same bounds the
 # check suite audits).  Each rule is (reason, predicate that marks a bad row).

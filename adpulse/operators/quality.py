@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import (
-    MAX_NULL_PCT, MAX_STALENESS_HOURS, MIN_DAILY_ROWS, ROAS_MAX, ZSCORE_THRESHOLD,
+    MAX_NULL_PCT, MAX_STALENESS_HOURS, MIN_DAILY_ROWS, OUTLIER_PASS, OUTLIER_WARN, RANGE_WARN, ROAS_MAX,
+    SCORE_AT_RISK, SCORE_HEALTHY, ZSCORE_THRESHOLD,
 )
 from adpulse.functions.exprs import fixed, round_half_away, thousands
 
@@ -142,7 +143,7 @@ class _Compiler:
         self.aggs.append(F.count_if(bad).alias(a))
         v, n = F.col(a), F.col("__n")
         pct = F.when(n > 0, v.cast("double") / n.cast("double")).otherwise(F.lit(0.0))
-        status = F.when(v == 0, "PASS").when(pct < 0.01, "WARN").otherwise("FAIL")
+        status = F.when(v == 0, "PASS").when(pct < RANGE_WARN, "WARN").otherwise("FAIL")
         label = f"Target range [{_py_num(c.min_val)}, {_py_num(c.max_val)}] - Violations: "
         self.rows.append(F.array(_row(
             f"range_check_{col}", "validity", self.table, col, status, v, 0,
@@ -212,7 +213,7 @@ class _Compiler:
             pct = F.try_divide(F.col(out).cast("double"), F.col(cnt).cast("double"))
             scored = _row(
                 name, "anomaly", self.table, col,
-                F.when(pct < 0.02, "PASS").when(pct < 0.05, "WARN").otherwise("FAIL"), F.col(out), ZSCORE_THRESHOLD,
+                F.when(pct < OUTLIER_PASS, "PASS").when(pct < OUTLIER_WARN, "WARN").otherwise("FAIL"), F.col(out), ZSCORE_THRESHOLD,
                 F.concat(F.lit("Outlier density: "), fixed(pct * 100.0, 2), F.lit("% ("), thousands(F.col(out)), F.lit(" rows)")),
             )
             self.rows.append(
@@ -307,8 +308,8 @@ def summary(results: DataFrame) -> DataFrame:
     )
     rate = F.when(F.col("total") > 0, round_half_away(F.col("passed") * 100.0 / F.col("total"), 1)).otherwise(F.lit(0.0))
     exact = F.when(F.col("total") > 0, F.col("passed") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
-    # Governance index band on the unrounded rate: >= 90 healthy, >= 70 at risk.
-    band = F.when(exact >= 90, "HEALTHY").when(exact >= 70, "AT RISK").otherwise("CRITICAL")
+    # Governance index band on the unrounded rate.
+    band = F.when(exact >= SCORE_HEALTHY, "HEALTHY").when(exact >= SCORE_AT_RISK, "AT RISK").otherwise("CRITICAL")
     return s.select("total", "passed", "warned", "failed", rate.alias("pass_rate"), band.alias("score_band"))
 
 
@@ -322,9 +323,13 @@ class QualityGateError(RuntimeError):
     """Raised when any check in a result set has status FAIL."""
 
 
-def enforce(results: DataFrame, max_listed: int = 50) -> None:
-    """Quality gate: raise if any check failed (lists at most ``max_listed``)."""
-    failed = results.where(F.col("status") == "FAIL").select("table_name", "check_name").limit(max_listed).collect()
+def gate(results: DataFrame) -> DataFrame:
+    """(table_name, check_name) of every failed check: what the quality gate stops on."""
+    return results.where(F.col("status") == "FAIL").select("table_name", "check_name")
+
+
+def enforce(results: DataFrame) -> None:
+    """Quality gate: raise if any check failed, naming each one."""
+    failed = sorted(f"{r.table_name}.{r.check_name}" for r in gate(results).collect())   # as many rows as checks at most
     if failed:
-        names = ", ".join(f"{r.table_name}.{r.check_name}" for r in failed)
-        raise QualityGateError(f"quality gate failed: {names}")
+        raise QualityGateError(f"quality gate failed: {', '.join(failed)}")

@@ -196,13 +196,14 @@ def campaign_channel_revenue(campaign_daily: DataFrame, f: Filters = ALL, k: int
 
 
 def campaign_roas_top(campaign_daily: DataFrame, f: Filters = ALL, k: int = 10) -> DataFrame:
-    """Top k campaigns by unguarded ROAS (NULL where spend is 0, ranked last)."""
+    """Top k campaigns by unguarded ROAS (NULL where spend is 0, ranked last), returned lowest first."""
     t = _by(
         f.apply(campaign_daily), ["campaign_id"],
         money_sum("total_revenue").alias("total_revenue"), money_sum("total_spend").alias("total_spend"),
     )
     r = t.select("*", round_half_even(open_ratio("total_revenue", "total_spend"), 2).alias("roas"))
-    return r.orderBy(F.col("roas").desc_nulls_last(), "campaign_id").limit(k)
+    top = r.orderBy(F.col("roas").desc_nulls_last(), "campaign_id").limit(k)
+    return top.orderBy(F.col("roas").asc_nulls_first(), F.desc("campaign_id"))
 
 
 def campaign_cpa_lowest(campaign_daily: DataFrame, f: Filters = ALL, k: int = 10) -> DataFrame:
@@ -290,7 +291,7 @@ def hour_channel_ctr(hourly_trends: DataFrame, f: Filters = ALL) -> DataFrame:
 
 
 def hour_channel_heatmap(hourly_trends: DataFrame, f: Filters = ALL) -> DataFrame:
-    """Channel x hour (0-23) matrix of mean CTR; hours without data are NULL."""
+    """Channel x hour matrix of mean CTR; a day has the hours 0-23, those without data are NULL."""
     hours = list(range(24))
     kept = f.apply(hourly_trends, use_dates=False).where(F.col("channel").isNotNull() & F.col("hour").isNotNull())
     piv = kept.groupBy("channel").pivot("hour", hours).agg(exact_mean("avg_ctr", 6))

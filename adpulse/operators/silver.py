@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from adpulse.config import ADS_KEYS
 from adpulse.functions.exprs import event_category, safe_ratio
-from adpulse.operators.common import join_dimension
 
 # Recency columns, newest first; whichever are present decide the survivor.
 RECENCY = ["_loaded_at", "_load_seq"]
@@ -57,11 +56,13 @@ SILVER_ADS_COLUMNS = [
 def enrich(ads: DataFrame, campaigns: DataFrame, adgroups: DataFrame) -> DataFrame:
     """LEFT joins to the campaign and ad-group dimensions (orphans keep NULL dims).
 
-    The ad-group join is on ``adgroup_id`` alone, as in the reference.
+    The ad-group join is on ``adgroup_id`` alone, as in the reference.  No
+    hint is given: the adaptive plan broadcasts a dimension by its size in
+    bytes, and joins by shuffle otherwise.
     """
     c = campaigns.select("campaign_id", "campaign_name", "objective", "budget_daily")
     g = adgroups.select("adgroup_id", "adgroup_name", "targeting_type", "bid_strategy")
-    out = join_dimension(join_dimension(ads, c, "campaign_id"), g, "adgroup_id")
+    out = ads.join(c, "campaign_id", "left").join(g, "adgroup_id", "left")
     return out.select(*SILVER_ADS_COLUMNS)
 
 
@@ -70,28 +71,33 @@ def transform_ads(bronze_ads: DataFrame, campaigns: DataFrame, adgroups: DataFra
     return enrich(with_kpis(dedup_latest(bronze_ads)), campaigns, adgroups)
 
 
-SILVER_GA_COLUMNS = [
-    "date", "hour", "event_name", "event_category", "session_id", "user_id", "page",
-    "source", "medium", "campaign_id", "is_bounce",
-]
+def session_days(bronze_ga: DataFrame) -> DataFrame:
+    """(session_id, date, n): events of each session on each date; no row without a session."""
+    return (bronze_ga.where(F.col("session_id").isNotNull())
+            .groupBy("session_id", "date").agg(F.count(F.lit(1)).alias("n")))
 
 
-def transform_events(bronze_ga: DataFrame, sessions_from: DataFrame | None = None) -> DataFrame:
+def transform_events(bronze_ga: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """bronze_ga_events -> silver_ga_events (without audit columns).
 
-    A session of exactly one event is a bounce.  Session sizes come from a
-    partial (map-side combined) count joined back on ``session_id``; with AQE
-    skew-join handling a hot session is split rather than sent to one task.
-    Events without a session never match a count, so they are never bounces;
-    they skip the shuffle entirely instead of all hashing to one partition.
+    A session of exactly one event is a bounce, so only such sessions need to
+    be found: a count (combined map-side) that also carries the hash of the
+    session's event.  Events meet them on session *and* event hash, so the
+    events of a hot session are spread over all tasks by their hashes and
+    never need one task.  Events without a session are never bounces and skip
+    the shuffle.
 
-    ``sessions_from`` holds every event of the sessions in ``bronze_ga`` when
-    ``bronze_ga`` is only a slice (default: ``bronze_ga`` itself).
+    ``days`` holds (session_id, date, n) of every session in ``bronze_ga`` when
+    that is only a slice: a session must then also have one event over all days.
     """
-    keyed = bronze_ga.where(F.col("session_id").isNotNull())
-    counted = keyed if sessions_from is None else sessions_from.where(F.col("session_id").isNotNull())
-    sizes = counted.groupBy("session_id").agg(F.count(F.lit(1)).alias("_events"))
-    bounced = keyed.join(sizes, "session_id", "left").withColumn("is_bounce", F.coalesce(F.col("_events") == 1, F.lit(False)))
+    keyed = bronze_ga.where(F.col("session_id").isNotNull()).withColumn("_event", F.xxhash64(*bronze_ga.columns))
+    single = (keyed.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_event").alias("_event"))
+              .where(F.col("_n") == 1).select("session_id", "_event"))
+    if days is not None:
+        whole = days.groupBy("session_id").agg(F.sum("n").alias("_n")).where(F.col("_n") == 1)
+        single = single.join(whole, "session_id", "left_semi")
+    bounced = (keyed.join(single.withColumn("is_bounce", F.lit(True)), ["session_id", "_event"], "left")
+               .withColumn("is_bounce", F.coalesce("is_bounce", F.lit(False))))
     orphan = bronze_ga.where(F.col("session_id").isNull()).withColumn("is_bounce", F.lit(False))
 
     def shape(df: DataFrame) -> DataFrame:

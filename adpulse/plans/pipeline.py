@@ -2,11 +2,10 @@
 
 The jobs only sequence table writes; every transform is a DataFrame plan
 from ``adpulse.operators``.  Incremental runs replace the date slice in the
-two bronze facts, rebuild silver ads and the hourly rollup for those dates
-only (their grains contain ``date``), rebuild silver events for the dates
-of every session the slice touches (a session may span dates, so a bounce
-flag can depend on other days), and rewrite the small gold tables from the
-rollup.
+two bronze facts, rebuild silver ads, the hourly rollup and the gold tables for
+those dates only (their grains contain ``date``), and rebuild silver events for
+the dates of every session the slice touches (a session may span dates, so a
+bounce flag can depend on other days).  Checks follow every run.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from adpulse.sources.warehouse import Warehouse
 log = logging.getLogger(__name__)
 
 ROLLUP_TABLE = "stage_ads_hourly"
+SESSIONS_TABLE = "stage_session_days"
+QUARANTINE_TABLE = "silver_ads_quarantine"
 
 
 def new_batch_id(now: dt.datetime | None = None) -> str:
@@ -35,27 +36,22 @@ def new_batch_id(now: dt.datetime | None = None) -> str:
 
 
 # ---------------------------------------------------------------- bronze
-def _prepared(table: str, df: DataFrame, pii_salt: str | None) -> DataFrame:
-    """Source rows as they enter bronze: identifiers hashed when a salt is given."""
-    if pii_salt and table == "bronze_ga_events":
-        return insights.pseudonymize(df, pii_salt)
+def _prepared(wh: Warehouse, table: str, df: DataFrame) -> DataFrame:
+    """Source rows as they enter bronze: identifiers hashed if the warehouse has a salt."""
+    if wh.pii_salt and table == "bronze_ga_events":
+        return insights.pseudonymize(df, wh.pii_salt)
     return df
 
 
-def ingest_bronze(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str, pii_salt: str | None = None) -> None:
-    """Full load of every available source into bronze, with audit columns.
-
-    ``pii_salt`` hashes user and session ids at ingestion (off by default).
-    """
+def ingest_bronze(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str) -> None:
+    """Full load of every available source into bronze, with audit columns."""
     for table, df in sources.items():
-        df = _prepared(table, df, pii_salt)
         part = "date" if table in FACT_TABLES else None
-        wh.replace(table, with_audit(df, batch_id, SOURCE_MAP[table]), partition_by=part)
+        wh.replace(table, with_audit(_prepared(wh, table, df), batch_id, SOURCE_MAP[table]), partition_by=part)
         log.info("bronze %s loaded", table)
 
 
-def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str,
-                        pii_salt: str | None = None) -> bool:
+def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str) -> bool:
     """Replace the ``dates`` slice of the bronze facts; dimensions are left as loaded.
 
     Returns False when bronze did not exist yet and a full load ran instead.
@@ -66,9 +62,9 @@ def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: lis
             continue
         if not wh.exists(table):
             log.info("%s does not exist -- running a full load", table)
-            ingest_bronze(wh, sources, batch_id, pii_salt)
+            ingest_bronze(wh, sources, batch_id)
             return False
-        new = with_audit(slice_dates(_prepared(table, sources[table], pii_salt), dates), batch_id, SOURCE_MAP[table])
+        new = with_audit(slice_dates(_prepared(wh, table, sources[table]), dates), batch_id, SOURCE_MAP[table])
         wh.replace_dates(table, new, dates)
     return True
 
@@ -89,53 +85,63 @@ def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> Non
             wh.replace_dates("silver_ads_performance", ads, dates, dates_from=bronze)
     if wh.exists("bronze_ga_events"):
         if dates is None or not wh.exists("silver_ga_events"):
-            ev = with_audit(silver.transform_events(wh.read("bronze_ga_events")), batch_id)
-            wh.replace("silver_ga_events", ev, partition_by="date", grain=wh.grain_of("bronze_ga_events"))
+            events, grain = wh.read("bronze_ga_events"), wh.grain_of("bronze_ga_events")
+            wh.replace(SESSIONS_TABLE, silver.session_days(events), partition_by="date", grain=grain)
+            wh.replace("silver_ga_events", with_audit(silver.transform_events(events), batch_id), partition_by="date", grain=grain)
         else:
             rebuild_events_for(wh, batch_id, dates)
+    if dates is not None and wh.exists(QUARANTINE_TABLE):
+        quarantine_silver(wh, batch_id, dates)
 
 
 def rebuild_events_for(wh: Warehouse, batch_id: str, dates: list) -> list:
     """Rebuild silver events touched by a replaced bronze slice, exactly.
 
     A bounce flag depends on the size of its session, and a session may span
-    days.  The sessions touched are those in the slice before (silver) or
-    after (bronze) the replace; every date on which such a session has an
-    event is rebuilt, with session sizes counted over all of bronze through a
-    semi-join (only matching rows move).  Sessions of other dates did not
-    change, so their rows are left as they are.  Returns the rebuilt dates.
+    days.  The sessions touched are those in the slice before or after the
+    replace; every date on which such a session has an event is rebuilt.  Dates
+    and sizes come from the stored counts per session and day, whose slice is
+    renewed first, so the events of other dates are not read.  Returns the
+    rebuilt dates (None for events without a date).
     """
-    bronze = wh.read("bronze_ga_events")
-    touched_sessions = (
-        wh.read_dates("silver_ga_events", dates).select("session_id")
-        .unionByName(wh.read_dates("bronze_ga_events", dates).select("session_id"))
-        .where(F.col("session_id").isNotNull()).distinct()
+    days = sorted({_date(d) for d in dates}, key=str)
+    sliced = wh.read_dates("bronze_ga_events", days)
+    wh.replace_dates(SESSIONS_TABLE, silver.session_days(sliced), days, dates_from=sliced.where(F.col("session_id").isNotNull()))
+    touched = (
+        wh.read_dates("silver_ga_events", days).select("session_id")
+        .unionByName(sliced.select("session_id")).where(F.col("session_id").isNotNull()).distinct()
     )
-    spread = bronze.join(touched_sessions, "session_id", "left_semi").select("date").distinct()
-    rebuilt = sorted({_date(d) for d in dates} | {r[0] for r in spread.collect()})   # bounded by the calendar
+    counts = wh.read(SESSIONS_TABLE)
+    spread = counts.join(touched, "session_id", "left_semi").select("date").distinct()
+    rebuilt = sorted({*days, *(r[0] for r in spread.collect())}, key=str)      # bounded by the calendar
     events = wh.read_dates("bronze_ga_events", rebuilt)
-    on_dates = events.select("session_id").where(F.col("session_id").isNotNull()).distinct()
-    sessions_from = bronze.join(on_dates, "session_id", "left_semi")
-    ev = with_audit(silver.transform_events(events, sessions_from), batch_id)
+    ev = with_audit(silver.transform_events(events, counts), batch_id)
     wh.replace_dates("silver_ga_events", ev, rebuilt, dates_from=events)
     return rebuilt
 
 
-def quarantine_silver(wh: Warehouse, batch_id: str) -> int:
+def quarantine_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> int:
     """Move silver ads rows that break a validation rule to ``silver_ads_quarantine``.
 
-    Opt-in: the reference's silver keeps every row.  Both tables are written
-    from one staged copy of silver (a written table cuts the lineage before
-    silver itself is replaced).  Returns the number of quarantined rows.
+    Opt-in: the reference's silver keeps every row.  Once the quarantine table
+    exists, later date runs apply the rules to their dates again.  Both tables
+    are written from one staged copy (a written table cuts the lineage before
+    silver itself is replaced).  Returns the number of rows quarantined.
     """
-    staged = "silver_ads_staging"
-    wh.replace(staged, wh.read("silver_ads_performance"), partition_by="date",
-               grain=wh.grain_of("silver_ads_performance"))
+    silver_table, staged = "silver_ads_performance", "stage_quarantine"
+    rows = wh.read(silver_table) if dates is None else wh.read_dates(silver_table, dates)
+    grain = wh.grain_of(silver_table)
+    wh.replace(staged, rows, partition_by="date", grain=grain)
     clean, bad = insights.quarantine_split(wh.read(staged))
-    wh.replace("silver_ads_quarantine", bad, partition_by="date", grain=wh.grain_of(staged))
-    wh.replace("silver_ads_performance", clean, partition_by="date", grain=wh.grain_of(staged))
+    if dates is None:
+        wh.replace(QUARANTINE_TABLE, bad, partition_by="date", grain=grain)
+        wh.replace(silver_table, clean, partition_by="date", grain=grain)
+    else:
+        wh.replace_dates(QUARANTINE_TABLE, bad, dates)
+        wh.replace_dates(silver_table, clean, dates)
+    moved = bad.count()
     wh.spark.sql(f"DROP TABLE IF EXISTS {wh.name(staged)}")
-    return wh.row_count("silver_ads_quarantine")
+    return moved
 
 
 def apply_retention(wh: Warehouse, table: str, as_of: dt.datetime | dt.date | None = None, days: int = 90) -> list:
@@ -146,7 +152,7 @@ def apply_retention(wh: Warehouse, table: str, as_of: dt.datetime | dt.date | No
     Returns the removed dates.
     """
     cutoff = _date(as_of or dt.datetime.now()) - dt.timedelta(days=days)
-    old = sorted(d for d in wh.partition_dates(table) if d < cutoff)
+    old = sorted(d for d in wh.partition_dates(table) if d is not None and d < cutoff)
     if old:
         wh.replace_dates(table, wh.read(table).limit(0), old)
     return old
@@ -154,19 +160,23 @@ def apply_retention(wh: Warehouse, table: str, as_of: dt.datetime | dt.date | No
 
 # ---------------------------------------------------------------- gold
 def build_gold(wh: Warehouse, dates: list | None = None) -> None:
-    """Hourly rollup of silver (whole or for ``dates``), then the four gold tables from it."""
+    """Hourly rollup of silver, then the four gold tables from it: whole, or the slice of ``dates``."""
     if not wh.exists("silver_ads_performance"):
         return
-    s = wh.read("silver_ads_performance") if dates is None else wh.read_dates("silver_ads_performance", dates)
-    roll = gold.rollup(s)
-    if dates is None or not wh.exists(ROLLUP_TABLE):
-        wh.replace(ROLLUP_TABLE, roll, partition_by="date", grain=wh.grain_of("silver_ads_performance"))
+    grain = wh.grain_of("silver_ads_performance")
+    whole = dates is None or not all(wh.exists(t) for t in (ROLLUP_TABLE, *gold.BUILDERS))
+    s = wh.read("silver_ads_performance") if whole else wh.read_dates("silver_ads_performance", dates)
+    if whole:
+        wh.replace(ROLLUP_TABLE, gold.rollup(s), partition_by="date", grain=grain)
     else:
-        wh.replace_dates(ROLLUP_TABLE, roll, dates, dates_from=s)
-    base = wh.read(ROLLUP_TABLE)
+        wh.replace_dates(ROLLUP_TABLE, gold.rollup(s), dates, dates_from=s)
+    base = wh.read(ROLLUP_TABLE) if whole else wh.read_dates(ROLLUP_TABLE, dates)
     for table, (build, order) in gold.BUILDERS.items():
-        # Gold is small: one sorted, unpartitioned table rewritten from the rollup.
-        wh.replace(table, with_audit(build(base), "gold").drop("_batch_id"), sort_by=order)
+        rows = with_audit(build(base), "gold").drop("_batch_id")
+        if whole:
+            wh.replace(table, rows, partition_by="date", grain=grain, sort_by=order)
+        else:
+            wh.replace_dates(table, rows, dates, sort_by=order, dates_from=base)
 
 
 # ---------------------------------------------------------------- quality
@@ -179,7 +189,7 @@ def run_quality(wh: Warehouse, batch_id: str | None = None, as_of=None, gate: bo
     """Run the standard suite, store it under its batch id, return the summary."""
     batch_id = batch_id or new_batch_id()
     results = quality.run_checks(audited_tables(wh), batch_id=batch_id, as_of=as_of)
-    wh.replace_where(RESULTS_TABLE, results, "batch_id", batch_id, schema=QUALITY_RESULTS)
+    wh.replace_where(RESULTS_TABLE, results, "batch_id", schema=QUALITY_RESULTS)
     stored = wh.read(RESULTS_TABLE).where(F.col("batch_id") == batch_id)
     # The reference's summary contract: exactly these five keys.
     summary = quality.summary(stored).select("total", "passed", "warned", "failed", "pass_rate").first().asDict()
@@ -226,41 +236,40 @@ DIMENSIONS = ["bronze_campaigns", "bronze_adgroups"]
 
 
 def run_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str | None = None,
-              refresh_dimensions: bool = False) -> str:
-    """Replace ``dates`` in bronze, then rebuild what depends on them.
+              refresh_dimensions: bool = False, as_of=None, gate: bool = False) -> RunResult:
+    """Replace ``dates`` in bronze, rebuild what depends on them, then run the checks.
 
     Dimensions are left as loaded (the reference's incremental behaviour)
     unless ``refresh_dimensions``; a refreshed dimension can rename any
-    date's rows, so silver and gold are then rebuilt whole.
+    date's rows, so silver and gold are then rebuilt whole, from all that
+    bronze holds (after a retention run, gold loses the dates bronze lost).
     """
     batch_id = batch_id or new_batch_id()
-    if not ingest_bronze_dates(wh, sources, dates, batch_id):
-        build_silver(wh, batch_id)
-        build_gold(wh)
-        return batch_id
-    if refresh_dimensions:
+    sliced = ingest_bronze_dates(wh, sources, dates, batch_id)
+    if sliced and refresh_dimensions:
         ingest_bronze(wh, {t: sources[t] for t in DIMENSIONS if t in sources}, batch_id)
-        build_silver(wh, batch_id)
-        build_gold(wh)
-        return batch_id
-    build_silver(wh, batch_id, dates)
-    build_gold(wh, dates)
-    return batch_id
+    scope = dates if sliced and not refresh_dimensions else None
+    build_silver(wh, batch_id, scope)
+    if scope is None and wh.exists(QUARANTINE_TABLE):
+        quarantine_silver(wh, batch_id)
+    build_gold(wh, scope)
+    return RunResult(batch_id, run_quality(wh, batch_id, as_of=as_of, gate=gate))
 
 
 def run_incremental(wh: Warehouse, sources: dict[str, DataFrame], target_date, batch_id: str | None = None,
-                    refresh_dimensions: bool = False) -> str:
+                    refresh_dimensions: bool = False, as_of=None, gate: bool = False) -> RunResult:
     """Idempotent reprocessing of one date."""
-    return run_dates(wh, sources, [_date(target_date)], batch_id, refresh_dimensions)
+    return run_dates(wh, sources, [_date(target_date)], batch_id, refresh_dimensions, as_of, gate)
 
 
-def run_d_minus_1(wh: Warehouse, sources: dict[str, DataFrame], as_of: dt.datetime | None = None) -> str:
+def run_d_minus_1(wh: Warehouse, sources: dict[str, DataFrame], as_of: dt.datetime | None = None) -> RunResult:
     """Reprocess yesterday relative to ``as_of`` (default: now)."""
-    day = (as_of or dt.datetime.now()).date() - dt.timedelta(days=1)
-    return run_incremental(wh, sources, day)
+    now = as_of or dt.datetime.now()
+    return run_incremental(wh, sources, now.date() - dt.timedelta(days=1), as_of=now)
 
 
-def backfill(wh: Warehouse, sources: dict[str, DataFrame], start_date, end_date, batch_id: str | None = None) -> str:
+def backfill(wh: Warehouse, sources: dict[str, DataFrame], start_date, end_date, batch_id: str | None = None,
+             as_of=None, gate: bool = False) -> RunResult:
     """Reprocess every date in [start_date, end_date] with one range replace and one rebuild."""
     if not start_date or not end_date:
         raise ValueError("backfill requires both start_date and end_date")
@@ -268,10 +277,12 @@ def backfill(wh: Warehouse, sources: dict[str, DataFrame], start_date, end_date,
     if end < start:
         raise ValueError(f"backfill end {end} is before start {start}")
     days = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
-    return run_dates(wh, sources, days, batch_id)
+    return run_dates(wh, sources, days, batch_id, as_of=as_of, gate=gate)
 
 
-def _date(d) -> dt.date:
+def _date(d) -> dt.date | None:
+    if d is None:
+        return None
     if isinstance(d, dt.datetime):
         return d.date()
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))

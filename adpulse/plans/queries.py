@@ -7,12 +7,21 @@ where the limit is the feature (top-k reports).
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adpulse.operators import gold, insights, quality, reports, silver
+from adpulse.operators.common import drop_audit
+from adpulse.plans import pipeline
+from adpulse.session import scratch_path
+from adpulse.sources import schemas
 from adpulse.sources.adapters import driver_sources
+from adpulse.sources.extracts import read_extract_dates, write_extract
+from adpulse.sources.warehouse import Warehouse
 
 BATCH_ID = "oracle_batch"
 AS_OF = "2024-02-01 00:00:00"
@@ -80,62 +89,111 @@ def _summary(L: Layers) -> DataFrame:
 
 def _filtered_scope(L: Layers) -> DataFrame:
     cd = L.gold("gold_campaign_daily")
-    from adpulse.config import CHANNELS
-    return reports.filtered_scope(cd, reports.default_filters(cd, channels=CHANNELS))
+    return reports.filtered_scope(cd, reports.default_filters(cd))
 
 
-def _hour_ctr(fn) -> Query:
-    from adpulse.config import CHANNELS
-    return _on(lambda L: fn(L.gold("gold_hourly_trends"), reports.Filters(channels=CHANNELS)))
+def _campaign_filtered(L: Layers) -> DataFrame:
+    return reports.filtered_scope(L.gold("gold_campaign_daily"), reports.Filters(campaigns=["CMP001", "CMP004"]))
 
 
-def _fresh_warehouse(spark: SparkSession, label: str):
-    import uuid
+def _gate(L: Layers) -> DataFrame:
+    return quality.gate(quality.run_checks(L.tables(), batch_id=BATCH_ID, as_of=AS_OF))
 
-    from adpulse.session import scratch_path
-    from adpulse.sources.warehouse import Warehouse
+
+def _fresh_warehouse(spark: SparkSession, label: str, pii_salt: str | None = None):
+    """A new warehouse in the shared folder; monthly partitions, for the driver's few rows a day."""
     name = f"{label}_{uuid.uuid4().hex[:10]}"
-    return Warehouse(spark, database=name, location=scratch_path(spark, name))
+    return Warehouse(spark, database=name, location=scratch_path(spark, name), grain="month", pii_salt=pii_salt)
 
 
 def _date_span(df: DataFrame) -> tuple:
     """(min, max) date of a source: two scalars, the job's parameters."""
-    from pyspark.sql import functions as F
     r = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
     return r["lo"], r["hi"]
 
 
-def _incremental_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full bronze load, then the latest date replaced again (D-1 style).
+def _undated(df: DataFrame, pick) -> DataFrame:
+    """The source and, once more without a date, the rows that ``pick`` chooses."""
+    return df.unionByName(df.where(pick).withColumn("date", F.lit(None).cast("date")))
 
-    The end state must equal the source: replacing a slice is idempotent.
-    """
-    from adpulse.operators.common import drop_audit
-    from adpulse.plans import pipeline
-    wh = _fresh_warehouse(spark, "incremental")
+
+def _spoiled(df: DataFrame, lo, hi, pick, change: dict) -> DataFrame:
+    """The source as an earlier run might have loaded it: between two dates some
+    rows are missing, some are there twice under another campaign, the rest differ."""
+    inside = F.coalesce(F.col("date").between(F.lit(lo), F.lit(hi)), F.lit(False))
+    wrong = df.where(inside & ~pick).withColumns(change)
+    extra = df.where(inside & ~pick).withColumn("campaign_id", F.lit("CMP_WRONG"))
+    return df.where(~inside).unionByName(wrong).unionByName(extra)
+
+
+def _incremental_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze ads after a wrong first load (last date changed, rows missing and extra) and a
+    replace of that date from the true source.  Rows without a date must survive it."""
     src = driver_sources(spark, sf_dir)
-    pipeline.ingest_bronze(wh, src, "b1")
-    _, hi = _date_span(src["bronze_ads_performance"])
-    pipeline.ingest_bronze_dates(wh, src, [hi], "b2")
+    ads = _undated(src["bronze_ads_performance"], F.col("_load_seq") % 5000 == 3)
+    _, hi = _date_span(ads)
+    wrong = _spoiled(ads, hi, hi, F.col("_load_seq") % 3 == 0, {"impressions": F.col("impressions") + 7})
+    wh = _fresh_warehouse(spark, "incremental")
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": wrong}, "b1")
+    pipeline.ingest_bronze_dates(wh, {"bronze_ads_performance": ads}, [hi], "b2")
     return drop_audit(wh.read("bronze_ads_performance"))
 
 
+def _incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver events after the same: wrong on the last date, then that date run again."""
+    src = driver_sources(spark, sf_dir)
+    ga = _undated(src["bronze_ga_events"], F.col("user_id").endswith("77"))
+    _, hi = _date_span(ga)
+    wrong = _spoiled(ga, hi, hi, F.col("page") == "/p3", {"source": F.lit("wrong")})
+    wh = _fresh_warehouse(spark, "events")
+    pipeline.ingest_bronze(wh, {"bronze_ga_events": wrong}, "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.ingest_bronze_dates(wh, {"bronze_ga_events": ga}, [hi], "b2")
+    pipeline.build_silver(wh, "b2", [hi])
+    return drop_audit(wh.read("silver_ga_events"))
+
+
 def _backfill_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full pipeline, then a backfill over the whole date span; gold must not change."""
-    from adpulse.plans import pipeline
-    wh = _fresh_warehouse(spark, "backfill")
+    """Gold channels after a pipeline over a source that is wrong in its last 60 days, and a backfill of these."""
     src = driver_sources(spark, sf_dir)
-    b = "b1"
-    pipeline.ingest_bronze(wh, src, b)
-    pipeline.build_silver(wh, b)
+    ads = src["bronze_ads_performance"]
+    _, hi = _date_span(ads)
+    lo = hi - dt.timedelta(days=60)
+    wrong = dict(src, bronze_ads_performance=_spoiled(ads, lo, hi, F.col("_load_seq") % 3 == 0, {"spend": F.col("spend") * 3}))
+    wh = _fresh_warehouse(spark, "backfill")
+    pipeline.ingest_bronze(wh, wrong, "b1")
+    pipeline.build_silver(wh, "b1")
     pipeline.build_gold(wh)
-    lo, hi = _date_span(src["bronze_ads_performance"])
-    pipeline.backfill(wh, src, lo, hi, "b2")
+    pipeline.backfill(wh, src, lo, hi, "b2", as_of=AS_OF)
     return wh.read("gold_channel_daily").drop("_loaded_at")
 
 
+def _incremental_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks stored by an incremental run over a warehouse that had none."""
+    src = driver_sources(spark, sf_dir)
+    wh = _fresh_warehouse(spark, "checked")
+    pipeline.run_incremental(wh, src, _date_span(src["bronze_ads_performance"])[1], batch_id=BATCH_ID, as_of=AS_OF)
+    return wh.read("quality_check_results").drop("checked_at")
+
+
+def _pseudonymized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze events of a salted warehouse after a full load and a date run: no raw id is left."""
+    ga = driver_sources(spark, sf_dir)["bronze_ga_events"]
+    wh = _fresh_warehouse(spark, "salted", pii_salt="pepper")
+    pipeline.ingest_bronze(wh, {"bronze_ga_events": ga}, "b1")
+    pipeline.ingest_bronze_dates(wh, {"bronze_ga_events": ga}, [_date_span(ga)[1]], "b2")
+    return drop_audit(wh.read("bronze_ga_events"))
+
+
+def _string_dated_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day of an extract whose dates are text, as the reference writes them."""
+    ads = driver_sources(spark, sf_dir)["bronze_ads_performance"]
+    path = f"{scratch_path(spark, 'extract')}/ads_performance.parquet"
+    write_extract(ads.withColumn("date", F.col("date").cast("string")), path)
+    return drop_audit(read_extract_dates(spark, path, schemas.ADS_PERFORMANCE, [_date_span(ads)[1]]))
+
+
 def _warehouse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from adpulse.plans import pipeline
     wh = _fresh_warehouse(spark, "inventory")
     pipeline.run_full(wh, driver_sources(spark, sf_dir), batch_id=BATCH_ID, as_of=AS_OF)
     return wh.inventory()
@@ -165,11 +223,12 @@ QUERIES: dict[str, Query] = {
     "funnel_totals": _report(reports.funnel_totals, CD),
     "campaign_drilldown": _report(reports.campaign_drilldown, CD),
     "channel_scorecard": _report(reports.channel_scorecard, CH),
-    "hour_channel_ctr": _hour_ctr(reports.hour_channel_ctr),
-    "hour_channel_heatmap": _hour_ctr(reports.hour_channel_heatmap),
+    "hour_channel_ctr": _report(reports.hour_channel_ctr, "gold_hourly_trends"),
+    "hour_channel_heatmap": _report(reports.hour_channel_heatmap, "gold_hourly_trends"),
     "filter_values": _on(lambda L: reports.filter_values(L.gold(CD))),
     "date_bounds": _on(lambda L: reports.date_bounds(L.gold(CD))),
     "filtered_scope": _on(_filtered_scope),
+    "campaign_filtered": _on(_campaign_filtered),
     "dq_completeness": _checks("completeness"),
     "dq_non_negative": _checks("non_negative"),
     "dq_range": _checks("range"),
@@ -180,12 +239,18 @@ QUERIES: dict[str, Query] = {
     "dq_suite": _checks(None),
     "dq_summary": _on(_summary),
     "dq_audit_log": _on(_audit_log),
+    "dq_gate": _on(_gate),
     "volume_vs_trailing_avg": _on(lambda L: insights.volume_vs_trailing_avg(L.silver_ads, "silver_ads_performance")),
     "hourly_spikes": _on(lambda L: insights.hourly_spikes(L.silver_ads)),
     "attribution_gap": _on(lambda L: insights.attribution_gap(L.silver_ga)),
     "peak_conversion_hours": _on(lambda L: insights.peak_conversion_hours(L.gold("gold_hourly_trends"))),
+    "budget_reallocation": _on(lambda L: insights.budget_reallocation(L.gold(CH))),
     "silver_ads_quarantine": _on(lambda L: insights.quarantine_split(L.silver_ads)[1]),
     "incremental_replace": _incremental_replace,
+    "incremental_events": _incremental_events,
+    "incremental_checked": _incremental_checked,
     "backfill_range": _backfill_range,
+    "pseudonymized_events": _pseudonymized_events,
+    "string_dated_slice": _string_dated_slice,
     "warehouse_inventory": _warehouse_inventory,
 }

@@ -24,8 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "adpulse") -> SparkSession:
-    """Local session for tests and the benchmark (UI off, no ports beyond Spark's own)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "adpulse", scratch: bool = False) -> SparkSession:
+    """Local session (UI off, no ports beyond Spark's own).
+
+    ``scratch=True`` is for tests and the benchmark only: it trades the safety
+    of committed files for speed on a local disk.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -33,14 +37,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("ADPULSE_DRIVER_MEMORY", "8g"))
-        # Local disk only: no checksum side files, one-rename commits, and
-        # partition listing on the driver instead of a listing job.
-        .config("spark.hadoop.fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
-        .config("spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version", "2")
-        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "100000")
     )
     for k, v in SQL_CONF.items():
         builder = builder.config(k, v)
+    if scratch:
+        # No checksum side files, one-rename commits, and partition listing on the driver.
+        builder = (
+            builder.config("spark.hadoop.fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+            .config("spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version", "2")
+            .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "100000")
+        )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -49,12 +55,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read here.
-    Where it is unset (local tests) a fresh folder is created and set.
+    On a cluster this setting names shared storage, is only read here, and must
+    be set.  A local session without it gets a fresh temporary folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="adpulse-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d

@@ -52,16 +52,41 @@ def write_extract(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def in_dates(column: str, dates: list):
+    """Predicate for a set of days; a contiguous run becomes one BETWEEN, None stands for NULL dates."""
+    import datetime as dt
+
+    days = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in dates if d is not None})
+    lit = lambda d: F.lit(str(d)).cast("date")
+    found = F.lit(False)
+    if days:
+        lo, hi = days[0], days[-1]
+        whole = (hi - lo).days + 1 == len(days)
+        found = F.col(column).between(lit(lo), lit(hi)) if whole else F.col(column).isin([lit(d) for d in days])
+    return found | F.col(column).isNull() if None in dates else found
+
+
 def slice_dates(df: DataFrame, dates: list) -> DataFrame:
-    """Rows of the given dates only (pushed to the scan when ``date`` is typed).
+    """Rows of the given dates only (pushed to the scan when ``date`` is typed)."""
+    return df.where(in_dates("date", dates))
 
-    A contiguous run of days becomes one ``BETWEEN`` (a range predicate for
-    partition pruning and row-group skipping) instead of a long IN-list.
-    """
-    import datetime as dt
 
-    days = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in dates})
-    lo, hi = days[0], days[-1]
-    if (hi - lo).days + 1 == len(days):
-        return df.where(F.col("date").between(F.lit(str(lo)).cast("date"), F.lit(str(hi)).cast("date")))
-    return df.where(F.col("date").isin([F.lit(str(d)).cast("date") for d in days]))
+def read_extract_dates(spark: SparkSession, path: str, schema: T.StructType, dates: list) -> DataFrame | None:
+    """The given days of one extract; ``None`` (with a warning) if the file is missing.
+
+    Where the file holds ``date`` as ISO text, the days are also compared as
+    text before the cast, so that the bound reaches the scan: text that casts
+    to one of the days begins with it.  (Zoned or padded text would not; such
+    files are read with ``read_extract`` and sliced.)
+    """
+    days = sorted(str(d) for d in dates if d is not None)
+    try:
+        raw = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            log.warning("source file not found: %s -- skipping", path)
+            return None
+        raise
+    if isinstance(raw.schema["date"].dataType, T.StringType) and days and None not in dates:
+        raw = raw.where(F.col("date").between(days[0], days[-1] + "~"))
+    return slice_dates(conform(raw, schema), dates)

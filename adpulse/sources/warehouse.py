@@ -1,18 +1,20 @@
 """Warehouse: one catalog database of Parquet tables at a shared location.
 
-Fact tables are partitioned by time.  The grain follows volume: a table
-whose days hold at least ``DAILY_PARTITION_ROWS`` rows on average is
-partitioned by ``date``; a smaller one by ``date_month`` (first day of the
-month), so small tables do not explode into one tiny file per day.  The
-choice is made once, when the table is first written, from a one-column
-scan, and is recorded by the schema itself (``date_month`` present or not).
+Fact, silver and gold tables are partitioned by ``date``.  A warehouse opened
+with ``grain="month"`` partitions new tables by ``date_month`` (first day of the
+month) instead, for small data; each table keeps the grain it was made with,
+recorded by its schema (``date_month`` present or not).
 
 A date slice is replaced with dynamic partition overwrite: under the daily
 grain the slice's partitions are rewritten directly; under the monthly
 grain the affected months are rewritten as (old rows outside the slice) +
 (new rows).  Partitions left without rows are dropped (a DELETE that
-inserts nothing).  Writes go through Spark's commit protocol, so a lost
-executor only reruns its tasks.
+inserts nothing).  Rows without a date are a slice of their own, ``None``.
+Writes go through Spark's commit protocol, so a lost executor only reruns its
+tasks.
+
+The tables outlive the session: their files lie under ``location``, and
+opening a warehouse there registers the tables that the catalog does not know.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adpulse.config import DAILY_PARTITION_ROWS
+from adpulse.config import STAGE_PREFIX
 from adpulse.functions.exprs import layer_of
-from adpulse.session import configure, shared_dir
+from adpulse.session import configure
+from adpulse.sources.extracts import in_dates, slice_dates
+from adpulse.sources.schemas import TABLES
 
 MONTH_COL = "date_month"
 
@@ -33,15 +37,49 @@ def _q(name: str) -> str:
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, database: str = "adpulse", location: str | None = None,
-                 grain: str | None = None):
-        """``grain`` forces "day" or "month" for new time-partitioned tables; None decides by volume."""
+    def __init__(self, spark: SparkSession, database: str, location: str, grain: str = "day", pii_salt: str | None = None):
+        """Opens the warehouse at ``location``, a folder that driver and executors share.
+
+        ``pii_salt`` belongs to the warehouse: every job that loads events into
+        it hashes user and session ids with it.
+        """
+        if grain not in ("day", "month"):
+            raise ValueError("grain is 'day' or 'month'")
         configure(spark)
         self.spark = spark
         self.database = database
         self.grain = grain
-        self.location = (location or f"{shared_dir(spark)}/warehouse/{database}").rstrip("/")
+        self.pii_salt = pii_salt
+        self.location = location.rstrip("/")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {_q(database)} LOCATION '{self.location}'")
+        self._register()
+
+    def path(self, table: str) -> str:
+        return f"{self.location}/{table}"
+
+    def _folders(self, path: str) -> list[str]:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _register(self) -> None:
+        """Adds the tables found at the location to the catalog."""
+        present = set(self._folders(self.location))
+        for table, (schema, partition) in TABLES.items():
+            if table not in present or self.exists(table):
+                continue
+            inside = self._folders(self.path(table))
+            if not inside:
+                continue
+            columns = {f.name: f.dataType.simpleString() for f in schema.fields}
+            if partition == "date" and any(x.startswith(f"{MONTH_COL}=") for x in inside):
+                columns[MONTH_COL], partition = "date", MONTH_COL
+            ddl = ", ".join(f"{_q(c)} {t}" for c, t in columns.items())
+            by = f" PARTITIONED BY ({_q(partition)})" if partition else ""
+            self.spark.sql(f"CREATE TABLE {self.name(table)} ({ddl}) USING parquet{by} LOCATION '{self.path(table)}'")
+            if partition:
+                self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
 
     # -- catalog -------------------------------------------------------------
     def name(self, table: str) -> str:
@@ -51,7 +89,8 @@ class Warehouse:
         return self.spark.catalog.tableExists(f"{self.database}.{table}")
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        """The user's tables; those that only the jobs use are left out."""
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.name.startswith(STAGE_PREFIX))
 
     def _raw(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
@@ -62,29 +101,19 @@ class Warehouse:
 
     def read_dates(self, table: str, dates: list) -> DataFrame:
         """Rows of ``dates`` with partition pruning under either grain."""
-        from adpulse.sources.extracts import slice_dates
-
         df = self._raw(table)
         if MONTH_COL in df.columns:
-            months = sorted({_month(d) for d in dates})
-            df = df.where(F.col(MONTH_COL).isin([F.lit(str(m)).cast("date") for m in months])).drop(MONTH_COL)
+            df = df.where(in_dates(MONTH_COL, [_month(d) for d in dates])).drop(MONTH_COL)
         return slice_dates(df, dates)
 
     def grain_of(self, table: str) -> str:
         return "month" if MONTH_COL in self._raw(table).columns else "day"
 
-    def _choose_grain(self, df: DataFrame) -> str:
-        """Daily partitions only when days are large; reads just the ``date`` column."""
-        if self.grain:
-            return self.grain
-        r = df.select("date").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("date").alias("d")).first()
-        return "day" if r["d"] and r["n"] / r["d"] >= DAILY_PARTITION_ROWS else "month"
-
-    def read_or_empty(self, table: str, schema: T.StructType) -> DataFrame:
-        """The table, or an empty frame of ``schema`` when it does not exist."""
+    def read_or_empty(self, table: str, schema: T.StructType | None = None) -> DataFrame:
+        """The table, or an empty frame of its declared schema when it does not exist."""
         if self.exists(table):
             return self.read(table)
-        return self.spark.createDataFrame([], schema)
+        return self.spark.createDataFrame([], schema or TABLES[table][0])
 
     def row_count(self, table: str) -> int:
         return self.read(table).count()
@@ -136,19 +165,22 @@ class Warehouse:
                 sort_by: list[str] | None = None, grain: str | None = None) -> None:
         """Idempotent full replace of ``table`` with ``df`` (DROP + CREATE AS SELECT).
 
-        ``partition_by="date"`` asks for time partitioning at ``grain``; by
-        default the existing table's grain, else one chosen by volume.  Derived
-        tables pass their upstream table's grain, so their plan runs once.
+        ``partition_by="date"`` asks for time partitioning: by the table's own
+        grain if it exists, else by ``grain``, else by the warehouse's.
         """
         if partition_by == "date":
-            if grain is None:
-                grain = self.grain_of(table) if self.exists(table) else self._choose_grain(df)
+            grain = self.grain_of(table) if self.exists(table) else grain or self.grain
             if grain == "month":
                 df, partition_by = df.withColumn(MONTH_COL, F.trunc("date", "MM")), MONTH_COL
         w = self._clustered(df, partition_by, sort_by).write.mode("overwrite").format("parquet")
         if partition_by:
             w = w.partitionBy(partition_by)
-        w.saveAsTable(self.name(table))
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        self.spark.conf.set(mode, "static")     # what the folder held goes, whichever partitions it had
+        try:
+            w.option("path", self.path(table)).saveAsTable(self.name(table))
+        finally:
+            self.spark.conf.set(mode, "dynamic")
 
     def replace_dates(self, table: str, df: DataFrame, dates: list, sort_by: list[str] | None = None,
                       dates_from: DataFrame | None = None) -> None:
@@ -161,7 +193,7 @@ class Warehouse:
         re-run ``df``'s plan.
         """
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        present = {r[0] for r in (dates_from if dates_from is not None else df).select("date").distinct().collect()}
+        present = {r[0] for r in (dates_from if dates_from is not None else df).select("date").distinct().collect()}   # bounded by the calendar
         if self.grain_of(table) == "month":
             self._replace_months(table, df, dates, present, sort_by)
             return
@@ -179,27 +211,27 @@ class Warehouse:
         is safe.  A month left with no rows at all is dropped.
         """
         target = self._raw(table)
-        months = sorted({_month(d) for d in dates})
-        month_lits = [F.lit(str(m)).cast("date") for m in months]
-        kept = target.where(F.col(MONTH_COL).isin(month_lits) & ~_in_dates(dates)).drop(MONTH_COL)
+        months = {_month(d) for d in dates}
+        kept = target.where(in_dates(MONTH_COL, list(months)) & ~F.coalesce(in_dates("date", dates), F.lit(False))).drop(MONTH_COL)
         data_cols = [c for c in target.columns if c != MONTH_COL]
         merged = kept.unionByName(df.select(*data_cols)).withColumn(MONTH_COL, F.trunc("date", "MM"))
         # Months that will still hold rows, known before the table changes.
         kept_months = {r[0] for r in kept.select(F.trunc("date", "MM")).distinct().collect()}
         filled = kept_months | {_month(d) for d in present}
         self._clustered(merged.select(*target.columns), MONTH_COL, sort_by).write.insertInto(self.name(table), overwrite=True)
-        self._drop_partitions(table, MONTH_COL, (set(self.partition_values(table, MONTH_COL)) & set(months)) - filled)
+        self._drop_partitions(table, MONTH_COL, (set(self.partition_values(table, MONTH_COL)) & months) - filled)
 
     def _drop_partitions(self, table: str, column: str, values) -> None:
-        stale = sorted(values)
+        stale = sorted(values, key=str)
         for i in range(0, len(stale), 200):
-            specs = ", ".join(f"PARTITION ({column} = DATE '{d}')" for d in stale[i:i + 200])
+            specs = ", ".join(f"PARTITION ({column} = " + (f"DATE '{d}')" if d is not None else "NULL)") for d in stale[i:i + 200])
             self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {specs}")
 
     def partition_values(self, table: str, column: str) -> list:
-        """Values of a date-typed partition column (catalog metadata only)."""
+        """Values of a date-typed partition column (catalog metadata only); None for rows without a date."""
         rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
-        return [_as_date(r[0].split("=", 1)[1]) for r in rows if r[0].startswith(f"{column}=")]
+        values = [r[0].split("=", 1)[1] for r in rows if r[0].startswith(f"{column}=")]
+        return [None if v in ("__HIVE_DEFAULT_PARTITION__", "null") else _as_date(v) for v in values]
 
     def partition_dates(self, table: str) -> list:
         """Dates that hold rows: partition values, or distinct dates under the monthly grain."""
@@ -207,37 +239,30 @@ class Warehouse:
             return self.partition_values(table, "date")
         return [r[0] for r in self.read(table).select("date").distinct().collect()]
 
-    def replace_where(self, table: str, df: DataFrame, column: str, value: str,
-                      schema: T.StructType | None = None) -> None:
-        """Batch replace: drop the ``column = value`` partition, append ``df``.
+    def replace_where(self, table: str, df: DataFrame, column: str, schema: T.StructType | None = None) -> None:
+        """Batch replace: the rows of ``df`` take the place of the ``column`` partitions that they name.
 
         The table is created (partitioned by ``column``) when absent.
         """
         if not self.exists(table):
             cols = ", ".join(f"{_q(f.name)} {f.dataType.simpleString()}" for f in (schema or df.schema).fields)
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({cols}) USING parquet PARTITIONED BY ({_q(column)})"
+                f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({cols}) USING parquet PARTITIONED BY ({_q(column)}) LOCATION '{self.path(table)}'"
             )
         target = self.read(table)
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.select(*target.columns).coalesce(1).write.insertInto(self.name(table), overwrite=True)
+        df.select(*target.columns).write.insertInto(self.name(table), overwrite=True)
 
 
 def _as_date(d):
     import datetime as dt
+    if d is None:
+        return None
     if isinstance(d, dt.datetime):
         return d.date()
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
 
 
 def _month(d):
-    return _as_date(d).replace(day=1)
-
+    return None if d is None else _as_date(d).replace(day=1)
 
-def _in_dates(dates: list):
-    """Predicate on ``date`` for a set of days (a BETWEEN when they are contiguous)."""
-    days = sorted({_as_date(d) for d in dates})
-    lo, hi = days[0], days[-1]
-    if (hi - lo).days + 1 == len(days):
-        return F.col("date").between(F.lit(str(lo)).cast("date"), F.lit(str(hi)).cast("date"))
-    return F.col("date").isin([F.lit(str(d)).cast("date") for d in days])

@@ -1,16 +1,48 @@
 """DuckDB oracle SQL for every registered query (the driver's correctness gate).
 
 Each statement starts from the adapter views of FIXTURES.md section 2 over
-the driver's tables, then restates the operator in plain SQL.  Money sums
-are taken in exact integer cents on this side too (see README, "Exact
-money sums"), and report rounding is ``round_even`` (pandas) while table
-rounding is ``ROUND`` (scaled, half away from zero).
+the driver's tables, then restates the operator in plain SQL.  Money is
+summed as wide decimals on this side too (see README, "Exact money sums"),
+report rounding is ``round_even`` (pandas) and table rounding is ``ROUND``
+(scaled, half away from zero).  The checks of the suite are written out here,
+not taken from the code under test.
 """
 
 from __future__ import annotations
 
-from adpulse.config import CHANNELS, MAX_NULL_PCT, MAX_STALENESS_HOURS, ROAS_MAX, ZSCORE_THRESHOLD
-from adpulse.operators.quality import Check, standard_suite
+from typing import NamedTuple
+
+from adpulse.config import CONVERSION_EVENTS, ENGAGEMENT_EVENTS, HEALTHY_ROAS, NAVIGATION_EVENTS, TARGET_ROAS
+
+MAX_NULL_PCT, MAX_STALENESS_HOURS, ROAS_MAX, ZSCORE_THRESHOLD = 0.01, 48, 50.0, 3.0
+
+
+class Check(NamedTuple):
+    kind: str
+    table: str
+    columns: tuple = ()
+    min_val: float | None = None
+    max_val: float | None = None
+    min_rows: int = 0
+    parent_table: str | None = None
+    parent_column: str | None = None
+
+
+SUITE = [
+    Check("completeness", "silver_ads_performance", ("date", "campaign_id", "channel", "impressions", "clicks", "spend")),
+    Check("non_negative", "silver_ads_performance", ("impressions", "clicks", "spend", "conversions", "revenue")),
+    Check("range", "silver_ads_performance", ("ctr",), 0.0, 1.0),
+    Check("range", "silver_ads_performance", ("roas",), 0.0, 50.0),
+    Check("zscore", "silver_ads_performance", ("spend",)),
+    Check("zscore", "silver_ads_performance", ("revenue",)),
+    Check("freshness", "silver_ads_performance", ("date",)),
+    Check("completeness", "silver_ga_events", ("date", "event_name", "session_id", "user_id")),
+    Check("freshness", "silver_ga_events", ("date",)),
+    Check("row_count", "gold_campaign_daily", min_rows=100),
+    Check("non_negative", "gold_campaign_daily", ("total_impressions", "total_clicks", "total_spend", "total_revenue")),
+    Check("freshness", "gold_campaign_daily", ("date",)),
+    Check("referential", "silver_ads_performance", ("campaign_id",), parent_table="bronze_campaigns", parent_column="campaign_id"),
+]
 
 BATCH_ID = "oracle_batch"
 AS_OF = "2024-02-01 00:00:00"
@@ -55,9 +87,18 @@ SELECT DISTINCT concat('CMP', lpad(CAST(s_suppkey % 10 AS VARCHAR(10)), 3, '0'),
 FROM supplier CROSS JOIN (SELECT DISTINCT p_partkey % 3 AS j FROM part) r)"""
 
 
+def exact(col: str) -> str:
+    """Exact money sum, unrounded."""
+    return f"CAST(SUM(CAST({col} AS DECIMAL(28, 10))) AS DOUBLE)"
+
+
 def ms(col: str) -> str:
-    """Exact money sum in cents, back to double."""
-    return f"(CAST(SUM(CAST(ROUND({col} * 100) AS BIGINT)) AS DOUBLE) / 100.0)"
+    """Exact sum of amounts that have two decimals already (the gold totals)."""
+    return f"CAST(CAST(SUM(CAST({col} AS DECIMAL(28, 10))) AS DECIMAL(38, 2)) AS DOUBLE)"
+
+
+def names(values: list) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def ratio(num: str, den: str, k: int) -> str:
@@ -100,12 +141,12 @@ FROM silver_dedup a
 LEFT JOIN campaigns c ON a.campaign_id = c.campaign_id
 LEFT JOIN adgroups ag ON a.adgroup_id = ag.adgroup_id)"""
 
-SILVER_GA = """session_counts AS (SELECT session_id, COUNT(*) AS event_count FROM ga GROUP BY session_id),
+SILVER_GA = f"""session_counts AS (SELECT session_id, COUNT(*) AS event_count FROM ga GROUP BY session_id),
 silver_ga AS (
 SELECT e.date, e.hour, e.event_name,
- CASE WHEN e.event_name IN ('purchase', 'add_to_cart', 'begin_checkout', 'sign_up') THEN 'conversion'
-      WHEN e.event_name IN ('page_view', 'scroll', 'click', 'video_start', 'video_complete', 'file_download') THEN 'engagement'
-      WHEN e.event_name IN ('session_start', 'login') THEN 'navigation'
+ CASE WHEN e.event_name IN {names(CONVERSION_EVENTS)} THEN 'conversion'
+      WHEN e.event_name IN {names(ENGAGEMENT_EVENTS)} THEN 'engagement'
+      WHEN e.event_name IN {names(NAVIGATION_EVENTS)} THEN 'navigation'
       ELSE 'other' END AS event_category,
  e.session_id, e.user_id, e.page,
  COALESCE(e.source, 'direct') AS source, COALESCE(e.medium, '(none)') AS medium, e.campaign_id,
@@ -113,22 +154,22 @@ SELECT e.date, e.hour, e.event_name,
 FROM ga e LEFT JOIN session_counts sc ON e.session_id = sc.session_id)"""
 
 _GOLD_SUMS = f"""{bigsum('impressions')} AS total_impressions, {bigsum('clicks')} AS total_clicks,
- {ms('spend')} AS total_spend, {bigsum('conversions')} AS total_conversions, {ms('revenue')} AS total_revenue"""
+ ROUND({exact('spend')}, 2) AS total_spend, {bigsum('conversions')} AS total_conversions, ROUND({exact('revenue')}, 2) AS total_revenue"""
 
 GOLD_CAMPAIGN = f"""gold_campaign_daily AS (
 SELECT date, campaign_id, campaign_name, channel, objective, {_GOLD_SUMS},
  {ratio('SUM(clicks)', 'SUM(impressions)', 6)} AS avg_ctr,
- {ratio(ms('spend'), 'SUM(clicks)', 4)} AS avg_cpc,
- {ratio(ms('spend'), 'SUM(conversions)', 4)} AS avg_cpa,
- {ratio(ms('revenue'), ms('spend'), 4)} AS avg_roas,
+ {ratio(exact('spend'), 'SUM(clicks)', 4)} AS avg_cpc,
+ {ratio(exact('spend'), 'SUM(conversions)', 4)} AS avg_cpa,
+ {ratio(exact('revenue'), exact('spend'), 4)} AS avg_roas,
  {ratio('SUM(conversions)', 'SUM(clicks)', 6)} AS avg_conversion_rate
 FROM silver_ads GROUP BY date, campaign_id, campaign_name, channel, objective)"""
 
 GOLD_CHANNEL = f"""gold_channel_daily AS (
 SELECT date, channel, {_GOLD_SUMS},
  {ratio('SUM(clicks)', 'SUM(impressions)', 6)} AS avg_ctr,
- {ratio(ms('spend'), 'SUM(clicks)', 4)} AS avg_cpc,
- {ratio(ms('revenue'), ms('spend'), 4)} AS avg_roas,
+ {ratio(exact('spend'), 'SUM(clicks)', 4)} AS avg_cpc,
+ {ratio(exact('revenue'), exact('spend'), 4)} AS avg_roas,
  COUNT(DISTINCT campaign_id) AS campaign_count
 FROM silver_ads GROUP BY date, channel)"""
 
@@ -157,7 +198,6 @@ def _gold(*gold: str) -> list[str]:
 
 
 # ---------------------------------------------------------------- reports
-_CHANNEL_IN = "(" + ", ".join(f"'{c}'" for c in CHANNELS) + ")"
 _NN = "campaign_id IS NOT NULL"
 
 
@@ -172,7 +212,7 @@ SELECT total_revenue, total_spend, total_conversions, total_clicks, total_impres
  {gratio('total_clicks', 'total_impressions')} AS ctr,
  {gratio('total_spend', 'total_conversions')} AS cpa,
  active_campaigns,
- CASE WHEN {gratio('total_revenue', 'total_spend')} > 2.5 THEN 'HEALTHY' ELSE 'REBALANCING NEEDED' END AS roas_status
+ CASE WHEN {gratio('total_revenue', 'total_spend')} > {HEALTHY_ROAS} THEN 'HEALTHY' ELSE 'REBALANCING NEEDED' END AS roas_status
 FROM (SELECT COALESCE({ms('total_revenue')}, 0.0) AS total_revenue, COALESCE({ms('total_spend')}, 0.0) AS total_spend,
  CAST(COALESCE(SUM(total_conversions), 0) AS BIGINT) AS total_conversions,
  CAST(COALESCE(SUM(total_clicks), 0) AS BIGINT) AS total_clicks,
@@ -214,7 +254,7 @@ ORDER BY cpa ASC, campaign_id LIMIT 10""")
     q["campaign_scope_kpis"] = with_(gc, f"""
 SELECT num_campaigns, total_revenue, total_spend, total_conversions,
  {gratio('total_revenue', 'total_spend')} AS avg_roas, {gratio('total_spend', 'total_conversions')} AS avg_cpa,
- CASE WHEN {gratio('total_revenue', 'total_spend')} > 2.0 THEN 'TARGET MET' ELSE 'SUB-OPTIMAL' END AS roas_status
+ CASE WHEN {gratio('total_revenue', 'total_spend')} > {TARGET_ROAS} THEN 'TARGET MET' ELSE 'SUB-OPTIMAL' END AS roas_status
 FROM (SELECT COUNT(DISTINCT campaign_id) AS num_campaigns, COALESCE({ms('total_revenue')}, 0.0) AS total_revenue,
  COALESCE({ms('total_spend')}, 0.0) AS total_spend, CAST(COALESCE(SUM(total_conversions), 0) AS BIGINT) AS total_conversions
  FROM gold_campaign_daily) s""")
@@ -242,14 +282,14 @@ FROM (SELECT channel, {ms('total_revenue')} AS total_revenue, {ms('total_spend')
     mean = "CAST(SUM(CAST(ROUND({v} * 1000000) AS BIGINT)) AS DOUBLE) / (CAST(COUNT({v}) AS DOUBLE) * 1000000.0)"
     q["hour_channel_ctr"] = with_(gh, f"""
 SELECT hour, channel, {mean.format(v='avg_ctr')} AS avg_ctr FROM gold_hourly_trends
-WHERE channel IN {_CHANNEL_IN} AND hour IS NOT NULL GROUP BY hour, channel""")
+WHERE channel IS NOT NULL AND hour IS NOT NULL GROUP BY hour, channel""")
     cells = ",\n ".join(
         mean.format(v=f"(CASE WHEN hour = {h} THEN avg_ctr END)") + f" AS h{h:02d}" for h in range(24)
     )
     q["hour_channel_heatmap"] = with_(gh, f"""
 SELECT channel,
  {cells}
-FROM gold_hourly_trends WHERE channel IN {_CHANNEL_IN} AND hour IS NOT NULL GROUP BY channel""")
+FROM gold_hourly_trends WHERE channel IS NOT NULL AND hour IS NOT NULL GROUP BY channel""")
     q["filter_values"] = with_(gc, """
 SELECT DISTINCT 'channel' AS filter_name, channel AS value FROM gold_campaign_daily
 UNION ALL SELECT DISTINCT 'campaign_id', campaign_id FROM gold_campaign_daily""")
@@ -259,8 +299,13 @@ FROM gold_campaign_daily""")
     q["filtered_scope"] = with_(gc, f"""
 SELECT * FROM gold_campaign_daily
 WHERE date BETWEEN CAST((SELECT MAX(date) FROM gold_campaign_daily) - INTERVAL 30 DAY AS DATE)
-                AND (SELECT MAX(date) FROM gold_campaign_daily)
-  AND channel IN {_CHANNEL_IN}""")
+                AND (SELECT MAX(date) FROM gold_campaign_daily)""")
+    q["campaign_filtered"] = with_(gc, "SELECT * FROM gold_campaign_daily WHERE campaign_id IN ('CMP001', 'CMP004')")
+    q["budget_reallocation"] = with_(gch + [f"""t AS (SELECT channel, {ms('total_spend')} AS total_spend, {ms('total_revenue')} AS total_revenue
+ FROM gold_channel_daily WHERE channel IS NOT NULL GROUP BY channel)""", f"""r AS (SELECT *, ROUND({oratio('total_revenue', 'total_spend')}, 4) AS roas,
+ ROUND((SELECT {ms('total_spend')} FROM t) * {oratio('total_revenue', f"(SELECT {ms('total_revenue')} FROM t)")}, 2) AS suggested_spend FROM t)"""], """
+SELECT channel, total_spend, total_revenue, roas, suggested_spend, ROUND(suggested_spend - total_spend, 2) AS shift,
+ CAST(ROW_NUMBER() OVER (ORDER BY roas DESC NULLS LAST, channel) AS INTEGER) AS efficiency_rank FROM r""")
     return q
 
 
@@ -383,7 +428,7 @@ def quality_sql(checks: list[Check]) -> str:
 
 
 def _quality() -> dict[str, str]:
-    suite = standard_suite()
+    suite = SUITE
     q = {}
     for name, kind in (
         ("dq_completeness", "completeness"), ("dq_non_negative", "non_negative"), ("dq_range", "range"),
@@ -400,6 +445,8 @@ SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'PASS') AS passed,
       WHEN (CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE status = 'PASS') AS DOUBLE) * 100.0 / COUNT(*) ELSE 0.0 END) >= 70 THEN 'AT RISK'
       ELSE 'CRITICAL' END AS score_band
 FROM r"""
+    q["dq_gate"] = f"""WITH r AS ({quality_sql(suite)})
+SELECT table_name, check_name FROM r WHERE status = 'FAIL'"""
     q["dq_audit_log"] = f"""WITH r AS ({quality_sql(suite)})
 SELECT * FROM r WHERE check_type = 'validity'"""
     return q
@@ -459,8 +506,16 @@ WHERE rank <= 3""")
     ])
     q["silver_ads_quarantine"] = with_(_ADS_CHAIN, f"""
 SELECT * FROM (SELECT *, concat_ws(',', {reasons}) AS _reasons FROM silver_ads) t WHERE _reasons <> ''""")
-    q["incremental_replace"] = with_([ADS], """
-SELECT date, hour, campaign_id, adgroup_id, channel, impressions, clicks, spend, conversions, revenue FROM ads""")
+    bronze_ads = "hour, campaign_id, adgroup_id, channel, impressions, clicks, spend, conversions, revenue FROM ads"
+    q["incremental_replace"] = with_([ADS], f"""
+SELECT date, {bronze_ads} UNION ALL SELECT CAST(NULL AS DATE), {bronze_ads} WHERE _load_seq % 5000 = 3""")
+    q["string_dated_slice"] = with_([ADS], f"SELECT date, {bronze_ads} WHERE date = (SELECT MAX(date) FROM ads)")
+    undated = GA.replace("ga AS (", "dated AS (", 1), "ga AS (SELECT * FROM dated UNION ALL SELECT * REPLACE (CAST(NULL AS DATE) AS date) FROM dated WHERE user_id LIKE '%77')"
+    q["incremental_events"] = with_([*undated, SILVER_GA], "SELECT * FROM silver_ga")
+    q["incremental_checked"] = quality_sql(SUITE)
+    q["pseudonymized_events"] = with_([GA], """
+SELECT * REPLACE (CASE WHEN session_id IS NULL THEN NULL ELSE sha256(concat('pepper', session_id)) END AS session_id,
+ sha256(concat('pepper', user_id)) AS user_id) FROM ga""")
     q["backfill_range"] = with_(_gold(GOLD_CHANNEL), "SELECT * FROM gold_channel_daily")
     counts = [
         ("bronze_adgroups", "adgroups"), ("bronze_ads_performance", "ads"), ("bronze_campaigns", "campaigns"),
@@ -468,15 +523,12 @@ SELECT date, hour, campaign_id, adgroup_id, channel, impressions, clicks, spend,
         ("gold_channel_daily", "gold_channel_daily"), ("gold_funnel_summary", "gold_funnel_summary"),
         ("gold_hourly_trends", "gold_hourly_trends"), ("quality_check_results", "dq"),
         ("silver_ads_performance", "silver_ads"), ("silver_ga_events", "silver_ga"),
-        ("stage_ads_hourly", "stage_ads_hourly"),
     ]
     layer = ("CASE WHEN t LIKE 'bronze%' THEN 'BRONZE' WHEN t LIKE 'silver%' THEN 'SILVER' "
              "WHEN t LIKE 'gold%' THEN 'GOLD' ELSE 'SYSTEM' END")
     union = "\nUNION ALL ".join(f"SELECT '{t}' AS t, COUNT(*) AS n FROM {v}" for t, v in counts)
-    stage = ("stage_ads_hourly AS (SELECT date, hour, campaign_id, campaign_name, channel, objective "
-             "FROM silver_ads GROUP BY ALL)")
     q["warehouse_inventory"] = with_(
-        _ADS_CHAIN + [GA, SILVER_GA, GOLD_CAMPAIGN, GOLD_CHANNEL, GOLD_FUNNEL, GOLD_HOURLY, stage,
-                      f"dq AS ({quality_sql(standard_suite())})"],
+        _ADS_CHAIN + [GA, SILVER_GA, GOLD_CAMPAIGN, GOLD_CHANNEL, GOLD_FUNNEL, GOLD_HOURLY,
+                      f"dq AS ({quality_sql(SUITE)})"],
         f"SELECT t AS table_name, CAST(n AS BIGINT) AS row_count, {layer} AS layer FROM ({union}) c")
     return q

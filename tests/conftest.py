@@ -15,7 +15,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from adpulse.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="adpulse-tests")
+    s = local_session(cores="*", shuffle_partitions=8, app="adpulse-tests", scratch=True)
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="adpulse-test-ckpt-"))
     yield s

@@ -65,7 +65,7 @@ def test_top_campaigns_drop_null_keys_and_tie_break(camp):
 
 def test_roas_top_nulls_last_and_cpa_lowest(camp):
     roas = reports.campaign_roas_top(camp).collect()
-    assert [(r.campaign_id, r.roas) for r in roas] == [("C1", 2.33), ("C2", None)]
+    assert [(r.campaign_id, r.roas) for r in roas] == [("C2", None), ("C1", 2.33)]     # returned lowest first
     cpa = reports.campaign_cpa_lowest(camp).collect()
     assert [(r.campaign_id, r.cpa) for r in cpa] == [("C2", 0.0), ("C1", 75.0)]
 
@@ -95,6 +95,37 @@ def test_shares_sum_to_one(camp):
     assert abs(sum(shares) - 1.0) < 1e-12
 
 
+def test_money_below_a_cent_counts(df):
+    row = (D1, 1, "C1", "A", "Google Ads", 100, 10, 0.004, 1, 0.006, "One", "Traffic")
+    s = df([row] * 1000, "date date, hour int, campaign_id string, adgroup_id string, channel string, impressions long, clicks long, "
+                         "spend double, conversions long, revenue double, campaign_name string, objective string")
+    r = gold.campaign_daily(gold.measures(s)).first()
+    assert (r.total_spend, r.total_revenue, r.avg_roas, r.avg_cpc, r.avg_cpa) == (4.0, 6.0, 1.5, 0.0004, 0.004)
+    assert gold.channel_daily(gold.rollup(s)).first().total_spend == 4.0
+    assert gold.hourly_trends(gold.measures(s)).first().total_spend == 4.0
+
+
+def test_every_channel_is_reported(df):
+    h = df([(D1, 9, c, 0.5) for c in ("Google Ads", "New Channel")], "date date, hour int, channel string, avg_ctr double")
+    assert {r.channel for r in reports.hour_channel_heatmap(h).collect()} == {"Google Ads", "New Channel"}
+
+
+def test_orders(layers):
+    ordered = lambda rows, key: [key(r) for r in rows] == sorted(key(r) for r in rows)
+    cd = layers.gold("gold_campaign_daily")
+    assert ordered(reports.channel_scorecard(layers.gold("gold_channel_daily")).collect(), lambda r: -r.roas)
+    assert ordered(reports.campaign_roas_top(cd).collect(), lambda r: r.roas)
+    assert ordered(reports.top_campaigns(cd).collect(), lambda r: -r.total_revenue)
+    assert ordered(reports.filter_values(cd).collect(), lambda r: (r.filter_name, r.value or ""))
+
+
+def test_budget_follows_revenue(df):
+    from adpulse.operators import insights
+    ch = df([("G", 10.0, 90.0), ("F", 30.0, 10.0), ("T", 0.0, 0.0), (None, 5.0, 5.0)], "channel string, total_spend double, total_revenue double")
+    got = {r.channel: (r.suggested_spend, r.shift, r.efficiency_rank) for r in insights.budget_reallocation(ch).collect()}
+    assert got == {"G": (36.0, 26.0, 1), "F": (4.0, -26.0, 2), "T": (0.0, 0.0, 3)}
+
+
 def test_heatmap_shape(df):
     h = df([(D1, 9, "Google Ads", 0.5), (D2, 9, "Google Ads", 0.25), (D1, 23, "TikTok Ads", 0.1)],
            "date date, hour int, channel string, avg_ctr double")

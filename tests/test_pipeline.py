@@ -15,9 +15,9 @@ from adpulse.sources.warehouse import Warehouse
 from tests.conftest import SF_SMALL
 
 
-def _wh(spark, label, grain=None):
+def _wh(spark, label, grain="month", **options):
     path = scratch_path(spark, label)
-    return Warehouse(spark, database=os.path.basename(path).replace("-", "_"), location=path, grain=grain)
+    return Warehouse(spark, database=os.path.basename(path).replace("-", "_"), location=path, grain=grain, **options)
 
 
 def _rows(df):
@@ -103,7 +103,7 @@ def test_backfill_equals_full_build(spark, full, grain):
     days = sorted(pipeline._date(r[0]) for r in src["bronze_ads_performance"].select("date").distinct().collect())
     pipeline.backfill(wh, src, days[-40], days[-1])          # crosses month boundaries
     pipeline.run_incremental(wh, src, days[-1])
-    for t in ["silver_ads_performance", "gold_campaign_daily", "gold_channel_daily", "stage_ads_hourly"]:
+    for t in ["silver_ads_performance", "gold_campaign_daily", "gold_channel_daily", "gold_hourly_trends", "stage_ads_hourly"]:
         assert _rows(drop_audit(wh.read(t))) == _rows(drop_audit(wh_full.read(t))), t
 
 
@@ -158,9 +158,9 @@ def test_retention_daily_drops_partitions(spark):
 
 
 def test_retention_and_quarantine(spark):
-    wh = _wh(spark, "retention", "month")
+    wh = _wh(spark, "retention", "month", pii_salt="pepper")
     src = driver_sources(spark, SF_SMALL)
-    pipeline.ingest_bronze(wh, src, "b1", pii_salt="pepper")
+    pipeline.ingest_bronze(wh, src, "b1")
     assert wh.read("bronze_ga_events").where(F.length("user_id") != 64).count() == 0
     dates = sorted(pipeline._date(r[0]) for r in src["bronze_ads_performance"].select("date").distinct().collect())
     as_of = dates[-1] + dt.timedelta(days=90)                  # keep the last ~90 days
@@ -173,6 +173,12 @@ def test_retention_and_quarantine(spark):
     n_bad = pipeline.quarantine_silver(wh, "b2")
     assert n_bad > 0 and wh.row_count("silver_ads_performance") == before - n_bad
     assert wh.read("silver_ads_performance").where(F.col("spend") < 0).count() == 0
+    bad_date = wh.read("silver_ads_quarantine").agg(F.max("date")).first()[0]
+    pipeline.ingest_bronze_dates(wh, src, [bad_date], "b3")
+    pipeline.build_silver(wh, "b3", [bad_date])             # the rules hold for later date runs
+    assert wh.read("silver_ads_performance").where(F.col("spend") < 0).count() == 0
+    assert wh.row_count("silver_ads_quarantine") == n_bad
+    assert wh.read("bronze_ga_events").where(F.length("user_id") != 64).count() == 0
 
 
 @pytest.mark.parametrize("grain", ["day", "month"])
@@ -186,16 +192,18 @@ def test_scoped_event_rebuild_handles_sessions_across_days(spark, grain):
             (d2, 5, "login", "S2", "U2", "/", None, None, None),
             (d3, 1, "page_view", "S3", "U3", "/", None, None, None),
             (d3, 2, "click", "S3", "U3", "/", None, None, None),
-            (d2, 6, "login", None, "U4", "/", None, None, None)]
+            (d2, 6, "login", None, "U4", "/", None, None, None),
+            (None, 7, "login", "S4", "U5", "/", None, None, None),     # a session with one undated event
+            (d2, 8, "login", "S4", "U5", "/", None, None, None)]
     v1 = spark.createDataFrame(rows, schema)
-    v2 = spark.createDataFrame([r for r in rows if not (r[3] == "S1" and r[0] == d2)], schema)
+    v2 = spark.createDataFrame([r for r in rows if not (r[3] in ("S1", "S4") and r[0] == d2)], schema)
     wh = _wh(spark, "events_scope", grain)
     pipeline.ingest_bronze(wh, {"bronze_ga_events": v1}, "b1")
     pipeline.build_silver(wh, "b1")
     assert not wh.read("silver_ga_events").where(F.col("session_id") == "S1").first().is_bounce
     pipeline.ingest_bronze_dates(wh, {"bronze_ga_events": v2}, [d2], "b2")
     rebuilt = pipeline.rebuild_events_for(wh, "b2", [d2])
-    assert rebuilt == [d1, d2]                                 # d3 untouched
+    assert rebuilt == [d1, d2, None]                           # d3 untouched; the undated event is now a bounce
     from adpulse.operators import silver
     expect = silver.transform_events(v2)
     assert _rows(drop_audit(wh.read("silver_ga_events"))) == _rows(expect)
@@ -217,3 +225,75 @@ def test_gate_before_gold_and_dimension_refresh(spark):
     pipeline.run_incremental(wh, renamed, hi, "g3", refresh_dimensions=True)
     names = {r[0] for r in wh.read("gold_campaign_daily").select("campaign_name").distinct().collect()}
     assert names and all(n is None or n.startswith("CAMPAIGN_") for n in names)
+
+
+def test_undated_rows_survive_and_can_be_replaced(spark):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    schema = "date date, hour int, campaign_id string, adgroup_id string, channel string, impressions long, clicks long, spend double, conversions long, revenue double"
+    row = lambda d, n: (d, 1, "C", f"A{n}", "Google Ads", n, 1, 1.0, 1, 2.0)
+    for grain in ("day", "month"):
+        wh = _wh(spark, f"undated_{grain}", grain)
+        pipeline.ingest_bronze(wh, {"bronze_ads_performance": spark.createDataFrame([row(d1, 1), row(d2, 2), row(None, 3)], schema)}, "b1")
+        assert set(wh.partition_dates("bronze_ads_performance")) == {d1, d2, None}
+        new = spark.createDataFrame([row(d2, 20)], schema)
+        pipeline.ingest_bronze_dates(wh, {"bronze_ads_performance": new}, [d2], "b2")
+        assert sorted(r.impressions for r in wh.read("bronze_ads_performance").collect()) == [1, 3, 20]
+        pipeline.ingest_bronze_dates(wh, {"bronze_ads_performance": new}, [None, d1], "b3")      # both slices end empty
+        assert [r.impressions for r in wh.read("bronze_ads_performance").collect()] == [20]
+
+
+SECOND = """
+import sys
+from pyspark.sql import functions as F
+from adpulse.plans import pipeline
+from adpulse.session import local_session
+from adpulse.sources import schemas
+from adpulse.sources.adapters import driver_sources
+from adpulse.sources.warehouse import Warehouse
+
+spark = local_session(cores=2, scratch=True)
+wh = Warehouse(spark, "second", sys.argv[1], grain="day")
+assert wh.grain_of("silver_ads_performance") == "month" and len(wh.tables()) == 4, wh.tables()
+assert wh.read("silver_ads_performance").schema["date"].dataType == schemas.SILVER_ADS["date"].dataType
+src = {"bronze_ads_performance": driver_sources(spark, sys.argv[2])["bronze_ads_performance"]}
+day = src["bronze_ads_performance"].agg(F.max("date")).first()[0]
+pipeline.ingest_bronze_dates(wh, src, [day], "b2")
+pipeline.build_silver(wh, "b2", [day])
+print("ROWS", wh.row_count("silver_ads_performance"), wh.read("bronze_ads_performance").where("_batch_id = 'b2'").count())
+"""
+
+
+def test_tables_outlive_the_session(spark):
+    """One process loads, a second one runs the increment."""
+    import subprocess
+    import sys
+    wh = _wh(spark, "first_process")
+    src = driver_sources(spark, SF_SMALL)
+    pipeline.ingest_bronze(wh, {k: v for k, v in src.items() if k != "bronze_ga_events"}, "b1")
+    pipeline.build_silver(wh, "b1")
+    day = src["bronze_ads_performance"].agg(F.max("date")).first()[0]
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", SECOND, wh.location, SF_SMALL], capture_output=True, text=True, timeout=300,
+                         env={**os.environ, "PYTHONPATH": root})
+    n = src["bronze_ads_performance"].where(F.col("date") == F.lit(day)).count()
+    assert f"ROWS {wh.row_count('silver_ads_performance')} {n}" in out.stdout, out.stderr[-2000:]
+
+
+def test_daily_run_touches_only_its_gold_partitions(spark, full):
+    """After a one-day run, only that month of gold has new files."""
+    _, src, _ = full
+    wh = _wh(spark, "sliced")
+    pipeline.ingest_bronze(wh, src, "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.build_gold(wh)
+    files = lambda: {r[0] for r in wh._raw("gold_channel_daily").select(F.input_file_name()).distinct().collect()}
+    before = files()
+    day = pipeline._date(src["bronze_ads_performance"].agg(F.max("date")).first()[0])
+    pipeline.build_gold(wh, [day])
+    assert {f.split("/")[-2] for f in files() - before} == {f"date_month={day.replace(day=1)}"}
+
+
+def test_missing_table_is_an_empty_frame_of_its_schema(spark):
+    wh = _wh(spark, "empty")
+    df = wh.read_or_empty("gold_channel_daily")
+    assert df.count() == 0 and "avg_roas" in df.columns and wh.tables() == []
