@@ -26,10 +26,19 @@ def _rows(df):
     return sorted(rows, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+def _sources(spark, days=75):
+    """The driver's sources, the facts over their last days (a warehouse of whole history has thousands of partitions)."""
+    src = driver_sources(spark, SF_SMALL)
+    for t in ("bronze_ads_performance", "bronze_ga_events"):
+        hi = src[t].agg(F.max("date")).first()[0]
+        src[t] = src[t].where(F.col("date") > F.lit(hi - dt.timedelta(days=days)))
+    return src
+
+
 @pytest.fixture(scope="module")
 def full(spark):
     wh = _wh(spark, "full")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     res = pipeline.run_full(wh, src, batch_id="test_batch", as_of="2024-02-01 00:00:00")
     return wh, src, res
 
@@ -77,7 +86,7 @@ def test_inventory(full):
 @pytest.mark.parametrize("grain", ["day", "month"])
 def test_slice_replace_is_idempotent_and_drops_empty_dates(spark, grain):
     wh = _wh(spark, "slice", grain)
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     pipeline.ingest_bronze(wh, src, "b1")
     before = _rows(drop_audit(wh.read("bronze_ads_performance")))
     hi = src["bronze_ads_performance"].agg(F.max("date")).first()[0]
@@ -101,7 +110,7 @@ def test_backfill_equals_full_build(spark, full, grain):
     pipeline.build_silver(wh, "b1")
     pipeline.build_gold(wh)
     days = sorted(pipeline._date(r[0]) for r in src["bronze_ads_performance"].select("date").distinct().collect())
-    pipeline.backfill(wh, src, days[-40], days[-1])          # crosses month boundaries
+    pipeline.backfill(wh, src, days[-20], days[-1])          # crosses month boundaries
     pipeline.run_incremental(wh, src, days[-1])
     for t in ["silver_ads_performance", "gold_campaign_daily", "gold_channel_daily", "gold_hourly_trends", "stage_ads_hourly"]:
         assert _rows(drop_audit(wh.read(t))) == _rows(drop_audit(wh_full.read(t))), t
@@ -109,7 +118,7 @@ def test_backfill_equals_full_build(spark, full, grain):
 
 def test_first_incremental_falls_back_to_full(spark):
     wh = _wh(spark, "first")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     pipeline.run_incremental(wh, src, "1998-01-01", "b1")
     assert wh.exists("gold_channel_daily")
     assert wh.row_count("bronze_ads_performance") == src["bronze_ads_performance"].count()
@@ -125,7 +134,7 @@ def test_backfill_validation(spark, full):
 
 def test_extracts_roundtrip_and_missing_source(spark):
     d = scratch_path(spark, "extracts")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     write_extract(src["bronze_campaigns"], f"{d}/campaigns.parquet")
     got = read_extracts(spark, d)
     assert list(got) == ["bronze_campaigns"]                    # the three missing files are skipped
@@ -150,7 +159,7 @@ def test_execute_with_parameters(full):
 
 def test_retention_daily_drops_partitions(spark):
     wh = _wh(spark, "retention_day", "day")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     pipeline.ingest_bronze(wh, {"bronze_ads_performance": src["bronze_ads_performance"]}, "b1")
     dates = sorted(wh.partition_dates("bronze_ads_performance"))
     removed = pipeline.apply_retention(wh, "bronze_ads_performance", dates[-1] + dt.timedelta(days=90), days=90)
@@ -159,12 +168,12 @@ def test_retention_daily_drops_partitions(spark):
 
 def test_retention_and_quarantine(spark):
     wh = _wh(spark, "retention", "month", pii_salt="pepper")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     pipeline.ingest_bronze(wh, src, "b1")
     assert wh.read("bronze_ga_events").where(F.length("user_id") != 64).count() == 0
     dates = sorted(pipeline._date(r[0]) for r in src["bronze_ads_performance"].select("date").distinct().collect())
-    as_of = dates[-1] + dt.timedelta(days=90)                  # keep the last ~90 days
-    removed = pipeline.apply_retention(wh, "bronze_ads_performance", as_of)
+    as_of = dates[-1] + dt.timedelta(days=30)
+    removed = pipeline.apply_retention(wh, "bronze_ads_performance", as_of, days=45)
     left = wh.read("bronze_ads_performance").agg(F.min("date")).first()[0]
     assert removed and left >= dates[-1] and max(removed) < dates[-1]
     pipeline.ingest_bronze(wh, src, "b2")
@@ -212,7 +221,7 @@ def test_scoped_event_rebuild_handles_sessions_across_days(spark, grain):
 def test_gate_before_gold_and_dimension_refresh(spark):
     from adpulse.operators.quality import QualityGateError
     wh = _wh(spark, "gate_first")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     with pytest.raises(QualityGateError):                    # negative spend in silver stops the run
         pipeline.run_full(wh, src, batch_id="g1", as_of="2024-02-01 00:00:00", gate_before_gold=True)
     assert wh.exists("silver_ads_performance") and not wh.exists("gold_campaign_daily")
@@ -268,7 +277,7 @@ def test_tables_outlive_the_session(spark):
     import subprocess
     import sys
     wh = _wh(spark, "first_process")
-    src = driver_sources(spark, SF_SMALL)
+    src = _sources(spark)
     pipeline.ingest_bronze(wh, {k: v for k, v in src.items() if k != "bronze_ga_events"}, "b1")
     pipeline.build_silver(wh, "b1")
     day = src["bronze_ads_performance"].agg(F.max("date")).first()[0]
