@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.llm.runtime import folded, keep
@@ -20,8 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """
     usable = (labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~folded(id_col, folds, held_out))
               .groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_label")))
-    by = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = usable.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_class).drop("_n")
+    usable = keep(usable, "training_labels")
+    # One bounded top-k for each class: tasks send their own best, and no class meets whole in one.
+    best = [usable.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    chosen = best[0].unionByName(best[1])
     sizes = usable.groupBy("_label").agg(F.count("*").alias("_all"))
     taken = chosen.groupBy("_label").agg(F.count("*").alias("_taken"))
     chosen = keep(chosen.join(sizes, "_label").join(taken, "_label").select("_id", "_label", (F.col("_all") / F.col("_taken")).alias("_weight")), "sample_ids")
