@@ -1,123 +1,141 @@
 """Documents scored by cross-entropy difference (target minus background).
 
-Two bigram models share one vocabulary, the most frequent words of the target
-corpus and one sign for all others, and are built alike: the target model from
-the target table, the background model from every document.  Each token costs
--log2 p under either; a document's score is the mean difference over its
-tokens.  The lower, the more the document reads like the target.
+Two bigram models share one vocabulary, every word of either corpus, and are
+built alike: the target model from the target table, the background model from
+every document.  Each token costs -log2 p under either; a document's score is
+the mean difference over its tokens.  The lower, the more the document reads
+like the target.
+
+Both models grow with the corpora, so no task and not the driver holds one:
+
+1. The documents are written once, in parts of a few MB, bucketed by part.
+2. Each part sends the counts of its distinct words and pairs of words, by a
+   64-bit hash; a frequent pair is one row of each part, however often it stands
+   there.  The target's tasks send theirs too.
+3. A window over each hash sums the counts of both corpora and gives them back
+   to the parts that asked.
+4. Each part scores its documents from the text and the counts it got.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adpulse.llm.arrowtext import texts
+from adpulse.llm.arrowtext import blocks, texts, utf8
+from adpulse.llm.parts import write_parts
 from adpulse.llm.runtime import prepare
 
-VOCABULARY = 1024        # words, the sign for others included: the models have this many squared cells
 PRIOR = 8.0              # weight of the unigram model in a bigram's estimate
-_WORDS = r"[^\x20\x09-\x0D]+"
+PART_BYTES = 4 << 20     # text of a part (one document at least)
+_COUNTS = "part long, key long, n long, before long"
 
 
-def vocabulary(target: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[str]:
-    """The ``size`` - 1 most frequent words of the target, ties to the smaller word."""
-    words = target.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORDS), F.lit(0))).alias("w"))
-    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size - 1).collect()]
+class Tokens:
+    """The words of some texts, numbered, with a key for each word and each pair of neighbours.
 
-
-def _ids(data: bytes, index: dict[bytes, int]) -> np.ndarray:
-    words = data.split()
-    return np.fromiter((index.get(w, 0) for w in words), np.int64, len(words))
-
-
-def _pairs(ids: np.ndarray, size: int) -> np.ndarray:
-    """Cells (word before, word); before the first word stands the sign for others."""
-    return np.r_[0, ids[:-1]] * size + ids if len(ids) else ids
-
-
-def count(docs: DataFrame, words: list[str], text_col: str = "text") -> np.ndarray:
-    """Bigram counts over every token of every document.
-
-    Each task sums in an array of the model's size; the sums meet in a shuffle,
-    and the driver gets one row for each cell that occurs, ``len(words) + 1``
-    squared at most.
+    Number 0 is the sign that stands before a text's first word.  Keys of words
+    are even, keys of pairs odd.
     """
-    size = len(words) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w.encode(): i + 1 for i, w in enumerate(words)}
-        total = np.zeros(size * size, np.int64)
-        for b in batches:
-            waiting, n = [], 0
-            for data in texts(b.column(0)):
-                waiting.append(_pairs(_ids(data, index), size))
-                n += len(waiting[-1])
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                    waiting, n = [], 0
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=size * size)
-        cell = np.flatnonzero(total)
-        for i in range(0, len(cell), 1 << 16):
-            part = cell[i: i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
-
-    prepare(docs.sparkSession)
-    cells = docs.select(F.lower(F.col(text_col))).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size * size, np.int64)
-    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    return out.reshape(size, size)
-
-
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    def __init__(self, column: pa.Array):
+        index: dict[bytes, int] = {b"": 0}
+        found = [np.zeros(0, np.int64)]
+        for data in texts(column):
+            words = data.split()
+            found.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+        self.n = np.fromiter(map(len, found[1:]), np.int64, len(found) - 1)
+        ids = np.concatenate(found)
+        before = np.r_[0, ids[:-1]][: len(ids)]
+        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = 0
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+        self.word_key = (hashed & ~np.uint64(1)).view(np.int64)
+        self.word_n, self.word_before = (np.bincount(x, minlength=len(index)) for x in (ids, before))
+        pair, self.of, self.pair_n = np.unique(before * len(index) + ids, return_inverse=True, return_counts=True)
+        self.a, self.b = np.divmod(pair, len(index))
+        key = hashed[self.a] * np.uint64(0x9E3779B97F4A7C15) + hashed[self.b]
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.pair_key = (key ^ key >> np.uint64(32) | np.uint64(1)).view(np.int64)
+
+    def counts(self, part: int, pairs: bool = True) -> pa.Table:
+        """(part, key, n, before): how often each key occurs, and how often a word stands before another."""
+        k, n, m = [self.word_key], [self.word_n], [self.word_before]
+        if pairs:
+            k, n, m = [*k, self.pair_key], [*n, self.pair_n], [*m, np.zeros(len(self.pair_n), np.int64)]
+        key, n, m = (np.concatenate(x) for x in (k, n, m))
+        some = n + m > 0
+        return pa.table({"part": np.full(some.sum(), part), "key": key[some], "n": n[some], "before": m[some]})
+
+    def means(self, answers: pa.Table, totals: dict[str, int], prior: float) -> list[np.ndarray]:
+        """The mean loss of each text, under the target and the background model."""
+        key = answers.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        word, pair = (np.searchsorted(key, x) for x in (self.word_key, self.pair_key))
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        out = []
+        for side in ("target", "background"):
+            n, before = (answers.column(f"{side}_{x}").to_numpy()[order] for x in ("n", "before"))
+            cost = losses(n[pair], before[word[self.a]], n[word[self.b]], totals[side], totals["words"], prior) if len(pair) else np.zeros(0)
+            out.append(np.bincount(row, cost[self.of], len(self.n)) / np.maximum(self.n, 1))
+        return out
+
+
+def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: int, words: int, prior: float) -> np.ndarray:
     """-log2 p(word | word before): bigram counts with the add-one unigram model as prior."""
-    word = counts.sum(axis=0)
-    unigram = (word + 1) / (word.sum() + len(word))
-    return -np.log2((counts + prior * unigram) / (counts.sum(axis=1, keepdims=True) + prior))
-
+    unigram = (word + 1) / (total + words)
+    return -np.log2((pair + prior * unigram) / (before + prior))
 
-@dataclass
-class Models:
-    """The shared vocabulary and the cost of each cell under both models."""
 
-    words: list[str]
-    target: np.ndarray
-    background: np.ndarray
+def _counted(texts_: DataFrame, pairs: bool = True) -> DataFrame:
+    """The counts of a column of texts, summed by blocks of each batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in blocks(utf8(b.column(0))[1]):
+                yield from Tokens(b.column(0).slice(i, j - i)).counts(-1, pairs).to_batches()
 
-def train(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", size: int = VOCABULARY) -> Models:
-    words = vocabulary(target, target_col, size)
-    return Models(words, losses(count(target, words, target_col)), losses(count(docs, words, text_col)))
+    return texts_.mapInArrow(run, _COUNTS)
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text",
+          prior: float = PRIOR, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row.
 
     Losses are bits a token; a text without a word (or null) has 0 tokens, and
-    all three are 0.  The models have a fixed bound and go to every task once.
+    all three are 0.  Repeated rows count, and come out, as often as they stand
+    there.  Without a target every word is as likely there as any other.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((models.words, models.target.ravel(), models.background.ravel()))   # VOCABULARY ** 2 cells
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, target, background = shared.value
-        index = {w.encode(): i + 1 for i, w in enumerate(words)}
-        for b in batches:
-            rows = []
-            for data in texts(b.column(1)):
-                cell = _pairs(_ids(data, index), len(words) + 1)
-                t, g = (float(x[cell].mean()) if len(cell) else 0.0 for x in (target, background))
-                rows.append((len(cell), t, g, t - g))
-            n, t, g, s = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, g, s))],
-                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lower = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    id_type = lower.schema["doc_id"].dataType
+    # The id as it is goes along; the parts' own id is of no use here.
+    parts = write_parts(lower.select(F.lit(0).alias("none"), "doc_id", "text"), "none", "text", part_bytes, buckets).select("_part", "_text", F.col("c1").alias("doc_id"))
+    wanted = target.select(F.lower(F.col(target_col)).alias("text"))
+
+    def count(table: pa.Table) -> pa.Table:
+        return Tokens(table.column("_text")).counts(table.column("_part")[0].as_py())
+
+    is_target = F.col("part") < 0
+    rows = parts.select("_part", "_text").groupBy("_part").applyInArrow(count, _COUNTS).unionByName(_counted(wanted))
+    same = Window.partitionBy("key")
+    answers = rows.select("part", "key", *(F.sum(F.when(is_target if side == "target" else ~is_target, F.col(x)).otherwise(0)).over(same).alias(f"{side}_{x}")
+                                           for side in ("target", "background") for x in ("n", "before"))).where(~is_target)
+    by_word = (_counted(parts.select("_text"), False).select("key", "n", F.lit(0).alias("t")).unionByName(_counted(wanted, False).select("key", F.lit(0).alias("n"), F.col("n").alias("t")))
+               .groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    got = by_word.where(F.col("n") + F.col("t") > 0).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("words")).first()
+    totals = {"background": got.n or 0, "target": got.t or 0, "words": got.words}
+
+    def finish(table: pa.Table, counts: pa.Table) -> pa.Table:
+        tokens = Tokens(table.column("_text"))
+        t, g = tokens.means(counts, totals, prior)
+        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": tokens.n, "target_loss": t, "background_loss": g, "score": t - g})
+
+    schema = f"doc_id {id_type.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
+    return parts.groupBy("_part").cogroup(answers.groupBy("part")).applyInArrow(finish, schema)

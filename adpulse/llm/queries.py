@@ -45,8 +45,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the benchmark's texts; background: all documents.  Rounded to 6 places, as the SQL is."""
-    docs = table(spark, sf_dir, "documents")
-    scored = lm_scoring.score(docs, lm_scoring.train(docs, table(spark, sf_dir, "benchmark")))
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
@@ -96,24 +95,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op5_lm_scoring": r"""
-        WITH tw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
-        v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM (SELECT unnest(ws) AS w FROM tw) GROUP BY w QUALIFY id <= 1023),
-        n AS (SELECT CAST(count(*) + 1 AS DOUBLE) AS size FROM v),
-        words AS (SELECT 't' AS side, item_id AS doc, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM tw
-                  UNION ALL
-                  SELECT 'b', doc_id, unnest(ws), unnest(range(1, len(ws) + 1))
-                  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
-        ids AS (SELECT side, doc, i, coalesce(v.id, 0) AS b FROM words LEFT JOIN v USING (w)),
-        pairs AS (SELECT side, doc, coalesce(lag(b) OVER (PARTITION BY side, doc ORDER BY i), 0) AS a, b FROM ids),
+        WITH words AS (SELECT 't' AS side, item_id AS doc, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
+                       FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark)
+                       UNION ALL
+                       SELECT 'b', doc_id, unnest(ws), unnest(range(1, len(ws) + 1))
+                       FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        v AS (SELECT count(DISTINCT w) AS size FROM words),
+        pairs AS (SELECT side, doc, coalesce(lag(w) OVER (PARTITION BY side, doc ORDER BY i), '') AS a, w AS b FROM words),
         ab AS (SELECT side, a, b, count(*) AS k FROM pairs GROUP BY side, a, b),
         a_ AS (SELECT side, a, sum(k) AS k FROM ab GROUP BY side, a),
         b_ AS (SELECT side, b, sum(k) AS k FROM ab GROUP BY side, b),
-        all_ AS (SELECT side, sum(k) AS k FROM ab GROUP BY side),
-        used AS (SELECT DISTINCT s.side, p.a, p.b FROM ab p, (SELECT unnest(['t', 'b']) AS side) s WHERE p.side = 'b'),
-        cost AS (SELECT u.side, u.a, u.b,
-                        -log2((coalesce(ab.k, 0) + 8.0::DOUBLE * ((coalesce(b_.k, 0) + 1)::DOUBLE / (all_.k + n.size))) / (coalesce(a_.k, 0)::DOUBLE + 8.0)) AS bits
-                 FROM used u CROSS JOIN n JOIN all_ ON all_.side = u.side LEFT JOIN ab ON ab.side = u.side AND ab.a = u.a AND ab.b = u.b
-                 LEFT JOIN a_ ON a_.side = u.side AND a_.a = u.a LEFT JOIN b_ ON b_.side = u.side AND b_.b = u.b),
+        all_ AS (SELECT s.side, coalesce(sum(k), 0) AS k FROM (SELECT unnest(['t', 'b']) AS side) s LEFT JOIN ab USING (side) GROUP BY s.side),
+        cost AS (SELECT all_.side, u.a, u.b,
+                        -log2((coalesce(ab.k, 0) + 8.0::DOUBLE * ((coalesce(b_.k, 0) + 1)::DOUBLE / (all_.k + v.size))) / (coalesce(a_.k, 0)::DOUBLE + 8.0)) AS bits
+                 FROM (SELECT a, b FROM ab WHERE side = 'b') u CROSS JOIN all_ CROSS JOIN v LEFT JOIN ab ON ab.side = all_.side AND ab.a = u.a AND ab.b = u.b
+                 LEFT JOIN a_ ON a_.side = all_.side AND a_.a = u.a LEFT JOIN b_ ON b_.side = all_.side AND b_.b = u.b),
         s AS (SELECT p.doc, count(*) AS n, avg(t.bits) AS t, avg(g.bits) AS g
               FROM pairs p JOIN cost t ON t.side = 't' AND t.a = p.a AND t.b = p.b JOIN cost g ON g.side = 'b' AND g.a = p.a AND g.b = p.b
               WHERE p.side = 'b' GROUP BY p.doc)
