@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -44,3 +45,22 @@ def write_parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int, bu
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")      # the name only: the files stay
     return table
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays, one after the other, compressed."""
+    raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    """The bytes of what was packed, one by one."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, n, 8).tolist()
+    out, at = [], 8 * (n + 1)
+    for size in sizes:
+        out.append(raw[at: at + size])
+        at += size
+    return out

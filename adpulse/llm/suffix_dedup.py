@@ -32,14 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from adpulse.llm.arrowtext import utf8
-from adpulse.llm.parts import write_parts
+from adpulse.llm.parts import pack, unpack, write_parts
 from adpulse.llm.runtime import keep, prepare
 
 WINDOW = 50
@@ -156,23 +155,6 @@ class _Part:
         self.start_, self.end_, self.doc_ = start, end, doc
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
-
-
-def _unpack(blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8).tolist()
-    out, at = [], 8 * (n + 1)
-    for size in sizes:
-        out.append(raw[at: at + size])
-        at += size
-    return out
-
-
 def _bucketed(value: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, positions in the order given) for the values of each bucket."""
     bucket = ((value >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
@@ -350,11 +332,11 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
     def anchors(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
         value = _Part(table, window).anchors()
-        return _table([(part, b, _pack(value[p])) for b, p in _bucketed(value, buckets)], ("part", "bucket", "blob"))
+        return _table([(part, b, pack(value[p])) for b, p in _bucketed(value, buckets)], ("part", "bucket", "blob"))
 
     def share(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
-        lists = [np.frombuffer(_unpack(x)[0], np.uint64) for x in table.column("blob").to_pylist()]
+        lists = [np.frombuffer(unpack(x)[0], np.uint64) for x in table.column("blob").to_pylist()]
         every = np.sort(np.concatenate([x & ~np.uint64(1) for x in lists]))
         once = np.unique(every)
         parts_of = np.searchsorted(every, once, "right") - np.searchsorted(every, once)
@@ -368,11 +350,11 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         for p, x in zip(part, lists):
             at = np.searchsorted(once, x & ~np.uint64(1))
             if common[at].any():
-                out.append((int(p), bucket, _pack(marked[at][common[at]])))
+                out.append((int(p), bucket, pack(marked[at][common[at]])))
         return _table(out, ("part", "bucket", "blob"))
 
     def shared_of(blobs: pa.Table) -> np.ndarray:
-        lists = [np.frombuffer(_unpack(x)[0], np.uint64) for x in blobs.column("blob").to_pylist()]
+        lists = [np.frombuffer(unpack(x)[0], np.uint64) for x in blobs.column("blob").to_pylist()]
         return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
 
     def collect(table: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -384,7 +366,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         out = []
         for b, p in _bucketed(part.route, buckets):
             body = b"".join([part.string[i] for i in p.tolist()])
-            out.append((table.column("_part")[0].as_py(), b, _pack(size[p].astype(np.uint32), part.least[p], part.route[p], body)))
+            out.append((table.column("_part")[0].as_py(), b, pack(size[p].astype(np.uint32), part.least[p], part.route[p], body)))
         return _table(out, ("part", "bucket", "blob"))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -392,7 +374,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         index: dict[bytes, int] = {}
         which, least, route, count = [], [], [], []
         for x in table.column("blob").to_pylist():
-            size, low, value, body = _unpack(x)
+            size, low, value, body = unpack(x)
             end = np.cumsum(np.frombuffer(size, np.uint32), dtype=np.int64)
             begin = (end - np.frombuffer(size, np.uint32)).tolist()
             which.append(np.fromiter((index.setdefault(body[s:e], len(index)) for s, e in zip(begin, end.tolist())), np.int64, len(end)))
@@ -414,7 +396,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         for part, n in zip(table.column("part").to_pylist(), count):
             bits = [smallest[which[i]] < least[i] for i in range(at, at + n)]
             at += n
-            out.append((part, table.column("bucket")[0].as_py(), _pack(np.packbits(np.concatenate(bits)))))
+            out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(np.concatenate(bits)))))
         return _table(out, ("part", "bucket", "blob"))
 
     def cut(table: pa.Table, blobs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -426,7 +408,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
             answer = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
             n = np.fromiter(map(len, part.string), np.int64, len(part.string)) - (window - 1)
             for b, p in _bucketed(part.route, buckets):
-                flags = np.unpackbits(np.frombuffer(_unpack(answer[b])[0], np.uint8), count=int(n[p].sum())).astype(bool)
+                flags = np.unpackbits(np.frombuffer(unpack(answer[b])[0], np.uint8), count=int(n[p].sum())).astype(bool)
                 for i, f in zip(p.tolist(), np.split(flags, np.cumsum(n[p])[:-1])):
                     bits[i] = f
             later = part.ids[part.doc_] > part.least[part.which]      # this part has the string under a smaller id
