@@ -83,3 +83,32 @@ def test_encoding_does_not_depend_on_neighbours():
     for i, r in enumerate(rows):
         alone, _ = mil.encode(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         assert np.allclose(x[owner == i], alone), r
+
+
+def test_every_ngram_of_enough_texts_counts(spark):
+    """Marks of a rare language count although the frequent one's n-grams alone are more than a thousand."""
+    words = np.random.default_rng(3)
+    long_mark = "".join(words.choice(list("abcdefghijklmnopqrstuvw"), 400))
+    def text(i):
+        plain = " ".join(words.choice(WORDS, 30))
+        return f"{plain} {long_mark} {plain}" if i % 4 == 0 else f"{plain} zyxbomente {plain}" if i % 20 == 1 else plain
+    rows = [(i, text(i), int(i % 4 == 0 or i % 20 == 1)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = nb.train(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    rare = np.concatenate(list(nb.ngrams(np.frombuffer(b"zyxbomente", np.uint8))))
+    assert len(model.codes) > 1000 and np.isin(rare, model.codes).all()
+    # n-grams of the same texts share their weight.
+    weight = model.weights[np.isin(model.codes, rare)]
+    assert np.allclose(weight, weight[0]) and weight[0] > 0
+    got = {r.doc_id: r.predicted for r in mil.predictions(nb.score(docs, model), nb.FOLDS, nb.HELD_OUT).collect()}
+    assert all(got[i] == x for i, _, x in rows)
+
+
+def test_features_equal_brute_force():
+    rng = np.random.default_rng(5)
+    text = np.frombuffer(bytes(rng.integers(97, 100, 3000).astype(np.uint8)), np.uint8)
+    every = np.unique(np.concatenate(list(nb.ngrams(text))))
+    model = nb.Model(rng.choice(every, 500, replace=False), np.zeros(500), 0.0)
+    part = text[:400]
+    here = np.unique(np.concatenate(list(nb.ngrams(part))))
+    assert np.array_equal(model.features(part), np.flatnonzero(np.isin(model.codes, here)))
