@@ -10,10 +10,13 @@ windows have equal anchors, so a window can only repeat where its anchor does.
 1. ``parts``: the documents are written once, in parts of a few MB, to a table
    bucketed by part.  The three passes over the texts read it where it lies;
    only what follows is shuffled.
-2. Each part sends its distinct anchors (8 bytes each, packed by bucket), and
-   each bucket answers which of them occur in several documents.
+2. Each part sends its distinct anchors (8 bytes each, packed by bucket) with the
+   bytes of their distinct strings, and each bucket answers which of them occur
+   in several documents, and which of these are hot: in more text than a shard
+   holds.  There are as many buckets as keep each one's share of the parts bounded.
 3. Runs of consecutive windows with one shared anchor go, as one string each, to
    that anchor's bucket; a part sends equal strings once, with its smallest id.
+   A hot anchor's windows are dealt over all buckets, each by its own hash.
 4. A bucket cuts its distinct strings into shards of bounded size, at anchors.
    Each shard gets a suffix array (Larsson-Sadakane refinement: groups of equal
    prefixes are sorted by the ranks h further on, h doubling, and only groups not
@@ -46,7 +49,8 @@ ANCHOR = 16                    # bytes that an anchor hashes
 PART_BYTES = 4 << 20           # text of a part (one document at least)
 SHARD_BYTES = (1 << 21) - 64   # text of a suffix array; positions and ranks have 21 bits
 MAX_RUN = 4096                 # windows in one string; longer runs (periodic text) are cut
-HOT_PARTS = 4096               # an anchor in more parts than this is dealt out by window
+HOT_PARTS = 4096               # an anchor in more parts than this, or with more text than a shard holds, is dealt out by window
+BUCKET_PARTS = 8               # parts' worth of anchors and strings that a bucket holds, about
 _BLOCK = 1 << 20               # positions that a pass looks at together
 _LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 _MASK = (1 << 21) - 1
@@ -115,17 +119,29 @@ class _Part:
         self.start, self.end, self.value = runs(self.flat, self.offsets, window)
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
 
-    def anchors(self) -> np.ndarray:
-        """The distinct anchors, in order; the lowest bit tells that several ids have it."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, in order, and the bytes of each one's distinct strings.
+
+        The lowest bit of an anchor tells that several ids have it.
+        """
         order = np.lexsort((self.ids[self.doc], self.value))
         v, d = self.value[order], self.ids[self.doc][order]
         new = np.ones(len(v), bool)
         new[1:] = v[1:] != v[:-1]
         at = np.flatnonzero(new)
         if not len(at):
-            return v
+            return v, np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        return v[at] | several.astype(np.uint64)
+        start, end = self.start[order], self.end[order] + self.window - 1
+        size, data = end - start, self.flat.tobytes()
+        number = np.diff(np.r_[at, len(v)])
+        seen: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(np.repeat(number, number) > 1).tolist():     # equal strings count once
+            key = (int(v[i]), xxhash.xxh64_intdigest(data[start[i]: end[i]]))
+            if key in seen:
+                size[i] = 0
+            seen.add(key)
+        return v[at] | several.astype(np.uint64), np.add.reduceat(size, at)
 
     def strings(self, shared: np.ndarray) -> None:
         """Finds the distinct strings of the runs whose anchor is shared.
@@ -168,6 +184,17 @@ def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)})
 
 
+def _shared(lists: list[np.ndarray], sizes: list[np.ndarray], hot_parts: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors of all parts, which several documents have, the anchors with the lowest bit set for hot ones)."""
+    every = np.concatenate([x & ~np.uint64(1) for x in lists])
+    once, of, parts_of = np.unique(every, return_inverse=True, return_counts=True)
+    several = np.unique(np.concatenate([x[x & np.uint64(1) == 1] for x in lists])) & ~np.uint64(1)
+    common = parts_of > 1
+    common[np.searchsorted(once, several)] = True
+    size = np.bincount(of, np.concatenate(sizes), len(once))
+    return once, common, once | ((parts_of > hot_parts) | (size > shard_bytes)).astype(np.uint64)
+
+
 # --- suffix arrays -------------------------------------------------------------
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -323,28 +350,24 @@ def smallest_ids(strings: list[bytes], least: np.ndarray, route: np.ndarray, win
 def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str, window: int, part_bytes: int, shard_bytes: int, hot_parts: int) -> DataFrame:
     """``finish(part, removed)`` of each part, where ``removed`` tells which bytes go."""
     spark = prepare(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = write_parts(docs, id_col, text_col, part_bytes, buckets)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = write_parts(docs, id_col, text_col, part_bytes, partitions)
+    buckets = max(partitions, -(-parts.select("_part").distinct().count() // BUCKET_PARTS))
     slim = parts.select("_part", "_row", "_id", "_text")
     blob_schema = "part long, bucket long, blob binary"
     out_schema = to_arrow_schema(schema)
 
     def anchors(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
-        value = _Part(table, window).anchors()
-        return _table([(part, b, pack(value[p])) for b, p in _bucketed(value, buckets)], ("part", "bucket", "blob"))
+        value, size = _Part(table, window).anchors()
+        size = np.minimum(size, np.iinfo(np.uint32).max).astype(np.uint32)
+        return _table([(part, b, pack(value[p], size[p])) for b, p in _bucketed(value, buckets)], ("part", "bucket", "blob"))
 
     def share(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
-        lists = [np.frombuffer(unpack(x)[0], np.uint64) for x in table.column("blob").to_pylist()]
-        every = np.sort(np.concatenate([x & ~np.uint64(1) for x in lists]))
-        once = np.unique(every)
-        parts_of = np.searchsorted(every, once, "right") - np.searchsorted(every, once)
-        several = np.unique(np.concatenate([x[x & np.uint64(1) == 1] for x in lists])) & ~np.uint64(1)
-        common = np.zeros(len(once), bool)
-        common[np.searchsorted(once, several)] = True
-        common |= parts_of > 1
-        marked = once | (parts_of > hot_parts).astype(np.uint64)
+        blobs = [unpack(x) for x in table.column("blob").to_pylist()]
+        lists = [np.frombuffer(x, np.uint64) for x, _ in blobs]
+        once, common, marked = _shared(lists, [np.frombuffer(x, np.uint32) for _, x in blobs], hot_parts, shard_bytes)
         bucket = table.column("bucket")[0].as_py()
         out = []
         for p, x in zip(part, lists):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adpulse.llm import suffix_dedup as s
@@ -114,3 +115,45 @@ def test_texts_are_cut_and_columns_kept(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert s.digests(df).collect() == []
+
+
+def part_of(rows):
+    return s._Part(pa.table({"_part": [0] * len(rows), "_row": range(len(rows)), "_id": [r[0] for r in rows], "_text": [r[1] for r in rows]}), 50)
+
+
+def test_an_anchor_with_more_text_than_a_shard_is_hot():
+    """A line in every document, each time between other words: few parts, but many strings at its edges."""
+    rng = np.random.default_rng(8)
+    line = "this very line of boilerplate stands in each and every document of the corpus"
+    noise = lambda: "".join(rng.choice(list("abcdefghijkl"), 60))
+    parts = [part_of([(100 * p + d, noise() + line + noise()) for d in range(100)]) for p in range(2)]
+    lists, sizes = zip(*(p.anchors() for p in parts))
+    once, common, marked = s._shared(list(lists), list(sizes), s.HOT_PARTS, 4000)
+    hot = once[marked & np.uint64(1) == 1]
+    total = {}
+    for p in parts:
+        data = p.flat.tobytes()
+        for v, x in {(v, data[a: b + 49]) for v, a, b in zip(p.value.tolist(), p.start.tolist(), p.end.tolist())}:
+            total[v] = total.get(v, 0) + len(x)
+    assert sorted(hot.tolist()) == sorted(v for v, n in total.items() if n > 4000) and len(hot)
+    # What stays with its anchor fits one shard; a hot anchor's strings have many routes.
+    shared = np.sort(marked[common])
+    routes = {}
+    for p in parts:
+        p.strings(shared)
+        for r, x in zip(p.route.tolist(), p.string):
+            routes.setdefault(r, set()).add(x)
+    assert max(sum(map(len, x)) for x in routes.values()) <= 4000
+
+
+def test_copies_do_not_make_an_anchor_hot():
+    part = part_of([(d, "the same text of more than fifty bytes in all of the documents") for d in range(500)])
+    value, size = part.anchors()
+    assert size.max() < 200 and (value & np.uint64(1) == 1).all()
+
+
+def test_hot_by_text_equals_brute_force(spark):
+    rows = corpus(np.random.default_rng(9))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in s.digests(df, part_bytes=3000, shard_bytes=300).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
