@@ -11,7 +11,9 @@ tags that it wrongly leaves out regain it).
 
 Inside the region, elements that are never main text (menus, headers, footers,
 side bars, notices, adverts, forms, scripts, comments) are left out, and the rest
-is cut into blocks at block-level tags.
+is cut into blocks at block-level tags.  An element that holds the page's largest
+content element is not left out whatever its name; on a page without one, neither
+is a form, or an element so named, that holds most of the page's words.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ LEFT_OUT_NAMES = frozenset(
     "footer sidebar aside widget cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended comment comments disqus reply replies respond form search pagination pager toolbar copyright disclaimer".split())
 CONTENT = frozenset(("article", "main"))
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},   # open elements that a tag ends
+            "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "p": BLOCKS}
 # --- end fixed values --------------------------------------------------------------
 
 _TOKEN = re.compile(
@@ -74,13 +78,24 @@ class Token:
 def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
     """The tokens of a page, and the token ranges inside elements marked as content."""
     found: list[Token] = []
-    opened: list[tuple[str, int, bool, bool]] = []     # (name, token, left out, content)
-    outs, regions, at = [], [], 0
+    opened: list[tuple[str, int, bool, bool, bool]] = []     # (name, token, left out, only by name or as a form, content)
+    outs, regions, plain, at = [], [], [], 0           # plain: content elements whose names don't tell of another part
 
     def text(end: int) -> None:
         if end > at:
             found.append(Token(None, text=entities.unescape(page[at:end])))
 
+    def end(depth: int, last: int) -> None:
+        """Ends the open elements from ``depth`` on before the token ``last``."""
+        for _, start, out, named, content in opened[depth:]:
+            if out:
+                outs.append((start, last, named))
+            if content:
+                regions.append((start + 1, last))
+                if not named:
+                    plain.append((start, last))
+        del opened[depth:]
+
     for m in _TOKEN.finditer(page):
         text(m.start())
         at = m.end()
@@ -94,12 +109,11 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             found.append(Token("/" + name, name, True))
             depth = next((d for d in range(len(opened) - 1, -1, -1) if opened[d][0] == name), None)
             if depth is not None:
-                _, start, out, content = opened[depth]
-                if out:
-                    outs.append((start, len(found)))
-                if content:
-                    regions.append((start + 1, len(found) - 1))
-                del opened[depth:]
+                end(depth + 1, len(found) - 1)          # those that were never closed
+                if opened[depth][2]:
+                    outs.append((opened[depth][1], len(found), opened[depth][3]))
+                    opened[depth] = (*opened[depth][:2], False, *opened[depth][3:])
+                end(depth, len(found) - 1)
             continue
         names, role, hidden = set(), "", False
         for a in _ATTR.finditer(m["attrs"] or ""):
@@ -111,19 +125,33 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                 role = value.strip()
             else:
                 hidden |= value in ("", "true", "hidden")
+        for d in range(len(opened) - 1, -1, -1):
+            if name in ENDED_BY.get(opened[d][0], ()) or (opened[d][0] in ("td", "th") and name == "tr"):
+                end(d, len(found))
+            elif opened[d][0] in BLOCKS:
+                break
         mark = sorted(names & LEFT_OUT_NAMES)
         found.append(Token(name + ("." + mark[0] if mark else ""), name))
         if name not in VOID:
             content = name in CONTENT or role in CONTENT
-            out = not content and name not in ("html", "body") and (name in LEFT_OUT or role in LEFT_OUT_ROLES or bool(mark) or hidden)
-            opened.append((name, len(found) - 1, out, content))
+            always = name in LEFT_OUT - {"form"} or role in LEFT_OUT_ROLES - {"form", "search"} or hidden
+            named = bool(mark) or name == "form" or role in ("form", "search")
+            out = not content and name not in ("html", "body") and (always or named)
+            opened.append((name, len(found) - 1, out, named and not always, content))
     text(len(page))
-    for name, start, _, content in opened:              # never closed: it reaches to the end
-        if content:
-            regions.append((start + 1, len(found)))
-    for a, b in outs:
-        for t in found[a:b]:
-            t.out = True
+    end(0, len(found))                                  # never closed: they reach to the end
+    if outs:
+        upto = [0]
+        for t in found:
+            upto.append(upto[-1] + t.words)
+        words = lambda a, b: upto[b] - upto[a]
+        main = max(plain, key=lambda r: (words(*r), -r[0]), default=None)
+        main = main if main and words(*main) else None
+        for a, b, named in outs:
+            if a < main[0] and main[1] <= b if main else named and 2 * words(a, b) > upto[-1]:
+                continue
+            for t in found[a:b]:
+                t.out = True
     return found, regions
 
 

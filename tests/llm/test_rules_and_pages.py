@@ -95,3 +95,24 @@ def test_pages_table(spark):
     assert len(got) == len(rows) and {r.text for r in got if r.page_id in (50, 51)} == {""}
     assert [r.text for r in got if r.page_id is None] == [TRUE] and all(r.n_chars == len(r.text) for r in got)
     assert pt.extract(df.limit(0)).collect() == []
+
+
+def left(page):
+    return " ".join(" ".join(t.text for t in pt.tokens(page)[0] if t.key is None and not t.out).split())
+
+
+def test_an_element_around_the_main_content_is_not_left_out():
+    article = "<article><p>one two three four</p><div class=comments><article class=comment>no no</article></div></article>"
+    for open_, close in [('<div class="page has-sidebar">', "</div>"), ('<div id="search-result">', "</div>"), ("<form action=x>", "</form>"), ("<form>", "")]:
+        page = f"<html><body>{open_}<nav>menu a b c d e f g h</nav>{article}<div class=related><article>teaser</article></div>{close}</body></html>"
+        assert left(page) == "one two three four", page
+    # Without a content element, most of the page's words decide; a menu or a footer never comes back so.
+    assert left("<body><form><p>one two three four</p><nav>a b</nav></form></body>") == "one two three four"
+    assert left("<body><nav>a b c d e f</nav><p>one two</p><div class=ad>buy</div></body>") == "one two"
+
+
+def test_unclosed_elements_are_left_out_too():
+    assert left("<body><ul><li class=ad>buy this<li>one<li class=ad>buy that</ul><p>two") == "one two"
+    assert left("<body><div><nav>menu <a>x</a></div><article>one two</article>") == "one two"
+    assert left("<body><p>one two three<div><p class=notice>cookies</div><p>four") == "one two three four"
+    assert left("<body><p>one two three<table><tr><td class=ad>buy<td>four<tr><td>five</table><footer>foot") == "one two three four five"
