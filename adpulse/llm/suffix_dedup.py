@@ -237,24 +237,29 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 409
     """For each place in ``sa``, the bytes its suffix shares with the one before, ``cap`` at most.
 
     Kasai's rule: from one text position to the next the shared length falls by
-    one at most.  Many stretches of the text are walked side by side, and eight
-    bytes are compared at a time.
+    one at most, as long as the neighbour carried along still stands before its
+    suffix.  Suffixes that are equal beyond the array's depth stand in any order,
+    so it may not; the length then starts from zero.  Many stretches of the text
+    are walked side by side, and eight bytes are compared at a time.
     """
     n = len(text)
     word = np.ndarray((n + cap + 16,), "<u8", np.concatenate((text, np.zeros(cap + 24, np.uint8))).tobytes(), strides=(1,))
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    place = np.full(n + 1, n, np.int64)              # in the array; the end of the text bounds nothing
+    place[sa] = np.arange(n)
     shared = np.zeros(n, np.int64)
     stride = -(-n // lanes) if n else 0
     at = np.arange(0, n, stride) if n else np.zeros(0, np.int64)
     length = np.zeros(len(at), np.int64)
+    p = np.full(len(at), n - 1, np.int64)
     for step in range(stride):
         i = at + step
         if i[-1] >= n:
             i = i[i < n]
-            length = length[: len(i)]
+            length, p = length[: len(i)], p[: len(i)]
+        length = np.where(place[p + 1] < place[i], np.maximum(length - 1, 0), 0)
         p = before[i]
-        length = np.maximum(length - 1, 0)
         length[p < 0] = 0
         todo = np.flatnonzero(p >= 0)
         while len(todo):

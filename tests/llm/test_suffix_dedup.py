@@ -62,6 +62,20 @@ def test_suffix_array_and_common_prefixes():
             assert min(lcp[k], 50) == want or b"\x00" in text
 
 
+def test_common_prefixes_of_texts_with_repeats_longer_than_the_depth():
+    """Ties beyond the array's depth stand in any order, beside neighbours that differ early."""
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        pool = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(60, 400, 4)]
+        text = b"".join(pool[i][rng.integers(0, 9):] + bytes(rng.integers(97, 100, 3).astype(np.uint8)) for i in rng.integers(0, 4, 30))
+        t = np.frombuffer(text, np.uint8)
+        sa = s.suffix_array(t, 50)
+        got = s.common_prefixes(t, sa, 50, lanes=int(rng.integers(1, 40)))
+        for k in range(1, len(sa)):
+            a, b = text[sa[k - 1]:][:50], text[sa[k]:][:50]
+            assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 @pytest.mark.parametrize("shard_bytes", [s.SHARD_BYTES, 400, 90])
 def test_smallest_ids_over_shards(shard_bytes):
     rng = np.random.default_rng(2)
@@ -103,6 +117,23 @@ def test_digests_equal_brute_force(spark, options):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+@pytest.fixture(scope="module")
+def whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return docs, sorted(brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+
+
+@pytest.mark.parametrize("partitions,options", [(1, {}), (2, {}), (3, {"shard_bytes": 16 << 10}), (4, {}), (5, {}), (6, {}), (7, {"part_bytes": 1 << 16}), (8, {})])
+def test_whole_table_whatever_the_partitions(spark, whole, partitions, options):
+    docs, want = whole
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert sorted(tuple(r) for r in s.digests(docs, **options).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_texts_are_cut_and_columns_kept(spark):
     a, b = "prefix one " + "shared passage of more than fifty bytes, really so, " * 2, "and " + "shared passage of more than fifty bytes, really so, " * 2 + "tail"
     df = spark.createDataFrame([(2, b, 5, "k"), (1, a, 6, None), (3, None, None, "z"), (4, a, 7, "q")], "doc_id long, text string, _id long, c0 string")
