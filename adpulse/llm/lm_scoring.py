@@ -156,7 +156,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     lower = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     id_type = lower.schema["doc_id"].dataType
     # The id as it is goes along; the parts' own id is of no use here.
-    parts = (write_parts(lower.select(F.lit(0).alias("none"), "doc_id", "text"), "none", "text", part_bytes, partitions)
+    parts = (write_parts(lower.select(F.lit(0).alias("none"), "doc_id", "text"), "none", "text", part_bytes)
              .select("_part", "_text", F.col("c1").alias("doc_id")))
     buckets = max(partitions, -(-parts.select("_part").distinct().count() // bucket_parts))
 

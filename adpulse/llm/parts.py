@@ -17,8 +17,17 @@ from adpulse.llm.arrowtext import utf8
 from adpulse.session import scratch_path
 
 
-def write_parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int, buckets: int) -> DataFrame:
-    """(_part, _row, _id, _text, c0, c1, ...) of the documents, bucketed by part."""
+BUCKET_BYTES = 64 << 20      # text that a bucket of the parts table holds, about
+
+
+def write_parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(_part, _row, _id, _text, c0, c1, ...) of the documents, bucketed by part.
+
+    A bucket is what one task reads later; there are as many as the bytes of the
+    texts ask for, so that a task's share does not grow with the table.
+    """
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     others = [c for c in docs.columns if c != text_col]
     flat = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"),
                        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import best_fit, byte_bpe, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, rule_cascade, suffix_dedup
+from adpulse.llm import best_fit, byte_bpe, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, permuterm, rule_cascade, suffix_dedup
 from adpulse.llm.runtime import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -71,10 +71,14 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"), corrupt_every=permuterm.CORRUPT_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mil_quality, op2_nb_toxicity, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_best_fit, op7_page_text, op8_byte_bpe,
-        op9_rule_cascade, op10_kd_topk)
+        op9_rule_cascade, op10_kd_topk, op11_permuterm)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +151,31 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # crc32 by its definition, eight shifts for each entry of a table.
+    "op11_permuterm": r"""
+        WITH RECURSIVE bits(x, k, v) AS (SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT x, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+        tab AS MATERIALIZED (SELECT list(v ORDER BY x) AS t FROM bits WHERE k = 8),
+        runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+                 FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+                 GROUP BY 1, 2 HAVING length(run) >= 6),
+        coded AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+        summed AS (SELECT run, k, xor(list_reduce([CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) for i in range(length(h) // 2)],
+                                                  lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS c
+                   FROM coded, tab),
+        vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n
+                  FROM (SELECT k, CASE WHEN c % 199 = 0 THEN substr(run, 1, CAST(c % length(run) AS BIGINT)) || substr(run, CAST(c % length(run) + 2 AS BIGINT)) ELSE run END AS word FROM summed)
+                  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+        holes AS (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS BIGINT)) AS a, substr(word, CAST(i + 1 AS BIGINT)) AS z FROM places),
+        gone AS (SELECT DISTINCT word, n, a || z AS cut FROM holes),
+        pairs AS (SELECT x.word, y.word AS near, y.n FROM holes x JOIN holes y ON x.a = y.a AND x.z = y.z AND x.i = y.i AND x.word <> y.word
+                  UNION ALL SELECT g.word, v.word, v.n FROM gone g JOIN vocab v ON v.word = g.cut
+                  UNION ALL SELECT v.word, g.word, g.n FROM gone g JOIN vocab v ON v.word = g.cut),
+        best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+        formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+                          CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM vocab v LEFT JOIN best b USING (word)),
+        walk(word, cur) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NOT NULL),
+        roots AS (SELECT w.word, w.cur AS root FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
 }

@@ -356,7 +356,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
     """``finish(part, removed)`` of each part, where ``removed`` tells which bytes go."""
     spark = prepare(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = write_parts(docs, id_col, text_col, part_bytes, partitions)
+    parts = write_parts(docs, id_col, text_col, part_bytes)
     buckets = max(partitions, -(-parts.select("_part").distinct().count() // BUCKET_PARTS))
     slim = parts.select("_part", "_row", "_id", "_text")
     blob_schema = "part long, bucket long, blob binary"
