@@ -20,6 +20,10 @@ place of the run counts, so each pair counts once.
 
 Everything is built-in column functions: counting words is a partial aggregation
 (a hot word is one row of each task), and what follows works on the vocabulary.
+The sorted vocabulary numbers its words in code-point order, and rotations carry
+that number; long prefixes are named by their SHA-256.  A rotation's row then has
+a fixed size, however long its word (work still grows with the square of a word's
+length, for the few words that long which occur often enough).
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ END = "$"                # outside the alphabet
 MIN_LENGTH = 6           # code points of a word
 MIN_COUNT = 5            # occurrences of a word
 RATIO = 5                # a form is at least so many times as frequent
+LONG_PREFIX = 96         # code points; longer prefixes are named by their hash
 CORRUPT_EVERY = 199      # the contract's planted misspellings: one run in so many loses a code point
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,8 +67,13 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corru
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
 
 
+def numbered(vocabulary: DataFrame) -> DataFrame:
+    """(word, n, id): ids ascend with the words in code-point order; written, so that they stay."""
+    return keep(vocabulary.orderBy("word").select("word", "n", F.monotonically_increasing_id().alias("id")), "vocabulary")
+
+
 def rotations(vocabulary: DataFrame) -> DataFrame:
-    """(prefix, word, n, hole, first) of every rotation, in both its roles.
+    """(prefix, id, n, hole, first) of every rotation, in both its roles.
 
     ``hole``: the prefix is the rotation without its last code point; then
     ``first`` tells that the code point begins a run of equal ones.
@@ -71,57 +81,56 @@ def rotations(vocabulary: DataFrame) -> DataFrame:
     m, i = F.char_length("word"), F.col("i")
     head, tail = F.substring("word", F.lit(1), i), F.substring("word", i + 1, m)
     at = lambda p: F.substring("word", p, F.lit(1))
-    every = vocabulary.select("word", "n", F.explode(F.sequence(F.lit(0), m)).alias("i"))
-    whole = every.select(F.concat(tail, F.lit(END), head).alias("prefix"), "word", "n", F.lit(False).alias("hole"), F.lit(True).alias("first"))
-    holes = every.where(i < m).select(F.concat(F.substring("word", i + 2, m), F.lit(END), head).alias("prefix"), "word", "n", F.lit(True).alias("hole"),
+    named = lambda prefix, size: F.when(size <= LONG_PREFIX, prefix).otherwise(F.sha2(prefix.cast("binary"), 256)).alias("prefix")
+    every = vocabulary.select("word", "id", "n", F.explode(F.sequence(F.lit(0), m)).alias("i"))
+    whole = every.select(named(F.concat(tail, F.lit(END), head), m + 1), "id", "n", F.lit(False).alias("hole"), F.lit(True).alias("first"))
+    holes = every.where(i < m).select(named(F.concat(F.substring("word", i + 2, m), F.lit(END), head), m), "id", "n", F.lit(True).alias("hole"),
                                       ((i == 0) | (at(i) != at(i + 1))).alias("first"))
     return whole.unionByName(holes)
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
-    """(word, n_near, form_word, form_n): how many words are one edit away, and the most frequent of them.
+    """(id, n_near, form, form_n): how many words are one edit away, and the id and count of the most frequent.
 
     Of equally frequent ones the smallest in code-point order.  Words without a
     neighbour do not come out.
     """
     group = Window.partitionBy("prefix")
-    rows = rotations(vocabulary)
+    # Structs of (-n, id): the smallest is the most frequent word, then the smallest.
+    rows = rotations(vocabulary).select("prefix", "hole", "first", F.struct((-F.col("n")).alias("n"), "id").alias("me"))
     # Holes by frequency, then the whole rotation; a hole's best other one is the first, or for the first the second.
-    ranked = rows.select("*", F.row_number().over(group.orderBy(F.col("hole").desc(), F.col("n").desc(), "word")).alias("nth"))
-    pick = lambda cond: F.max(F.when(cond, F.struct("n", "word"))).over(group)
+    ranked = rows.select("*", F.row_number().over(group.orderBy(F.col("hole").desc(), "me")).alias("nth"))
+    pick = lambda cond: F.min(F.when(cond, F.col("me"))).over(group)
     scanned = ranked.select(
-        "word", "n", "hole", "first", "nth",
-        pick(F.col("hole") & (F.col("nth") == 1)).alias("h1"),
-        pick(F.col("hole") & (F.col("nth") == 2)).alias("h2"),
-        pick(~F.col("hole")).alias("short"),
+        "me", "hole", "first", "nth",
+        pick(F.col("hole") & (F.col("nth") == 1)).alias("best_hole"),
+        pick(F.col("hole") & (F.col("nth") == 2)).alias("next_hole"),
+        pick(~F.col("hole")).alias("whole"),
         F.sum(F.col("hole").cast("long")).over(group).alias("holes"),
         # For the whole rotation: holes at the first place of their run.
         F.sum((F.col("hole") & F.col("first")).cast("long")).over(group).alias("longer"),
-        F.min(F.when(F.col("hole") & F.col("first"), F.struct((-F.col("n")).alias("n"), F.col("word").alias("word")))).over(group).alias("longest"),
+        pick(F.col("hole") & F.col("first")).alias("best_longer"),
     )
-    other = F.when(F.col("nth") == 1, F.col("h2")).otherwise(F.col("h1"))
-    negated = lambda c: F.struct((-c["n"]).alias("n"), c["word"].alias("word"))
-    # The smallest of these structs is the most frequent, then the smallest word.
-    replaced = F.when(F.col("hole") & other.isNotNull(), negated(other))
-    shorter = F.when(F.col("hole") & F.col("first") & F.col("short").isNotNull(), negated(F.col("short")))
-    longer = F.when(~F.col("hole"), F.col("longest"))
+    replaced = F.when(F.col("hole"), F.when(F.col("nth") == 1, F.col("next_hole")).otherwise(F.col("best_hole")))
+    shorter = F.when(F.col("hole") & F.col("first"), F.col("whole"))
+    longer = F.when(~F.col("hole"), F.col("best_longer"))
     near = F.when(F.col("hole"), F.col("holes") - 1 + shorter.isNotNull().cast("long")).otherwise(F.col("longer"))
-    found = scanned.select("word", near.alias("near"), F.least(replaced, shorter, longer).alias("best")).where("near > 0")
-    return (found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
-            .select("word", "n_near", F.col("best.word").alias("form_word"), (-F.col("best.n")).alias("form_n")))
+    found = scanned.select("me.id", near.alias("near"), F.least(replaced, shorter, longer).alias("best")).where("near > 0")
+    return (found.groupBy("id").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
+            .select("id", "n_near", F.col("best.id").alias("form"), (-F.col("best.n")).alias("form_n")))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """(word, root) of the words that have a form, by following forms to the last.
+    """(id, root) of the words that have a form, by following forms to the last.
 
     Each round replaces a word's target by its target's target; n grows along a
     chain by the ratio at least, so a chain has few links and no circle.
     """
-    step = keep(forms.select("word", F.col("form").alias("root")), "roots")
+    step = keep(forms.select("id", F.col("form").alias("root")), "roots")
     while True:
-        onward = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = keep(step.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        step = joined.select("word", "root")
+        onward = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        joined = keep(step.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = joined.select("id", "root")
         if joined.where("moved").isEmpty():
             return step
 
@@ -136,10 +145,15 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    vocabulary = keep(words(slim, "id", "text", corrupt_every, min_length, min_count), "vocabulary")
-    near = vocabulary.join(neighbours(vocabulary), "word", "left")
+    if ratio <= 1:
+        raise ValueError("a form must be more frequent than its word")
+    vocabulary = numbered(words(slim, "id", "text", corrupt_every, min_length, min_count))
+    near = vocabulary.join(neighbours(vocabulary), "id", "left")
     has = F.col("form_n") >= ratio * F.col("n")
-    near = keep(near.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(has, F.col("form_word")).alias("form"),
+    near = keep(near.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(has, F.col("form")).alias("form"),
                             F.when(has, F.col("form_n")).alias("form_n")), "neighbours")
-    roots = _roots(near.where(F.col("form").isNotNull()))
-    return near.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    formed = near.where(F.col("form").isNotNull())
+    named = lambda c: vocabulary.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word"))
+    links = formed.select("id", "form").join(_roots(formed), "id").join(named("form"), "form").join(named("root"), "root").select("id", "form_word", "root_word")
+    return (near.join(links, "id", "left")
+            .select("word", F.col("form_word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n"))
