@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import best_fit, byte_bpe, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, permuterm, rule_cascade, suffix_dedup
+from adpulse.llm import best_fit, byte_bpe, collocations, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, permuterm, rule_cascade, suffix_dedup
 from adpulse.llm.runtime import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,10 +75,14 @@ def op11_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuterm.variants(table(spark, sf_dir, "documents"), corrupt_every=permuterm.CORRUPT_EVERY)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mil_quality, op2_nb_toxicity, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_best_fit, op7_page_text, op8_byte_bpe,
-        op9_rule_cascade, op10_kd_topk, op11_permuterm)
+        op9_rule_cascade, op10_kd_topk, op11_permuterm, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -178,4 +182,21 @@ ORACLE_SQL: dict[str, str] = {
         walk(word, cur) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NOT NULL),
         roots AS (SELECT w.word, w.cur AS root FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NULL)
         SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
+    "op13_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+                        FROM documents),
+        ws AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM ws GROUP BY lang),
+        grams AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM ws, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, m, string_split(phrase, ' ') AS w, phrase, a FROM f WHERE m > 1),
+        inner_ AS (SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS by_a
+                   FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS s FROM (SELECT lang, m, w, a, unnest(range(2, m)) AS k FROM c)) GROUP BY ALL),
+        free AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE by_a IS NULL OR 100 * by_a < 100 * a),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+        scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, n, CAST((CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p JOIN f y ON y.lang = cuts.lang AND y.phrase = q JOIN total ON total.lang = cuts.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000""",
 }
