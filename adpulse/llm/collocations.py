@@ -46,8 +46,8 @@ MIN_COUNT = 100          # occurrences of a candidate
 MAX_WORDS = 5            # words of the longest phrase
 TOP = 2000               # phrases reported for each language
 UNKNOWN = "und"          # language of documents without one
-BLOCK_BYTES = 6 << 20    # text that a task sorts at a time
-RANGE_BYTES = 12 << 20   # text whose rows a range holds, about
+BLOCK_BYTES = 4 << 20    # text that a task sorts at a time
+RANGE_BYTES = 8 << 20    # text whose rows a range holds, about
 SAMPLE_DOCS = 64         # documents sampled for each range bound, to balance the ranges
 _END = b"\xff"           # ends a piece; no byte of UTF-8
 _BITS = 21               # of a word's number within a block or range
@@ -248,6 +248,8 @@ def _streams(slim: DataFrame, min_count: int, max_words: int, block_bytes: int,
                          "open": pa.array([f[3] for f in found], pa.bool_())})
 
     sent = slim.mapInArrow(send, _SENT)
+    # As many tasks as ranges, so that a task's share does not grow with the table.
+    sent = sent.repartition(max(ranges, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range")
     found = keep(sent.groupBy("range", "lang").applyInArrow(scan, _FOUND), "phrases")
     closed = found.where(~F.col("open")).select("lang", "m", "phrase", "n")
     opened = found.where("open").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
