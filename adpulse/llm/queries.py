@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import best_fit, byte_bpe, collocations, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, permuterm, rule_cascade, suffix_dedup
+from adpulse.llm import best_fit, byte_bpe, collocations, fm_dedup, golay_simhash, kd_topk, lm_scoring, mil_quality, nb_toxicity, page_text, permuterm, rule_cascade, suffix_dedup
 from adpulse.llm.runtime import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,6 +75,10 @@ def op11_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuterm.variants(table(spark, sf_dir, "documents"), corrupt_every=permuterm.CORRUPT_EVERY)
 
 
+def op12_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mil_quality, op2_nb_toxicity, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_best_fit, op7_page_text, op8_byte_bpe,
-        op9_rule_cascade, op10_kd_topk, op11_permuterm, op13_collocations)
+        op9_rule_cascade, op10_kd_topk, op11_permuterm, op12_fm_dedup, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -182,6 +186,16 @@ ORACLE_SQL: dict[str, str] = {
         walk(word, cur) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NOT NULL),
         roots AS (SELECT w.word, w.cur AS root FROM walk w JOIN formed f ON f.word = w.cur WHERE f.form IS NULL)
         SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
+    "op12_fm_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        gone AS (SELECT doc_id, list(DISTINCT pos) AS places FROM (SELECT win.doc_id, unnest(range(i, i + 13)) AS pos FROM win JOIN low USING (k) WHERE m < win.doc_id) GROUP BY doc_id),
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+        hit AS (SELECT doc_id, unnest(places) AS i FROM gone),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t FROM word ANTI JOIN hit USING (doc_id, i) GROUP BY word.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op13_collocations": r"""
         WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
                                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
