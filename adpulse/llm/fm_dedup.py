@@ -174,16 +174,21 @@ class _Part:
         planes = small.astype(np.uint32).view(np.uint8).reshape(-1, 4).T               # bytes of one weight pack well together
         return pack(b" ".join([self.words[u] for u in used.tolist()]), planes, size.astype(np.uint32), self.least[of], self.route[of])
 
-    def covered(self, later: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
-        """Which words go: ``later`` runs whole, and of the others the windows that ``bits`` of their string tell."""
+    def covered(self, later: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Which words go: ``later`` runs whole, and of the others the windows that ``bits`` tells, string by string."""
         begins = np.zeros(len(self.flat) + 1, np.int64)
         np.add.at(begins, self.run_start[later], 1)
         np.add.at(begins, self.run_end[later], -1)
         starts = np.cumsum(begins[:-1]) > 0
-        for i in np.flatnonzero(~later).tolist():
-            found = bits[self.which[i]]
-            if found.any():
-                starts[self.run_start[i]: self.run_end[i]] |= found
+        n = np.fromiter(map(len, self.string), np.int64, len(self.string)) - (self.window - 1)
+        first = np.cumsum(n) - n
+        hit = np.r_[0, np.cumsum(bits)]
+        some = np.flatnonzero(~later & (hit[first + n] > hit[first])[self.which])
+        for i in range(0, len(some), _BLOCK // 8):
+            of = some[i: i + _BLOCK // 8]
+            k = n[self.which[of]]
+            nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            starts[(np.repeat(self.run_start[of], k) + nth)[bits[np.repeat(first[self.which[of]], k) + nth]]] = True
         upto = np.cumsum(starts)
         gone = upto > 0
         gone[self.window:] = upto[self.window:] > upto[: -self.window]
@@ -196,12 +201,14 @@ def _read_blob(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nda
     return words.split(b" "), small, np.frombuffer(size, np.uint32).astype(np.int64), np.frombuffer(least, np.int64), np.frombuffer(route, np.uint64)
 
 
-def smallest_ids(strings: list[np.ndarray], least: np.ndarray, route: np.ndarray, window: int, shard_words: int = SHARD_WORDS) -> list[np.ndarray]:
-    """For each distinct string of word numbers (from 1 on), the smallest id that each of its windows has in any string.
+def smallest_ids(strings: list[np.ndarray], least: np.ndarray, route: np.ndarray, window: int, shard_words: int = SHARD_WORDS) -> np.ndarray:
+    """String by string, the smallest id that each window of the distinct strings (word numbers from 1 on) has in any string.
 
     Strings of one route lie in one shard; a shard holds as many routes as its size allows.
     """
-    out: list = [None] * len(strings)
+    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - (window - 1)
+    first = np.cumsum(windows) - windows
+    out = np.full(windows.sum(), _LAST, np.int64)
     order = np.argsort(route, kind="stable")
     size = np.fromiter((len(strings[i]) + 1 for i in order.tolist()), np.int64, len(order))
     same = route[order]
@@ -220,9 +227,9 @@ def smallest_ids(strings: list[np.ndarray], least: np.ndarray, route: np.ndarray
         own = np.insert(np.repeat(least[members], n), offsets[1:], _LAST)    # no window begins at an end of string
         in_group = np.minimum.reduceat(own[index.order], index.group_first)
         length, place = index.matching_statistics(flat, offsets)
-        found = np.where(length == window, in_group[index.group[place]], _LAST)
-        for m, s, e in zip(members, offsets.tolist(), offsets[1:].tolist()):
-            out[m] = found[s: e - window + 1]
+        at = np.flatnonzero(length == window)                                # a match of a whole window: its interval is reported
+        of = np.searchsorted(offsets, at, "right") - 1
+        out[first[members][of] + at - offsets[of]] = in_group[index.group[place[at]]]
         i = j
     return out
 
@@ -283,11 +290,15 @@ def _judged(table: pa.Table, window: int, shard_words: int) -> pa.Table:
     np.minimum.at(low, which, least)
     way[which] = route
     smallest = smallest_ids(strings, low, way, window, shard_words)
+    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - (window - 1)
+    first = np.cumsum(windows) - windows
     out, at = [], 0
     for part, n in zip(table.column("part").to_pylist(), counts):
-        bits = [smallest[which[i]] < least[i] for i in range(at, at + n)]
+        of, own = which[at: at + n], least[at: at + n]
         at += n
-        out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(np.concatenate(bits)))))
+        k = windows[of]
+        place = np.repeat(first[of] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(smallest[place] < np.repeat(own, k)))))
     return _rows(out)
 
 
@@ -327,12 +338,13 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
             part.strings(shared_of(blobs.filter(pa.array(~answer))))
             answers = blobs.filter(pa.array(answer))
             got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
-            bits: list = [None] * len(part.string)
             n = np.fromiter(map(len, part.string), np.int64, len(part.string)) - (window - 1)
+            first = np.cumsum(n) - n
+            bits = np.zeros(n.sum(), bool)
             for b, at in _by_bucket(part.route, buckets):
-                flags = np.unpackbits(np.frombuffer(unpack(got[b])[0], np.uint8), count=int(n[at].sum())).astype(bool)
-                for i, f in zip(at.tolist(), np.split(flags, np.cumsum(n[at])[:-1])):
-                    bits[i] = f
+                k = n[at]
+                place = np.repeat(first[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                bits[place] = np.unpackbits(np.frombuffer(unpack(got[b])[0], np.uint8), count=len(place)).astype(bool)
             # This part itself has a later run's string under a smaller id.
             gone = part.covered(part.ids[part.run_doc] > part.least[part.which], bits)
         return finish(part, gone)
@@ -347,8 +359,9 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
 
 def _kept_texts(part: _Part, gone: np.ndarray) -> list[bytes]:
     """Each document's kept words, joined by one space."""
-    kept = np.where(gone, -1, part.flat).tolist()
-    return [b" ".join([part.words[x] for x in kept[s:e] if x >= 0]) for s, e in zip(part.offsets.tolist(), part.offsets[1:].tolist())]
+    word, kept = part.words.__getitem__, part.flat[~gone].tolist()
+    at = np.r_[0, np.cumsum(~gone)][part.offsets].tolist()
+    return [b" ".join(map(word, kept[s:e])) for s, e in zip(at, at[1:])]
 
 
 def _removed(part: _Part, gone: np.ndarray) -> np.ndarray:

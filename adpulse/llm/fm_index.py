@@ -17,27 +17,40 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` ordered by their first ``depth`` numbers (at least), by prefix doubling."""
+    """Places of ``text`` ordered by their first ``depth`` numbers (at least), by prefix doubling.
+
+    The first sort packs as many words into a key as go in; later rounds sort only
+    places that are not yet told apart.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = _ranks(text[order], order)
-    h = 1
-    while h < depth and n and rank.max() + 1 < n:
-        after = np.zeros(n, np.int64)                 # 0: beyond the end
-        after[:-h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key[order], order)
+    bits, symbol_bits = n.bit_length(), max(1, int(text.max()).bit_length())
+    if 3 * bits > 63:
+        raise ValueError("an index has at most 2**21 - 1 words")
+    h = max(1, min(depth, (63 - bits) // symbol_bits))
+    padded = np.r_[text.astype(np.int64), np.zeros(h, np.int64)]
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key = key << symbol_bits | padded[j: j + n]
+    key = np.sort(key << bits | np.arange(n))
+    mask = (1 << bits) - 1
+    order = key & mask
+    new = np.r_[True, key[1:] >> bits != key[:-1] >> bits]
+    rank = np.zeros(n + 1, np.int64)                      # 0: beyond the end
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    while h < depth:
+        slot = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(slot):
+            break
+        at = order[slot]
+        key = np.sort(rank[at] << 2 * bits | rank[np.minimum(at + h, n)] << bits | at)
+        at = key & mask
+        order[slot] = at
+        new[slot] = np.r_[True, key[1:] >> bits != key[:-1] >> bits]
+        rank[at] = np.maximum.accumulate(np.where(new[slot], slot, 0)) + 1
         h *= 2
     return order
 
 
-def _ranks(in_order: np.ndarray, order: np.ndarray) -> np.ndarray:
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.r_[False, in_order[1:] != in_order[:-1]]) if len(order) else 0
-    return rank
-
-
 def code_lengths(frequency: np.ndarray) -> np.ndarray:
     """Lengths of a Huffman code: two queues, leaves and joined nodes, both by ascending weight."""
     n = len(frequency)
@@ -78,6 +91,9 @@ class WaveletTree:
         left = np.cumsum(step) - step
         self.code = np.empty(size, np.int64)
         self.code[canonical] = left >> (deepest - sorted_length)
+        self.short = (deepest - self.length).astype(np.uint8)       # how much shorter than the longest code
+        self.short_at = np.arange(deepest, 0, -1)                  # of the codes that end at each level
+        self.branch = np.stack([self.code >> np.maximum(self.length - 1 - level, 0) & 1 for level in range(deepest)]).astype(bool)
         self.bits, self.blocks = [], []
         self.begin = np.zeros((deepest, size), np.int32)           # of the symbol's node at each level
         self.before = np.zeros((deepest, size), np.int32)          # ones before that
@@ -117,25 +133,26 @@ class WaveletTree:
         self.bits.append(words)
         self.blocks.append((np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)).astype(np.int32))
 
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before the place beside it."""
-        out = place.astype(np.int64)
-        live = np.arange(len(symbol))
-        for level in range(len(self.bits)):
-            c = symbol[live]
-            if level:
-                on = self.length[c] > level
-                if not on.all():
-                    live, c = live[on], c[on]
-                    if not len(live):
-                        break
-            at = self.begin[level, c] + out[live]
-            block = at >> 6
-            mask = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.blocks[level][block] + np.bitwise_count(self.bits[level][block] & mask) - self.before[level, c]
-            bit = self.code[c] >> (self.length[c] - 1 - level) & 1
-            out[live] = np.where(bit == 1, ones, out[live] - ones)
-        return out
+    def rank(self, symbol: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before the place beside it, and whether it stands there."""
+        order = np.argsort(self.short[symbol], kind="stable")             # long codes first: those still on their way are a prefix
+        symbol, out, stands = symbol[order], place[order].astype(np.int64), np.ones(len(symbol), bool)
+        live = np.searchsorted(self.short[symbol], self.short_at)
+        for level, k in enumerate(live.tolist()):
+            if not k:
+                break
+            c, pos = symbol[:k], out[:k]
+            at = self.begin[level][c] + pos
+            block, offset = at >> 6, (at & 63).astype(np.uint64)
+            word = self.bits[level][block]
+            bit = self.branch[level][c]
+            below = word & (np.left_shift(np.uint64(1), offset) - np.uint64(1))
+            ones = self.blocks[level][block] + np.bitwise_count(below) - self.before[level][c]
+            stands[:k] &= (word >> offset & np.uint64(1)).astype(bool) == bit
+            out[:k] = np.where(bit, ones, pos - ones)
+        ranks, there = np.empty_like(out), np.empty_like(stands)
+        ranks[order], there[order] = out, stands
+        return ranks, there
 
     def n_bytes(self) -> int:
         return sum(b.nbytes + k.nbytes for b, k in zip(self.bits, self.blocks))
@@ -160,6 +177,16 @@ class FMIndex:
         self.shared[0] = 0
         self.group = np.cumsum(shared < limit) - 1                          # of each place in the order
         self.group_first = self.ends[limit][:-1]
+        self._heads(dense)
+
+    def _heads(self, dense: np.ndarray) -> None:
+        """A table of the first words of suffixes, as many as a number holds: searches begin from it."""
+        self.head_bits = max(1, (len(self.symbols) - 1).bit_length())
+        self.head = max(1, min(self.limit, 62 // self.head_bits))
+        padded = np.r_[dense, np.zeros(self.head, dense.dtype)].astype(np.int64)
+        self.heads = np.zeros(len(self.ends[self.head]) - 1, np.int64)
+        for j in range(self.head):
+            self.heads = self.heads << self.head_bits | padded[self.order[self.ends[self.head][:-1]] + j]
 
     def _shared(self, dense: np.ndarray) -> np.ndarray:
         """Words shared with the suffix before, ``limit`` at most; -1 at the first.  An end of string is never shared."""
@@ -180,9 +207,13 @@ class FMIndex:
 
     def _step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the matches with one more word in front."""
-        r = self.tree.rank(np.r_[symbol, symbol], np.r_[low, high])
-        first = self.first[symbol]
-        return first + r[: len(symbol)], first + r[len(symbol):]
+        wide = np.flatnonzero(high - low > 1)
+        ranks, stands = self.tree.rank(np.r_[symbol, symbol[wide]], np.r_[low, high[wide]])
+        first, k = self.first[symbol], len(symbol)
+        new_low = first + ranks[:k]
+        new_high = new_low + stands[:k]                    # an interval of one place: the word stands before it or not
+        new_high[wide] = first[wide] + ranks[k:]
+        return new_low, new_high
 
     def _widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> None:
         """Shortens matches at their end to the next length with a larger interval (in place)."""
@@ -197,37 +228,59 @@ class FMIndex:
         """(length, place) for each position of the patterns laid end to end.
 
         ``length``: the words from there on that also stand together in the text,
-        ``limit`` at most and within the pattern; ``place``: a place in the order
-        where a suffix begins with them (its ``group`` names a match of ``limit``).
-        Patterns hold the text's word numbers; any other number matches nothing.
+        ``limit`` at most and within the pattern; ``place``: where that is ``limit``,
+        a place in the order where a suffix begins with them (its ``group`` names the
+        match).  Patterns hold the text's word numbers; any other matches nothing.
         """
         number = self.numbers(flat)
-        size = np.diff(offsets)
-        lanes = np.argsort(-size, kind="stable")
-        end, todo = offsets[1:][lanes], size[lanes]
+        size, q = np.diff(offsets), self.head
         length_at, place_at = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        low, high, length = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.n), np.zeros(len(lanes), np.int64)
-        for step in range(int(todo[0]) if len(todo) else 0):
+        low, high, length = np.zeros(len(size), np.int64), np.full(len(size), self.n), np.zeros(len(size), np.int64)
+        # A pattern whose last q words stand in the table begins there.
+        long = np.flatnonzero(size >= q)
+        key, known = np.zeros(len(long), np.int64), np.ones(len(long), bool)
+        for j in range(q):
+            c = number[offsets[1:][long] - q + j]
+            key, known = key << self.head_bits | np.maximum(c, 0), known & (c >= 0)
+        at = np.minimum(np.searchsorted(self.heads, key), len(self.heads) - 1)
+        known &= self.heads[at] == key
+        long, at = long[known], at[known]
+        low[long], high[long], length[long] = self.ends[q][at], self.ends[q][at + 1], q
+        for j in range(q):
+            length_at[offsets[1:][long] - q + j] = q - j
+        place_at[offsets[1:][long] - q] = low[long]
+        for lanes, step in ((long, q), (np.flatnonzero(length == 0), 0)):
+            self._search(number, offsets, lanes, step, (low[lanes], high[lanes], length[lanes]), length_at, place_at)
+        return length_at, place_at
+
+    def _search(self, number: np.ndarray, offsets: np.ndarray, patterns: np.ndarray, done: int, state: tuple[np.ndarray, np.ndarray, np.ndarray],
+                length_at: np.ndarray, place_at: np.ndarray) -> None:
+        """Backward search of the patterns side by side, from their last ``done`` words on, whose matches ``state`` holds."""
+        size = np.diff(offsets)[patterns]
+        lanes = np.argsort(-size, kind="stable")
+        end, todo = offsets[1:][patterns][lanes], size[lanes]
+        low, high, length = (x[lanes] for x in state)
+        for step in range(done, int(todo[0]) if len(todo) else 0):
             k = int(np.searchsorted(-todo, -step, "left"))             # patterns longer than the step
             at = end[:k] - 1 - step
             lo, hi, ln = low[:k], high[:k], length[:k]                 # views: the state is written through
             c = number[at]
-            lo[c < 0], hi[c < 0], ln[c < 0] = 0, self.n, 0
             live = np.flatnonzero(c >= 0)
+            if len(live) < k:
+                lo[c < 0], hi[c < 0], ln[c < 0] = 0, self.n, 0
             while len(live):
                 a, b = self._step(c[live], lo[live], hi[live])
                 found = a < b
-                done, a, b = live[found], a[found], b[found]
-                grown = ln[done] + 1
+                grow, a, b = live[found], a[found], b[found]
+                grown = ln[grow] + 1
                 over = grown > self.limit
                 if over.any():                                          # a match of limit + 1: back to the interval of its first limit words
                     g = self.group[a[over]]
                     a[over], b[over] = self.ends[self.limit][g], self.ends[self.limit][g + 1]
-                lo[done], hi[done], ln[done] = a, b, np.minimum(grown, self.limit)
+                lo[grow], hi[grow], ln[grow] = a, b, np.minimum(grown, self.limit)
                 live = live[~found]
                 if len(live):
                     x, y, z = lo[live], hi[live], ln[live]
                     self._widen(x, y, z)
                     lo[live], hi[live], ln[live] = x, y, z
             length_at[at], place_at[at] = ln, lo
-        return length_at, place_at
