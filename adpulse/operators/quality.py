@@ -86,8 +86,8 @@ def _py_num(v) -> str:
 class _Compiler:
     """Collects aggregate expressions for one table and the rows built from them."""
 
-    def __init__(self, table: str, df: DataFrame, as_of: str):
-        self.table, self.df, self.as_of = table, df, as_of
+    def __init__(self, table: str, df: DataFrame, as_of: str, stats: dict[str, tuple[float, float]] | None = None):
+        self.table, self.df, self.as_of, self.stats = table, df, as_of, stats
         self.aggs: list[Column] = [F.count(F.lit(1)).alias("__n")]
         self.rows: list[Column] = []   # array<struct> expressions over the aggregated row
         self._zcols: list[str] = []
@@ -194,13 +194,18 @@ class _Compiler:
     def _finish_zscores(self) -> None:
         if not self._zcols:
             return
-        # Population mean / std of every z-scored column in one pass, used as a scalar.
-        fields = []
+        if self.stats is None:
+            # Population mean / std of every z-scored column in one pass, used as a scalar.
+            fields = []
+            for i, col in enumerate(self._zcols):
+                fields += [F.avg(col).alias(f"m{i}"), F.stddev_pop(col).alias(f"s{i}")]
+            st = self.df.agg(F.struct(*fields).alias("st")).scalar()
         for i, col in enumerate(self._zcols):
-            fields += [F.avg(col).alias(f"m{i}"), F.stddev_pop(col).alias(f"s{i}")]
-        stats = self.df.agg(F.struct(*fields).alias("st")).scalar()
-        for i, col in enumerate(self._zcols):
-            x, m, s = F.col(col).cast("double"), stats.getField(f"m{i}"), stats.getField(f"s{i}")
+            x = F.col(col).cast("double")
+            if self.stats is None:
+                m, s = st.getField(f"m{i}"), st.getField(f"s{i}")
+            else:                                    # kept state: no pass over the rows for them
+                m, s = (F.lit(v).cast("double") for v in self.stats.get(col, (None, None)))
             cnt, out, sd = self._name("zn"), self._name("zout"), self._name("zsd")
             self.aggs += [
                 F.count(F.col(col)).alias(cnt),
@@ -251,9 +256,12 @@ def run_checks(
     batch_id: str | None = None,
     as_of: str | _dt.datetime | None = None,
     checked_at: str | _dt.datetime | None = None,
+    stats: dict[str, dict[str, tuple[float, float]]] | None = None,
 ) -> DataFrame:
     """Evaluate ``checks`` over ``tables`` (absent tables are skipped).
 
+    ``stats``: mean and population deviation by table and column, where they are
+    kept; else z-scores take a pass over the rows for them.
     ``as_of`` is the freshness clock (default: now).  Returns the results
     table rows; ``check_id`` is a stable hash of batch, check, table, column.
     """
@@ -270,7 +278,7 @@ def run_checks(
             if c.parent_table in tables:
                 parts.append(_referential(c, tables[c.table], tables[c.parent_table]))
             continue
-        comp = compilers.setdefault(c.table, _Compiler(c.table, tables[c.table], as_of_s))
+        comp = compilers.setdefault(c.table, _Compiler(c.table, tables[c.table], as_of_s, (stats or {}).get(c.table)))
         comp.add(c)
     for comp in compilers.values():
         r = comp.result()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.config import ADS_KEYS
@@ -77,6 +77,16 @@ def session_days(bronze_ga: DataFrame) -> DataFrame:
             .groupBy("session_id", "date").agg(F.count(F.lit(1)).alias("n")))
 
 
+def session_bucket(buckets: int) -> Column:
+    """Which of the state's buckets a session's counts lie in."""
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    """The counts per session and day that rows of partial, possibly negative, counts add up to."""
+    return counts.groupBy("session_id", "date").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+
 def transform_events(bronze_ga: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """bronze_ga_events -> silver_ga_events (without audit columns).
 

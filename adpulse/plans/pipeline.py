@@ -18,16 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import BATCH_ID_FORMAT, FACT_TABLES, RESULTS_TABLE, SOURCE_MAP
-from adpulse.operators import gold, insights, quality, silver
+from adpulse.operators import distinct, gold, insights, moments, quality, reports, silver
 from adpulse.operators.common import with_audit
-from adpulse.sources.extracts import slice_dates
-from adpulse.sources.schemas import QUALITY_RESULTS
+from adpulse.sources.extracts import in_dates, slice_dates
+from adpulse.sources.schemas import QUALITY_RESULTS, STAGE_JOB_LEDGER
 from adpulse.sources.warehouse import Warehouse
 
 log = logging.getLogger(__name__)
 
 ROLLUP_TABLE = "stage_ads_hourly"
 SESSIONS_TABLE = "stage_session_days"
+MOMENTS_TABLE = "stage_ads_moments"
+IDS_TABLE, BITMAPS_TABLE = "stage_campaign_ids", "stage_campaign_bitmaps"
+NEW_IDS_TABLE = "stage_new_ids"
+LEDGER_TABLE = "stage_job_ledger"
+TOUCHED_TABLE = "stage_touched_sessions"
+SCORED = ["spend", "revenue"]        # columns with a z-score check
 QUARANTINE_TABLE = "silver_ads_quarantine"
 
 
@@ -83,10 +89,12 @@ def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> Non
             # Dedup keeps a row per key and the joins are LEFT joins, so the
             # silver slice has exactly the dates of its bronze slice.
             wh.replace_dates("silver_ads_performance", ads, dates, dates_from=bronze)
+        keep_moments(wh, dates)
     if wh.exists("bronze_ga_events"):
         if dates is None or not wh.exists("silver_ga_events"):
             events, grain = wh.read("bronze_ga_events"), wh.grain_of("bronze_ga_events")
-            wh.replace(SESSIONS_TABLE, silver.session_days(events), partition_by="date", grain=grain)
+            state = silver.session_days(events).withColumn("bucket", silver.session_bucket(wh.session_buckets))
+            wh.replace(SESSIONS_TABLE, state, partition_by="bucket")
             wh.replace("silver_ga_events", with_audit(silver.transform_events(events), batch_id), partition_by="date", grain=grain)
         else:
             rebuild_events_for(wh, batch_id, dates)
@@ -99,27 +107,72 @@ def rebuild_events_for(wh: Warehouse, batch_id: str, dates: list) -> list:
 
     A bounce flag depends on the size of its session, and a session may span
     days.  The sessions touched are those in the slice before or after the
-    replace; every date on which such a session has an event is rebuilt.  Dates
-    and sizes come from the stored counts per session and day, whose slice is
-    renewed first, so the events of other dates are not read.  Returns the
-    rebuilt dates (None for events without a date).
+    replace.  The kept counts per session and day are merged with the slice's, and
+    then looked up for these sessions only: their buckets are read, and their rows
+    go on.  Every date on which such a session has an event is rebuilt; the other
+    rows of those dates are carried over as they are.  Returns the rebuilt dates
+    (None for events without a date).
     """
     days = sorted({_date(d) for d in dates}, key=str)
     sliced = wh.read_dates("bronze_ga_events", days)
-    wh.replace_dates(SESSIONS_TABLE, silver.session_days(sliced), days, dates_from=sliced.where(F.col("session_id").isNotNull()))
-    touched = (
-        wh.read_dates("silver_ga_events", days).select("session_id")
-        .unionByName(sliced.select("session_id")).where(F.col("session_id").isNotNull()).distinct()
-    )
-    counts = wh.read(SESSIONS_TABLE)
-    spread = counts.join(touched, "session_id", "left_semi").select("date").distinct()
-    rebuilt = sorted({*days, *(r[0] for r in spread.collect())}, key=str)      # bounded by the calendar
-    events = wh.read_dates("bronze_ga_events", rebuilt)
+    before = wh.read_dates("silver_ga_events", days).select("session_id")
+    touched = before.unionByName(sliced.select("session_id")).where(F.col("session_id").isNotNull()).distinct()
+    wh.replace(TOUCHED_TABLE, touched.withColumn("bucket", silver.session_bucket(wh.session_buckets)))
+    merge_sessions(wh, sliced, days)
+    counts = session_counts(wh, wh.read(TOUCHED_TABLE))
+    spread = {r[0] for r in counts.select("date").distinct().collect()}        # bounded by the calendar
+    rebuilt = sorted({*days, *spread}, key=str)
+    others = [d for d in rebuilt if d not in days]
+    sessions = wh.read(TOUCHED_TABLE).select("session_id")
+    events, kept = sliced, None
+    if others:
+        events = events.unionByName(wh.read_dates("bronze_ga_events", others).join(sessions, "session_id", "left_semi").select(*sliced.columns))
+        kept = wh.read_dates("silver_ga_events", others).join(sessions, "session_id", "left_anti")
     ev = with_audit(silver.transform_events(events, counts), batch_id)
-    wh.replace_dates("silver_ga_events", ev, rebuilt, dates_from=events)
+    ev = ev if kept is None else ev.unionByName(kept.select(*ev.columns))
+    wh.replace_dates("silver_ga_events", ev, rebuilt, dates_from=wh.read_dates("bronze_ga_events", rebuilt))
+    wh.drop(TOUCHED_TABLE)
     return rebuilt
 
 
+def merge_sessions(wh: Warehouse, sliced: DataFrame, days: list) -> None:
+    """Merges the slice's counts into the kept ones: the difference to what is kept of those days is added.
+
+    Added rows are few and lie in their sessions' buckets, beside what was there.
+    Running it again adds nothing.  A full load writes the counts anew.
+    """
+    new = silver.session_days(sliced)
+    old = wh.read(SESSIONS_TABLE).where(in_dates("date", days)).select("session_id", "date", (-F.col("n")).alias("n"))
+    changed = silver.added_up(new.unionByName(old)).withColumn("bucket", silver.session_bucket(wh.session_buckets))
+    wh.append(SESSIONS_TABLE, changed, "bucket")
+
+
+def session_counts(wh: Warehouse, sessions: DataFrame) -> DataFrame:
+    """(session_id, date, n) of the given (session_id, bucket) only: their buckets are read, and only their rows are summed."""
+    buckets = [r[0] for r in sessions.select("bucket").distinct().collect()]      # as many as buckets at most
+    rows = wh.read(SESSIONS_TABLE).where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+    return silver.added_up(rows.join(sessions.select("session_id"), "session_id", "left_semi"))
+
+
+def keep_moments(wh: Warehouse, dates: list | None = None) -> None:
+    """Keeps count, sum and sum of squares of the scored columns; a replaced slice's are taken back by subtraction."""
+    table = "silver_ads_performance"
+    if dates is None or not wh.exists(MOMENTS_TABLE):
+        wh.replace(MOMENTS_TABLE, moments.slice_moments(wh.read(table), SCORED))
+        return
+    new = moments.slice_moments(wh.read_dates(table, dates), SCORED)
+    old = moments.added_up(wh.read(MOMENTS_TABLE).where(in_dates("date", dates)), "date")
+    changed = moments.added_up(new.unionByName(moments.negated(old)), "date")
+    wh.append(MOMENTS_TABLE, changed)
+
+
+def scored_stats(wh: Warehouse) -> dict:
+    """Mean and deviation of the scored columns as kept, by table; empty where nothing is kept."""
+    if not wh.exists(MOMENTS_TABLE):
+        return {}
+    return {"silver_ads_performance": moments.mean_and_deviation(wh.read(MOMENTS_TABLE))}
+
+
 def quarantine_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> int:
     """Move silver ads rows that break a validation rule to ``silver_ads_quarantine``.
 
@@ -140,22 +193,18 @@ def quarantine_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -
         wh.replace_dates(QUARANTINE_TABLE, bad, dates)
         wh.replace_dates(silver_table, clean, dates)
     moved = bad.count()
-    wh.spark.sql(f"DROP TABLE IF EXISTS {wh.name(staged)}")
+    keep_moments(wh, dates)
+    wh.drop(staged)
     return moved
 
 
 def apply_retention(wh: Warehouse, table: str, as_of: dt.datetime | dt.date | None = None, days: int = 90) -> list:
     """Delete the rows of ``table`` dated before ``as_of - days`` (whole dates).
 
-    Uses the date-slice replace with an empty slice, so daily partitions are
-    dropped and a monthly partition straddling the cutoff is rewritten.
-    Returns the removed dates.
+    Partitions are dropped by name; no job runs unless the cutoff falls within a
+    monthly partition, which is then written again.  Returns the removed dates.
     """
-    cutoff = _date(as_of or dt.datetime.now()) - dt.timedelta(days=days)
-    old = sorted(d for d in wh.partition_dates(table) if d is not None and d < cutoff)
-    if old:
-        wh.replace_dates(table, wh.read(table).limit(0), old)
-    return old
+    return wh.drop_dates_before(table, _date(as_of or dt.datetime.now()) - dt.timedelta(days=days))
 
 
 # ---------------------------------------------------------------- gold
@@ -177,6 +226,40 @@ def build_gold(wh: Warehouse, dates: list | None = None) -> None:
             wh.replace(table, rows, partition_by="date", grain=grain, sort_by=order)
         else:
             wh.replace_dates(table, rows, dates, sort_by=order, dates_from=base)
+    keep_campaign_bitmaps(wh, base, None if whole else dates)
+
+
+def keep_campaign_bitmaps(wh: Warehouse, base: DataFrame, dates: list | None = None) -> None:
+    """Bitmaps of each day's and channel's campaigns, for exact distinct counts over any days.
+
+    Campaigns get their numbers once: a full build numbers anew, a date run adds
+    those not yet in the dictionary.
+    """
+    seen = base.select("campaign_id").where(F.col("campaign_id").isNotNull()).distinct()
+    known = None if dates is None or not wh.exists(IDS_TABLE) else wh.read(IDS_TABLE)
+    fresh = seen if known is None else seen.join(known, "campaign_id", "left_anti")
+    wh.replace(NEW_IDS_TABLE, distinct.placed(fresh, "campaign_id"))
+    start = 0 if known is None else (known.agg(F.max("id")).first()[0] or 0) + 1
+    numbered = distinct.numbered(wh.read(NEW_IDS_TABLE), "campaign_id", start)
+    if known is None:
+        wh.replace(IDS_TABLE, numbered)
+    elif not wh.read(NEW_IDS_TABLE).isEmpty():
+        wh.append(IDS_TABLE, numbered)
+    wh.drop(NEW_IDS_TABLE)
+    rows = base.select("date", "channel", "campaign_id").join(wh.read(IDS_TABLE), "campaign_id")
+    state = distinct.bitmaps(rows, ["date", "channel"])
+    if known is None:
+        wh.replace(BITMAPS_TABLE, state, partition_by="date", grain=wh.grain_of(ROLLUP_TABLE))
+    else:
+        wh.replace_dates(BITMAPS_TABLE, state, dates, dates_from=base.where(F.col("campaign_id").isNotNull()))
+
+
+def distinct_campaigns(wh: Warehouse, start=None, end=None) -> DataFrame:
+    """(channel, campaign_count): exact, over any range of dates, from the kept bitmaps."""
+    state = wh.read(BITMAPS_TABLE)
+    if start is not None and end is not None:
+        state = state.where(F.col("date").between(F.lit(_date(start)), F.lit(_date(end))))
+    return distinct.distinct_count(state, ["channel"], "campaign_count")
 
 
 # ---------------------------------------------------------------- quality
@@ -188,7 +271,7 @@ def audited_tables(wh: Warehouse) -> dict[str, DataFrame]:
 def run_quality(wh: Warehouse, batch_id: str | None = None, as_of=None, gate: bool = False) -> dict:
     """Run the standard suite, store it under its batch id, return the summary."""
     batch_id = batch_id or new_batch_id()
-    results = quality.run_checks(audited_tables(wh), batch_id=batch_id, as_of=as_of)
+    results = quality.run_checks(audited_tables(wh), batch_id=batch_id, as_of=as_of, stats=scored_stats(wh))
     wh.replace_where(RESULTS_TABLE, results, "batch_id", schema=QUALITY_RESULTS)
     stored = wh.read(RESULTS_TABLE).where(F.col("batch_id") == batch_id)
     # The reference's summary contract: exactly these five keys.
@@ -198,6 +281,19 @@ def run_quality(wh: Warehouse, batch_id: str | None = None, as_of=None, gate: bo
     return summary
 
 
+def check_freshness(wh: Warehouse, batch_id: str | None = None, as_of=None) -> DataFrame:
+    """The freshness checks alone, from the tables' newest dates as metadata tells them: no table is scanned."""
+    checks = [c for c in quality.standard_suite() if c.kind == "freshness" and wh.exists(c.table)]
+    newest = {c.table: wh.spark.createDataFrame([(wh.bounds(c.table, c.columns[0])[1],)], f"{c.columns[0]} date") for c in checks}
+    return quality.run_checks(newest, checks, batch_id=batch_id, as_of=as_of)
+
+
+def dashboard_filters(wh: Warehouse, table: str = "gold_campaign_daily", days: int = 30, channels: list[str] | None = None) -> reports.Filters:
+    """The dashboard's opening filters, from the newest date as metadata tells it."""
+    end = wh.bounds(table)[1]
+    return reports.Filters(date_range=None if end is None else (end - dt.timedelta(days=days), end), channels=channels)
+
+
 # ---------------------------------------------------------------- jobs
 @dataclass
 class RunResult:
@@ -268,16 +364,65 @@ def run_d_minus_1(wh: Warehouse, sources: dict[str, DataFrame], as_of: dt.dateti
     return run_incremental(wh, sources, now.date() - dt.timedelta(days=1), as_of=now)
 
 
+class Ledger:
+    """Which stages of a job have been committed, kept in the warehouse.
+
+    A stage is entered after its tables are written.  A job is its batch id and
+    slice; when its last stage is entered it is over, and the same job asked for
+    again is a new run.
+    """
+
+    LAST = "quality"
+
+    def __init__(self, wh: Warehouse, batch_id: str, job_slice: str):
+        self.wh, self.batch_id, self.slice = wh, batch_id, job_slice
+        if not wh.exists(LEDGER_TABLE):
+            wh.replace(LEDGER_TABLE, wh.spark.createDataFrame([], STAGE_JOB_LEDGER))
+        rows = wh.read(LEDGER_TABLE).where((F.col("batch_id") == batch_id) & (F.col("slice") == job_slice)).select("run", "stage").collect()
+        self.run = max((r.run for r in rows), default=0)
+        self.done = {r.stage for r in rows if r.run == self.run}
+        if self.LAST in self.done or not rows:
+            self.run, self.done = self.run + 1, set()
+
+    def once(self, stage: str, work) -> None:
+        """Does a stage and enters it, unless this run has done it before."""
+        if stage in self.done:
+            log.info("%s of %s %s is done -- skipping", stage, self.batch_id, self.slice)
+            return
+        work()
+        entry = self.wh.spark.range(1).select(F.lit(self.batch_id).alias("batch_id"), F.lit(self.slice).alias("slice"), F.lit(self.run).alias("run"),
+                                              F.lit(stage).alias("stage"), F.current_timestamp().alias("at"))
+        self.wh.append(LEDGER_TABLE, entry)
+        self.done.add(stage)
+
+
 def backfill(wh: Warehouse, sources: dict[str, DataFrame], start_date, end_date, batch_id: str | None = None,
              as_of=None, gate: bool = False) -> RunResult:
-    """Reprocess every date in [start_date, end_date] with one range replace and one rebuild."""
+    """Reprocess every date in [start_date, end_date] with one range replace and one rebuild.
+
+    Each stage is entered in the job ledger when it is committed.  A backfill that
+    was broken off goes on where it stopped when it is called again with its batch
+    id and dates.
+    """
     if not start_date or not end_date:
         raise ValueError("backfill requires both start_date and end_date")
     start, end = _date(start_date), _date(end_date)
     if end < start:
         raise ValueError(f"backfill end {end} is before start {start}")
     days = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
-    return run_dates(wh, sources, days, batch_id, as_of=as_of, gate=gate)
+    batch_id = batch_id or new_batch_id()
+    ledger = Ledger(wh, batch_id, f"{start}..{end}")
+    # A first run loads everything, and then builds everything.
+    scope = days if all(wh.exists(t) for t in FACT_TABLES if t in sources) and "bronze_whole" not in ledger.done else None
+    if scope is None:
+        ledger.once("bronze_whole", lambda: ingest_bronze(wh, sources, batch_id))
+    else:
+        ledger.once("bronze", lambda: ingest_bronze_dates(wh, sources, days, batch_id))
+    ledger.once("silver", lambda: build_silver(wh, batch_id, scope))
+    ledger.once("gold", lambda: build_gold(wh, scope))
+    summary = []
+    ledger.once(Ledger.LAST, lambda: summary.append(run_quality(wh, batch_id, as_of=as_of, gate=gate)))
+    return RunResult(batch_id, summary[0])
 
 
 def _date(d) -> dt.date | None:

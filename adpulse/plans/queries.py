@@ -14,13 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adpulse.config import SOURCE_MAP
 from adpulse.operators import gold, insights, quality, reports, silver
 from adpulse.operators.common import drop_audit
 from adpulse.plans import pipeline
 from adpulse.session import scratch_path
 from adpulse.sources import schemas
 from adpulse.sources.adapters import driver_sources
-from adpulse.sources.extracts import read_extract_dates, write_extract
+from adpulse.sources.extracts import read_extract, read_extract_dates, read_extracts, write_extract
 from adpulse.sources.warehouse import Warehouse
 
 BATCH_ID = "oracle_batch"
@@ -199,6 +200,247 @@ def _warehouse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.inventory()
 
 
+class _Breaking(Warehouse):
+    """A warehouse whose next write of one table fails, as when a cluster is lost."""
+
+    breaks_at: str | None = None
+
+    def replace_dates(self, table, *args, **kw):
+        if table == self.breaks_at:
+            self.breaks_at = None
+            raise RuntimeError(f"broken off before {table}")
+        super().replace_dates(table, *args, **kw)
+
+
+def _replace_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze ads after a load, and a second load whose tasks fail on some of its rows."""
+    ads = driver_sources(spark, sf_dir)["bronze_ads_performance"]
+    wh = _fresh_warehouse(spark, "interrupted")
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": ads}, "b1")
+    broken = ads.withColumn("clicks", F.when(F.col("_load_seq") % 1000 == 1, F.raise_error(F.lit("the write is broken off")).cast("long")).otherwise(F.lit(-1).cast("long")))
+    try:
+        pipeline.ingest_bronze(wh, {"bronze_ads_performance": broken}, "b2")
+    except Exception as e:
+        if "the write is broken off" not in str(e):
+            raise
+    else:
+        raise AssertionError("the second load did not fail")
+    return drop_audit(wh.read("bronze_ads_performance"))
+
+
+def _session_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept counts per session and day after a wrong load and a run of its last date."""
+    ga = _undated(driver_sources(spark, sf_dir)["bronze_ga_events"], F.col("user_id").endswith("77"))
+    _, hi = _date_span(ga)
+    wrong = _spoiled(ga, hi, hi, F.col("page") == "/p3", {"session_id": F.lit("S_WRONG")})
+    wh = _fresh_warehouse(spark, "sessions")
+    pipeline.ingest_bronze(wh, {"bronze_ga_events": wrong}, "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.ingest_bronze_dates(wh, {"bronze_ga_events": ga}, [hi], "b2")
+    pipeline.build_silver(wh, "b2", [hi])
+    return silver.added_up(wh.read(pipeline.SESSIONS_TABLE))
+
+
+def _corrected(spark: SparkSession, sf_dir: str, label: str, days: int, gold_too: bool) -> Warehouse:
+    """A warehouse of ads loaded wrong in its last days, and these run again from the true source."""
+    src = driver_sources(spark, sf_dir)
+    del src["bronze_ga_events"]
+    ads = src["bronze_ads_performance"]
+    _, hi = _date_span(ads)
+    lo = hi - dt.timedelta(days=days)
+    wrong = dict(src, bronze_ads_performance=_spoiled(ads, lo, hi, F.col("_load_seq") % 3 == 0, {"spend": F.col("spend") * 3, "campaign_id": F.lit("CMP_OTHER")}))
+    wh = _fresh_warehouse(spark, label)
+    dates = [lo + dt.timedelta(days=i) for i in range(days + 1)]
+    pipeline.ingest_bronze(wh, wrong, "b1")
+    pipeline.build_silver(wh, "b1")
+    if gold_too:
+        pipeline.build_gold(wh)
+    pipeline.ingest_bronze_dates(wh, src, dates, "b2")
+    pipeline.build_silver(wh, "b2", dates)
+    if gold_too:
+        pipeline.build_gold(wh, dates)
+    return wh
+
+
+def _distinct_campaigns_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct campaigns of each channel over several windows, from the kept bitmaps."""
+    wh = _corrected(spark, sf_dir, "distinct", 40, True)
+    _, hi = wh.bounds("gold_campaign_daily")
+    parts = [pipeline.distinct_campaigns(wh).select(F.lit(0).alias("days"), "channel", "campaign_count")]
+    for days in (1, 2, 31, 365):
+        found = pipeline.distinct_campaigns(wh, hi - dt.timedelta(days=days - 1), hi)
+        parts.append(found.select(F.lit(days).alias("days"), "channel", "campaign_count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _zscore_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomaly checks with mean and deviation from the state kept, after a slice of it was replaced."""
+    wh = _corrected(spark, sf_dir, "moments", 40, False)
+    suite = [c for c in quality.standard_suite() if c.kind == "zscore"]
+    stats = pipeline.scored_stats(wh)
+    return quality.run_checks({"silver_ads_performance": wh.read("silver_ads_performance")}, suite, batch_id=BATCH_ID, as_of=AS_OF, stats=stats).drop("checked_at")
+
+
+def _freshness_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The freshness checks of a built warehouse, answered from its metadata."""
+    wh = _fresh_warehouse(spark, "metadata")
+    pipeline.ingest_bronze(wh, driver_sources(spark, sf_dir), "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.build_gold(wh)
+    return pipeline.check_freshness(wh, BATCH_ID, AS_OF).drop("checked_at")
+
+
+def _backfill_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold channels after a backfill broken off once bronze was committed, and the same job again.
+
+    The second call's source holds no ads at all: bronze is not read from it again.
+    """
+    src = driver_sources(spark, sf_dir)
+    ads = src["bronze_ads_performance"]
+    _, hi = _date_span(ads)
+    lo = hi - dt.timedelta(days=60)
+    name = f"resumed_{uuid.uuid4().hex[:10]}"
+    wh = _Breaking(spark, database=name, location=scratch_path(spark, name), grain="month")
+    wrong = dict(src, bronze_ads_performance=_spoiled(ads, lo, hi, F.col("_load_seq") % 3 == 0, {"spend": F.col("spend") * 3}))
+    pipeline.ingest_bronze(wh, wrong, "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.build_gold(wh)
+    wh.breaks_at = "silver_ads_performance"
+    try:
+        pipeline.backfill(wh, src, lo, hi, "job", as_of=AS_OF)
+    except RuntimeError as e:
+        if "broken off" not in str(e):
+            raise
+    pipeline.backfill(wh, dict(src, bronze_ads_performance=ads.limit(0)), lo, hi, "job", as_of=AS_OF)
+    return wh.read("gold_channel_daily").drop("_loaded_at")
+
+
+def _retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze ads after 90 days' retention, the day after their last date."""
+    ads = driver_sources(spark, sf_dir)["bronze_ads_performance"]
+    wh = _fresh_warehouse(spark, "retention")
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": ads}, "b1")
+    _, hi = wh.bounds("bronze_ads_performance")
+    pipeline.apply_retention(wh, "bronze_ads_performance", hi + dt.timedelta(days=1), days=90)
+    return drop_audit(wh.read("bronze_ads_performance"))
+
+
+def _bronze_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract of several files, one channel in each: what the lineage of bronze says of every file, by channel."""
+    ads = driver_sources(spark, sf_dir)["bronze_ads_performance"]
+    folder = scratch_path(spark, "extract")
+    for channel in ("Google Ads", "Facebook Ads", "TikTok Ads"):
+        ads.where(F.col("channel") == channel).write.mode("append").parquet(f"{folder}/ads_performance.parquet")
+    wh = _fresh_warehouse(spark, "lineage")
+    pipeline.ingest_bronze(wh, read_extracts(spark, folder), "b1")
+    file = F.col("_source_file")
+    by_file = (wh.read("bronze_ads_performance").groupBy("_source_file")
+               .agg(F.min("channel").alias("channel"), F.count_distinct("channel").alias("channels"), F.count(F.lit(1)).alias("n"), F.count("_source_modified").alias("timed")))
+    named = file.startswith("ads_performance.parquet/") & file.endswith(".parquet")
+    return by_file.groupBy("channel").agg(F.max("channels").alias("channels_in_a_file"), F.sum("n").alias("rows_loaded"), F.sum("timed").alias("rows_with_time"),
+                                          F.bool_and(named).alias("files_named"))
+
+
+SCRIPT = """BEGIN
+  DECLARE mark STRING DEFAULT '; all days';
+  DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN DROP TABLE IF EXISTS gold_channel_notes; END;
+  DROP TABLE IF EXISTS gold_channel_notes;
+  CREATE TABLE gold_channel_notes (channel STRING, note STRING, total_clicks BIGINT) USING parquet;  -- a comment; with a semicolon
+  INSERT INTO gold_channel_notes
+    SELECT channel, concat(channel, mark), SUM(clicks) FROM bronze_ads_performance GROUP BY channel;
+  IF (SELECT COUNT(*) FROM gold_channel_notes) > 1 THEN
+    INSERT INTO gold_channel_notes SELECT 'all', 'every channel; every day', SUM(total_clicks) FROM gold_channel_notes;
+  END IF;
+END"""
+
+
+def _script_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gold table built by one script: a local variable, a handler, a condition, and semicolons in literals."""
+    wh = _fresh_warehouse(spark, "script")
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": driver_sources(spark, sf_dir)["bronze_ads_performance"]}, "b1")
+    wh.execute_script(SCRIPT)
+    return wh.read("gold_channel_notes")
+
+
+def _declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract of narrower types than declared, read by the declared ones after a look at its footers."""
+    ads = driver_sources(spark, sf_dir)["bronze_ads_performance"]
+    path = f"{scratch_path(spark, 'declared')}/ads_performance.parquet"
+    write_extract(ads.withColumns({"hour": F.col("hour").cast("short"), "impressions": F.col("impressions").cast("int")}), path)
+    return drop_audit(read_extract(spark, path, schemas.ADS_PERFORMANCE))
+
+
+def _source_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load from a folder that lacks two of the four extracts: what bronze holds of each source."""
+    src = driver_sources(spark, sf_dir)
+    folder = scratch_path(spark, "missing")
+    for table in ("bronze_ads_performance", "bronze_campaigns"):
+        write_extract(src[table], f"{folder}/{SOURCE_MAP[table]}")
+    wh = _fresh_warehouse(spark, "missing")
+    pipeline.ingest_bronze(wh, read_extracts(spark, folder), "b1")
+    out = None
+    for table, file in SOURCE_MAP.items():
+        n = wh.read_or_empty(table).agg(F.count(F.lit(1)).alias("row_count"))
+        row = n.select(F.lit(table).alias("table_name"), F.lit(file).alias("source_file"), F.lit(wh.exists(table)).alias("loaded"), "row_count")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _results_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results after one batch was saved twice, and another once."""
+    tables = {"gold_campaign_daily": Layers(spark, sf_dir).gold("gold_campaign_daily")}
+    suite = [c for c in quality.standard_suite() if c.kind == "row_count"]
+    wh = _fresh_warehouse(spark, "batches")
+    for batch in ("b1", "b1", "b2"):
+        wh.replace_where("quality_check_results", quality.run_checks(tables, suite, batch_id=batch, as_of=AS_OF), "batch_id", schema=schemas.QUALITY_RESULTS)
+    return wh.read("quality_check_results").select("batch_id", "check_name", "table_name", "status", "metric_value")
+
+
+def _warehouse_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row count, a query with a bound parameter, and a table that is not there."""
+    wh = _fresh_warehouse(spark, "access")
+    pipeline.ingest_bronze(wh, {"bronze_ads_performance": driver_sources(spark, sf_dir)["bronze_ads_performance"]}, "b1")
+    counted = spark.range(1).select(F.lit("row_count").alias("what"), F.lit(wh.row_count("bronze_ads_performance")).cast("long").alias("n"))
+    asked = wh.execute("SELECT 'execute' AS what, COUNT(*) AS n FROM bronze_ads_performance WHERE channel = :channel", {"channel": "Google Ads"})
+    absent = wh.read_or_empty("gold_channel_daily").agg(F.count("campaign_count").alias("n")).select(F.lit("absent").alias("what"), "n")
+    return counted.unionByName(asked).unionByName(absent)
+
+
+def _d_minus_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold channels after a load that is wrong on its last date, and the run of yesterday on the day after."""
+    src = driver_sources(spark, sf_dir)
+    ads = src["bronze_ads_performance"]
+    _, hi = _date_span(ads)
+    wrong = dict(src, bronze_ads_performance=_spoiled(ads, hi, hi, F.col("_load_seq") % 3 == 0, {"clicks": F.col("clicks") + 1}))
+    wh = _fresh_warehouse(spark, "yesterday")
+    pipeline.ingest_bronze(wh, wrong, "b1")
+    pipeline.build_silver(wh, "b1")
+    pipeline.build_gold(wh)
+    pipeline.run_d_minus_1(wh, src, as_of=dt.datetime.combine(hi + dt.timedelta(days=1), dt.time(6)))
+    return wh.read("gold_channel_daily").drop("_loaded_at")
+
+
+def _backfill_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What backfills without a date, or with the dates the wrong way round, say, and the rows they leave."""
+    src = {"bronze_ads_performance": driver_sources(spark, sf_dir)["bronze_ads_performance"]}
+    wh = _fresh_warehouse(spark, "arguments")
+    pipeline.ingest_bronze(wh, src, "b1")
+    lo, hi = wh.bounds("bronze_ads_performance")
+    out = None
+    for case, dates in (("no start", (None, hi)), ("no end", (lo, None)), ("reversed", (hi, lo))):
+        try:
+            pipeline.backfill(wh, src, *dates)
+            said = "accepted"
+        except ValueError:
+            said = "refused"
+        row = wh.read("bronze_ads_performance").agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(case).alias("case_name"), F.lit(said).alias("outcome"), "row_count")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 CD, CH = "gold_campaign_daily", "gold_channel_daily"
 
 QUERIES: dict[str, Query] = {
@@ -253,4 +495,19 @@ QUERIES: dict[str, Query] = {
     "pseudonymized_events": _pseudonymized_events,
     "string_dated_slice": _string_dated_slice,
     "warehouse_inventory": _warehouse_inventory,
+    "replace_interrupted": _replace_interrupted,
+    "session_state_merge": _session_state_merge,
+    "freshness_from_metadata": _freshness_from_metadata,
+    "distinct_campaigns_range": _distinct_campaigns_range,
+    "zscore_from_state": _zscore_from_state,
+    "backfill_resumed": _backfill_resumed,
+    "retention_applied": _retention_applied,
+    "bronze_lineage": _bronze_lineage,
+    "script_rebuild": _script_rebuild,
+    "declared_scan": _declared_scan,
+    "source_missing": _source_missing,
+    "results_by_batch": _results_by_batch,
+    "warehouse_access": _warehouse_access,
+    "d_minus_1": _d_minus_1,
+    "backfill_arguments": _backfill_arguments,
 }

@@ -10,12 +10,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adpulse.config import SOURCE_MAP
+from adpulse.operators.common import SOURCE_COLUMNS
 from adpulse.sources import schemas
 
 log = logging.getLogger(__name__)
 
 
-def conform(df: DataFrame, schema: T.StructType, keep_extra: tuple[str, ...] = ("_load_seq",)) -> DataFrame:
+class ExtractTypeError(ValueError):
+    """A file of an extract does not hold the declared columns."""
+
+
+# Types that a file may hold for a declared one: Parquet readers widen them, and
+# days may be ISO text, which is cast.
+_WIDENED = {
+    T.LongType: (T.IntegerType, T.ShortType, T.ByteType),
+    T.IntegerType: (T.ShortType, T.ByteType),
+    T.DoubleType: (T.FloatType,),
+    T.DateType: (T.StringType,),
+}
+_EXTRA = ("_load_seq",)
+
+
+def _is_missing(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
+
+
+def _misfits(found: T.StructType, schema: T.StructType) -> list[str]:
+    """What is wrong with a file's types, column by column."""
+    out = []
+    for f in schema.fields:
+        if f.name not in found.names:
+            out.append(f"{f.name} is missing")
+            continue
+        kind = found[f.name].dataType
+        if kind != f.dataType and not isinstance(kind, _WIDENED.get(type(f.dataType), ())):
+            out.append(f"{f.name} is {kind.simpleString()}, declared {f.dataType.simpleString()}")
+    return out
+
+
+def checked_types(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The columns of an extract's files, compared with the declared ones before any row is read.
+
+    Only footers are read, all of them in one job.  Raises ``ExtractTypeError`` with
+    the name of the first file that does not fit.
+    """
+    def of(p: str, merge: bool = False) -> T.StructType:
+        return spark.read.option("mergeSchema", merge).parquet(p).schema
+
+    try:
+        found = of(path, merge=True)
+        if not _misfits(found, schema):
+            return found
+    except AnalysisException as e:
+        if _is_missing(e):
+            raise
+    except Exception as e:                    # files that contradict one another fail in the job
+        if "MERGE" not in str(e).upper():
+            raise
+    for file in spark.read.schema(schema).parquet(path).inputFiles():
+        wrong = _misfits(of(file), schema)
+        if wrong:
+            raise ExtractTypeError(f"{file}: {'; '.join(wrong)}")
+    raise ExtractTypeError(f"{path}: its files hold different types for one column")
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A scan with the declared types (days as text where the files hold text), with the file of each row.
+
+    ``_source_file`` is the file's path from the extract's name on, ``_source_modified``
+    its modification time; both come from the scan itself.
+    """
+    found = checked_types(spark, path, schema)
+    fields = [T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.DateType) and isinstance(found[f.name].dataType, T.StringType) else f
+              for f in schema.fields]
+    fields += [found[c] for c in _EXTRA if c in found.names]
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    file = F.concat(F.lit(name), F.substring_index("_metadata.file_path", f"/{name}", -1))
+    return (spark.read.schema(T.StructType(fields)).parquet(path)
+            .select("*", file.alias("_source_file"), F.col("_metadata.file_modification_time").alias("_source_modified")))
+
+
+def conform(df: DataFrame, schema: T.StructType, keep_extra: tuple[str, ...] = (*_EXTRA, *SOURCE_COLUMNS)) -> DataFrame:
     """Project ``df`` onto ``schema`` (cast each declared column; keep listed extras).
 
     Where the file already has the declared type the cast is a no-op and
@@ -27,11 +102,11 @@ def conform(df: DataFrame, schema: T.StructType, keep_extra: tuple[str, ...] = (
 
 
 def read_extract(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """Whole-file scan of one extract; ``None`` (with a warning) if it is missing."""
+    """Whole scan of one extract with its declared types; ``None`` (with a warning) if it is missing."""
     try:
-        return conform(spark.read.parquet(path), schema)
+        return conform(_scan(spark, path, schema), schema)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        if _is_missing(e):
             log.warning("source file not found: %s -- skipping", path)
             return None
         raise
@@ -81,9 +156,9 @@ def read_extract_dates(spark: SparkSession, path: str, schema: T.StructType, dat
     """
     days = sorted(str(d) for d in dates if d is not None)
     try:
-        raw = spark.read.parquet(path)
+        raw = _scan(spark, path, schema)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        if _is_missing(e):
             log.warning("source file not found: %s -- skipping", path)
             return None
         raise

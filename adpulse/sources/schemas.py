@@ -39,7 +39,7 @@ QUALITY_RESULTS = _schema(
 )
 
 _LOADED, _BATCH = ("_loaded_at", _TS), ("_batch_id", _S)
-_BRONZE_AUDIT = (_LOADED, ("_source_file", _S), _BATCH)
+_BRONZE_AUDIT = (_LOADED, ("_source_file", _S), ("_source_modified", _TS), _BATCH)
 _MONEY = T.DecimalType(38, 10)
 
 
@@ -86,7 +86,13 @@ STAGE_ADS_HOURLY = _schema(
     ("impressions", _L), ("clicks", _L), ("conversions", _L), ("spend_exact", _MONEY), ("revenue_exact", _MONEY),
 )
 
-STAGE_SESSION_DAYS = _schema(("session_id", _S), ("date", _DATE), ("n", _L))
+# Kept state: rows add up, so a slice is taken back by negative ones.
+STAGE_SESSION_DAYS = _schema(("session_id", _S), ("date", _DATE), ("n", _L), ("bucket", _I))
+_SQUARES = T.DecimalType(38, 12)
+STAGE_ADS_MOMENTS = _schema(("column_name", _S), ("date", _DATE), ("n", _L), ("s1", _SQUARES), ("s2", _SQUARES))
+STAGE_CAMPAIGN_IDS = _schema(("campaign_id", _S), ("id", _L))
+STAGE_CAMPAIGN_BITMAPS = _schema(("date", _DATE), ("channel", _S), ("bucket", _L), ("bitmap", T.BinaryType()))
+STAGE_JOB_LEDGER = _schema(("batch_id", _S), ("slice", _S), ("run", _I), ("stage", _S), ("at", _TS))
 
 SOURCES = {
     "bronze_ads_performance": ADS_PERFORMANCE,
@@ -109,5 +115,12 @@ TABLES = {
     "gold_funnel_summary": (GOLD_FUNNEL_SUMMARY, "date"),
     "quality_check_results": (QUALITY_RESULTS, "batch_id"),
     "stage_ads_hourly": (STAGE_ADS_HOURLY, "date"),
-    "stage_session_days": (STAGE_SESSION_DAYS, "date"),
+    "stage_session_days": (STAGE_SESSION_DAYS, "bucket"),
+    "stage_ads_moments": (STAGE_ADS_MOMENTS, None),
+    "stage_campaign_ids": (STAGE_CAMPAIGN_IDS, None),
+    "stage_campaign_bitmaps": (STAGE_CAMPAIGN_BITMAPS, "date"),
+    "stage_job_ledger": (STAGE_JOB_LEDGER, None),
 }
+
+# Columns that an insert may leave out, with the SQL of their defaults.
+DEFAULTS = {t: {"_loaded_at": "CURRENT_TIMESTAMP()"} for t, (schema, _) in TABLES.items() if "_loaded_at" in schema.names}

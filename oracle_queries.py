@@ -517,6 +517,36 @@ SELECT date, {bronze_ads} UNION ALL SELECT CAST(NULL AS DATE), {bronze_ads} WHER
 SELECT * REPLACE (CASE WHEN session_id IS NULL THEN NULL ELSE sha256(concat('pepper', session_id)) END AS session_id,
  sha256(concat('pepper', user_id)) AS user_id) FROM ga""")
     q["backfill_range"] = with_(_gold(GOLD_CHANNEL), "SELECT * FROM gold_channel_daily")
+    q["replace_interrupted"] = with_([ADS], f"SELECT date, {bronze_ads}")
+    q["declared_scan"] = q["replace_interrupted"]
+    q["session_state_merge"] = with_(list(undated), "SELECT session_id, date, COUNT(*) AS n FROM ga WHERE session_id IS NOT NULL GROUP BY session_id, date")
+    q["freshness_from_metadata"] = q["dq_freshness"]
+    q["zscore_from_state"] = q["dq_zscore"]
+    q["distinct_campaigns_range"] = with_([ADS], """
+SELECT days, channel, COUNT(DISTINCT campaign_id) AS campaign_count
+FROM ads, (SELECT unnest([0, 1, 2, 31, 365]) AS days) w
+WHERE days = 0 OR date > (SELECT MAX(date) FROM ads) - CAST(days AS INTEGER) GROUP BY days, channel""")
+    q["backfill_resumed"] = q["backfill_range"]
+    q["d_minus_1"] = q["backfill_range"]
+    q["retention_applied"] = with_([ADS], f"SELECT date, {bronze_ads} WHERE date >= (SELECT MAX(date) FROM ads) - 89")
+    q["bronze_lineage"] = with_([ADS], """
+SELECT channel, CAST(1 AS BIGINT) AS channels_in_a_file, COUNT(*) AS rows_loaded, COUNT(*) AS rows_with_time, TRUE AS files_named FROM ads GROUP BY channel""")
+    q["script_rebuild"] = with_([ADS], """
+SELECT channel, concat(channel, '; all days') AS note, CAST(SUM(clicks) AS BIGINT) AS total_clicks FROM ads GROUP BY channel
+UNION ALL SELECT 'all', 'every channel; every day', CAST(SUM(clicks) AS BIGINT) FROM ads""")
+    q["source_missing"] = with_([ADS, CAMPAIGNS], """
+SELECT 'bronze_ads_performance' AS table_name, 'ads_performance.parquet' AS source_file, TRUE AS loaded, COUNT(*) AS row_count FROM ads
+UNION ALL SELECT 'bronze_ga_events', 'ga_events.parquet', FALSE, 0
+UNION ALL SELECT 'bronze_campaigns', 'campaigns.parquet', TRUE, COUNT(*) FROM campaigns
+UNION ALL SELECT 'bronze_adgroups', 'adgroups.parquet', FALSE, 0""")
+    q["results_by_batch"] = f"""WITH r AS ({quality_sql([c for c in SUITE if c.kind == 'row_count'])})
+SELECT b AS batch_id, check_name, table_name, status, metric_value FROM r, (SELECT unnest(['b1', 'b2']) AS b) x"""
+    q["warehouse_access"] = with_([ADS], """
+SELECT 'row_count' AS what, COUNT(*) AS n FROM ads
+UNION ALL SELECT 'execute', COUNT(*) FROM ads WHERE channel = 'Google Ads'
+UNION ALL SELECT 'absent', 0""")
+    q["backfill_arguments"] = with_([ADS], """
+SELECT case_name, 'refused' AS outcome, row_count FROM (SELECT COUNT(*) AS row_count FROM ads) n, (SELECT unnest(['no start', 'no end', 'reversed']) AS case_name) c""")
     counts = [
         ("bronze_adgroups", "adgroups"), ("bronze_ads_performance", "ads"), ("bronze_campaigns", "campaigns"),
         ("bronze_ga_events", "ga"), ("gold_campaign_daily", "gold_campaign_daily"),
