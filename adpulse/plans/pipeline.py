@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,27 @@ IDS_TABLE, BITMAPS_TABLE = "stage_campaign_ids", "stage_campaign_bitmaps"
 NEW_IDS_TABLE = "stage_new_ids"
 LEDGER_TABLE = "stage_job_ledger"
 TOUCHED_TABLE = "stage_touched_sessions"
+MAX_JOBS = 5                         # tables written at the same time
 SCORED = ["spend", "revenue"]        # columns with a z-score check
 QUARANTINE_TABLE = "silver_ads_quarantine"
 
 
+def _side_by_side(wh: Warehouse, works: list) -> None:
+    """Runs jobs that write different tables at the same time; the first failure is raised when all have ended.
+
+    A table's write seldom fills a cluster from its first to its last task, and
+    nothing in a session is changed by one, so they may overlap.
+    """
+    if len(works) < 2:
+        for work in works:
+            work()
+        return
+    with ThreadPoolExecutor(max_workers=min(len(works), MAX_JOBS)) as pool:
+        running = [pool.submit(inheritable_thread_target(wh.spark)(work)) for work in works]
+    for r in running:
+        r.result()
+
+
 def new_batch_id(now: dt.datetime | None = None) -> str:
     return (now or dt.datetime.now()).strftime(BATCH_ID_FORMAT)
 
@@ -51,57 +71,73 @@ def _prepared(wh: Warehouse, table: str, df: DataFrame) -> DataFrame:
 
 def ingest_bronze(wh: Warehouse, sources: dict[str, DataFrame], batch_id: str) -> None:
     """Full load of every available source into bronze, with audit columns."""
-    for table, df in sources.items():
+    def load(table: str, df: DataFrame) -> None:
         part = "date" if table in FACT_TABLES else None
         wh.replace(table, with_audit(_prepared(wh, table, df), batch_id, SOURCE_MAP[table]), partition_by=part)
         log.info("bronze %s loaded", table)
 
+    _side_by_side(wh, [partial(load, t, df) for t, df in sources.items()])
+
 
 def ingest_bronze_dates(wh: Warehouse, sources: dict[str, DataFrame], dates: list, batch_id: str) -> bool:
     """Replace the ``dates`` slice of the bronze facts; dimensions are left as loaded.
 
     Returns False when bronze did not exist yet and a full load ran instead.
     """
-    for table in FACT_TABLES:
-        if table not in sources:
-            log.warning("source for %s not available -- skipping", table)
-            continue
+    facts = [t for t in FACT_TABLES if t in sources]
+    for table in set(FACT_TABLES) - set(facts):
+        log.warning("source for %s not available -- skipping", table)
+    for table in facts:
         if not wh.exists(table):
             log.info("%s does not exist -- running a full load", table)
             ingest_bronze(wh, sources, batch_id)
             return False
+
+    def load(table: str) -> None:
         new = with_audit(slice_dates(_prepared(wh, table, sources[table]), dates), batch_id, SOURCE_MAP[table])
         wh.replace_dates(table, new, dates)
+
+    _side_by_side(wh, [partial(load, t) for t in facts])
     return True
 
 
 # ---------------------------------------------------------------- silver
 def build_silver(wh: Warehouse, batch_id: str, dates: list | None = None) -> None:
     """silver_ads_performance (whole or for ``dates``) and silver_ga_events (whole)."""
+    works = []
     if wh.exists("bronze_ads_performance"):
-        bronze = wh.read("bronze_ads_performance") if dates is None else wh.read_dates("bronze_ads_performance", dates)
-        ads = silver.transform_ads(bronze, wh.read("bronze_campaigns"), wh.read("bronze_adgroups"))
-        ads = with_audit(ads, batch_id)
-        if dates is None or not wh.exists("silver_ads_performance"):
-            wh.replace("silver_ads_performance", ads, partition_by="date",
-                       grain=wh.grain_of("bronze_ads_performance"))
-        else:
-            # Dedup keeps a row per key and the joins are LEFT joins, so the
-            # silver slice has exactly the dates of its bronze slice.
-            wh.replace_dates("silver_ads_performance", ads, dates, dates_from=bronze)
-        keep_moments(wh, dates)
+        works.append(lambda: _build_silver_ads(wh, batch_id, dates))
     if wh.exists("bronze_ga_events"):
-        if dates is None or not wh.exists("silver_ga_events"):
-            events, grain = wh.read("bronze_ga_events"), wh.grain_of("bronze_ga_events")
-            state = silver.session_days(events).withColumn("bucket", silver.session_bucket(wh.session_buckets))
-            wh.replace(SESSIONS_TABLE, state, partition_by="bucket")
-            wh.replace("silver_ga_events", with_audit(silver.transform_events(events), batch_id), partition_by="date", grain=grain)
-        else:
-            rebuild_events_for(wh, batch_id, dates)
+        works.append(lambda: _build_silver_events(wh, batch_id, dates))
+    _side_by_side(wh, works)
     if dates is not None and wh.exists(QUARANTINE_TABLE):
         quarantine_silver(wh, batch_id, dates)
 
 
+def _build_silver_ads(wh: Warehouse, batch_id: str, dates: list | None) -> None:
+    bronze = wh.read("bronze_ads_performance") if dates is None else wh.read_dates("bronze_ads_performance", dates)
+    ads = silver.transform_ads(bronze, wh.read("bronze_campaigns"), wh.read("bronze_adgroups"))
+    ads = with_audit(ads, batch_id)
+    if dates is None or not wh.exists("silver_ads_performance"):
+        wh.replace("silver_ads_performance", ads, partition_by="date",
+                   grain=wh.grain_of("bronze_ads_performance"))
+    else:
+        # Dedup keeps a row per key and the joins are LEFT joins, so the
+        # silver slice has exactly the dates of its bronze slice.
+        wh.replace_dates("silver_ads_performance", ads, dates, dates_from=bronze)
+    keep_moments(wh, dates)
+
+
+def _build_silver_events(wh: Warehouse, batch_id: str, dates: list | None) -> None:
+    if dates is not None and wh.exists("silver_ga_events"):
+        rebuild_events_for(wh, batch_id, dates)
+        return
+    events, grain = wh.read("bronze_ga_events"), wh.grain_of("bronze_ga_events")
+    state = silver.session_days(events).withColumn("bucket", silver.session_bucket(wh.session_buckets))
+    wh.replace(SESSIONS_TABLE, state, partition_by="bucket")
+    wh.replace("silver_ga_events", with_audit(silver.transform_events(events), batch_id), partition_by="date", grain=grain)
+
+
 def rebuild_events_for(wh: Warehouse, batch_id: str, dates: list) -> list:
     """Rebuild silver events touched by a replaced bronze slice, exactly.
 
@@ -220,13 +256,16 @@ def build_gold(wh: Warehouse, dates: list | None = None) -> None:
     else:
         wh.replace_dates(ROLLUP_TABLE, gold.rollup(s), dates, dates_from=s)
     base = wh.read(ROLLUP_TABLE) if whole else wh.read_dates(ROLLUP_TABLE, dates)
-    for table, (build, order) in gold.BUILDERS.items():
+
+    def write(table: str, build, order: list[str]) -> None:
         rows = with_audit(build(base), "gold").drop("_batch_id")
         if whole:
             wh.replace(table, rows, partition_by="date", grain=grain, sort_by=order)
         else:
             wh.replace_dates(table, rows, dates, sort_by=order, dates_from=base)
-    keep_campaign_bitmaps(wh, base, None if whole else dates)
+
+    works = [partial(write, table, build, order) for table, (build, order) in gold.BUILDERS.items()]
+    _side_by_side(wh, [*works, lambda: keep_campaign_bitmaps(wh, base, None if whole else dates)])
 
 
 def keep_campaign_bitmaps(wh: Warehouse, base: DataFrame, dates: list | None = None) -> None:
