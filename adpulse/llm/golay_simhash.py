@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from adpulse.llm.arrowtext import texts
 from adpulse.llm.components import connected_components
-from adpulse.llm.runtime import keep, prepare
+from adpulse.llm.runtime import free_name, keep, prepare
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -319,9 +319,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     prepare(docs.sparkSession)
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("_text"))
     rows = near_duplicates(hashed, ("doc_id", "_hash"), "_text", **options)
+    id_, hash_ = free_name(docs, "id"), free_name(docs, "hash")          # the table may have columns of any name
     chosen = keep(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("m"))
-                  .select(F.col("m.doc_id").alias("_id"), F.col("m._hash").alias("_h")), "chosen")
+                  .select(F.col("m.doc_id").alias(id_), F.col("m._hash").alias(hash_)), "chosen")
     own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    left = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left_semi")
+    left = docs.join(chosen, docs[id_col].eqNullSafe(F.col(id_)) & (own == F.col(hash_)), "left_semi")
     again = rows.groupBy("doc_id", "_hash").count().where("count > 1").isEmpty()
     return left if again else left.dropDuplicates([id_col, text_col])

@@ -34,6 +34,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def folded(name: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder; a null id does not."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

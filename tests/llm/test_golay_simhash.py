@@ -125,3 +125,12 @@ def test_null_ids_and_other_columns(spark):
     assert sorted(g.components(df).collect(), key=str) == sorted(
         [(None, f"{brute_fingerprint('a b c d'):016x}", None)] * 2 + [(4, f"{brute_fingerprint('e f'):016x}", 4)], key=str)
     assert g.keep_one(df).count() == 2
+
+
+def test_keep_one_of_a_table_with_clashing_names(spark):
+    words = [f"word{i}" for i in range(60)]
+    rows = [(5, " ".join(words), "a", 1, 2, "x"), (3, " ".join(words), "b", 3, 4, "y"), (4, "another text altogether", "c", 5, 6, "z"), (None, None, None, 7, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _h int, id int, Hash string")
+    out = g.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows[1:], key=str)
