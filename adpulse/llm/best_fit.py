@@ -9,7 +9,8 @@ one is compatible.
 
 Documents are dealt over groups of bounded size by a hash of their id, so that
 a large source or cluster is spread over all groups, and groups are packed in
-parallel.  A document longer than a bin is cut: full bins of its own, and a last
+parallel.  Rows alike in all that packing looks at are counted, and dealt as
+numbered bundles of bounded size.  A document longer than a bin is cut: full bins of its own, and a last
 piece that is packed like a document.  No token is dropped.
 """
 
@@ -26,6 +27,7 @@ from adpulse.llm.runtime import prepare
 
 CAPACITY = 2048          # tokens of a sequence
 GROUP_DOCS = 2048        # documents packed together
+BUNDLE = 16              # equal rows that stay together when they are dealt
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,12 +66,14 @@ def _numbered(values: list) -> list[int]:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text",
-                   source_col: str = "source", cluster: object = None, length: object = None) -> DataFrame:
+                   source_col: str = "source", cluster: object = None, length: object = None, clusters: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, bin_id, bin_offset, doc_offset, n_tokens): where each piece of each row goes.
 
     ``length`` is a column expression of tokens (default: words of the text) and
     ``cluster`` one of the duplicate cluster (default: a hash of the lower-cased
-    text).  A null or empty text has length 0 and one piece of no tokens, packed
+    text, which tells exact copies only); ``clusters``, a table (doc_id, cluster) of
+    near-duplicate clusters, takes its place (an id with several has the smallest,
+    an id without one the default).  A null or empty text has length 0 and one piece of no tokens, packed
     like the others; null sources are one source.  ``bin_id`` is unique over all
     groups.  Only ids, lengths and marks are shuffled, never texts.
     """
@@ -78,13 +82,22 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     tokens = F.regexp_count(text, F.lit(_WORDS)) if length is None else length
     mark = F.xxhash64(F.lower(text)) if cluster is None else cluster
     slim = docs.select(F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n"), F.col(source_col).cast("string").alias("source"), mark.cast("string").alias("cluster"))
+    if clusters is not None:
+        near = clusters.select(F.col("doc_id").alias("near_id"), F.col("cluster").cast("string").alias("near")).groupBy("near_id").agg(F.min("near").alias("near"))
+        slim = (slim.join(near, F.col("doc_id") == F.col("near_id"), "left")
+                .select("doc_id", "n", "source", F.coalesce(F.concat(F.lit("near "), "near"), "cluster").alias("cluster")))
     groups = max(1, -(-docs.select(id_col).count() // group_docs))
-    # The cluster's copies and rows that repeat an id are spread by all that is known of a row.
-    dealt = slim.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster"), F.lit(groups)))
+    # Equal rows are counted in the tasks; their bundles, like a cluster's copies and rows that
+    # repeat an id, are spread by all that is known of them.
+    counted = slim.groupBy("doc_id", "n", "source", "cluster").agg(F.count(F.lit(1)).alias("rows"))
+    bundles = counted.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BUNDLE))))
+    bundles = bundles.withColumn("rows", F.least(F.lit(BUNDLE).cast("long"), F.col("rows") - F.col("nth") * BUNDLE))
+    dealt = bundles.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n", "source", "cluster", "nth"), F.lit(groups)))
     id_type = slim.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "bin_id", "bin_offset", "doc_offset", "n_tokens"]
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("rows").to_numpy())))
         table = table.sort_by([("n", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
         group = table.column("grp")[0].as_py()
         n = table.column("n").to_pylist()

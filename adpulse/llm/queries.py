@@ -50,7 +50,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.pack_documents(table(spark, sf_dir, "documents"))
+    """Clusters are the near-duplicate components of the SimHash operator."""
+    docs = table(spark, sf_dir, "documents")
+    clusters = golay_simhash.components(docs).select("doc_id", F.col("component_id").alias("cluster"))
+    return best_fit.pack_documents(docs, clusters=clusters)
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

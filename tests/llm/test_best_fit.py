@@ -1,8 +1,9 @@
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from adpulse.llm import best_fit as bf
 
@@ -62,3 +63,19 @@ def test_bins_of_a_table(spark):
             known = [info[d] for _, _, d in items if d in info]
             assert len({s for s, _ in known}) == len(known) and len({(t or "").lower() for _, t in known}) == len(known)
     assert bf.pack_documents(df.limit(0)).collect() == []
+
+
+def test_near_copies_do_not_share_a_sequence(spark):
+    rows = [(i, f"w{i} x", f"s{i}") for i in range(6)] + [(9, "w9 x", "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (3, 2), (None, 7)], "doc_id long, cluster long")
+    bins = {r.doc_id: r.bin_id for r in bf.pack_documents(df, capacity=50, clusters=near).collect()}
+    assert len(bins) == 7 and len({bins[i] for i in (0, 1, 2)}) == 3
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("s").alias("source")).repartition(6)
+    got = bf.pack_documents(df, capacity=50, group_docs=500).collect()
+    assert len(got) == 5000 and len({r.bin_id for r in got}) == 5000            # one source: a sequence for each row
+    group = Counter(r.bin_id >> 32 for r in got)
+    assert len(group) == 10 and max(group.values()) < 1200
