@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects a document for one reason.  On a sample, every rule is run on
-every document: its cost is the time it took, its selectivity the share that it
-rejected.  Rules then go by rejections per cost, highest first, and a document
+every document that it would meet: its cost is the time that it took beyond what
+is worked out for the document anyway, its selectivity the share that it rejected.  Rules then go by rejections per cost, highest first, and a document
 meets the next rule only if it passed those before.  A document is kept if no
 rule rejects it, so the order changes the time and never the verdict.
 """
@@ -151,9 +151,13 @@ def rejected_by(doc: Doc, rules: Sequence[Rule]) -> str | None:
     return next((r.name for r in rules if r.rejects(doc)), None)
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[Estimate]:
+def estimate(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
+             base: Sequence[Rule] = (), measured: Sequence[str] = ()) -> list[Estimate]:
     """Cost and selectivity of each rule on the documents of smallest id hash.
 
+    ``measured`` names what is worked out for every document before the rules, and
+    costs them nothing; documents that a rule of ``base`` rejects don't meet them,
+    and don't count (if it rejects the whole sample, there is no estimate).
     Only sums come back to the driver: one row for each rule and task.  Without
     documents there is no estimate.
     """
@@ -166,9 +170,15 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", tex
         spent, turned, n = [0.0] * len(rules), [0] * len(rules), 0
         for b in batches:
             for data in texts(b.column(0)):
+                known = Doc(data)
+                for m in measured:
+                    getattr(known, m)
+                if any(r.rejects(known) for r in base):
+                    continue
                 n += 1
                 for i, rule in enumerate(rules):
-                    doc = Doc(data)                # nothing worked out yet: the rule's own cost
+                    doc = Doc(data)                # what is known of a document that comes to the rules, no more
+                    doc.__dict__.update(known.__dict__)
                     t = time.perf_counter()
                     turned[i] += rule.rejects(doc)
                     spent[i] += time.perf_counter() - t
@@ -202,7 +212,7 @@ def verdicts(docs: DataFrame, rules: Sequence[Rule] = STANDARD, base: Sequence[R
     The base measures are worked out for every document; the other rules only
     for those that pass the base, in the order of the estimates.
     """
-    order = ordered(rules, estimate(docs, rules, id_col, text_col, sample_docs))
+    order = ordered(rules, estimate(docs, rules, id_col, text_col, sample_docs, base, MEASURES))
     narrow = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,19 @@ def test_verdicts_and_cascade(spark):
     assert rc.estimate(df, rc.STANDARD, sample_docs=4) and rc.verdicts(df.limit(0)).collect() == []
 
 
+def test_estimates_are_of_what_a_rule_meets(spark):
+    import time
+
+    long, junk = " ".join(f"w{i}" for i in range(100)), "a a a a"
+    df = spark.createDataFrame([(i, long if i % 2 else junk) for i in range(20)], "doc_id long, text string")
+    slow = lambda d: time.sleep(.002) or False
+    rules = [rc.Rule("known", lambda d: d.n_repeat_words < 0), rc.Rule("slow", slow), rc.Rule("half", lambda d: d.n_words < 50), rc.Rule("all", lambda d: d.n_words > 50)]
+    met = {e.name: e for e in rc.estimate(df, rules, base=rc.BASE, measured=rc.MEASURES)}
+    assert met["half"].selectivity == 0 and met["all"].selectivity == 1 and met["slow"].cost > .0015 > 10 * met["known"].cost
+    assert {e.name: e.selectivity for e in rc.estimate(df, rules)}["half"] == .5
+    assert rc.estimate(df.where("doc_id % 2 = 0"), rules, base=rc.BASE) == [] and len({r.name for r in rc.STANDARD}) == len(rc.STANDARD)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x:"</p>"}</style><script>var a="<p>no</p>";</script></head>
 <body><nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav><!-- <p>not this</p> -->
 <div class="ad">Buy this now and then and again</div><article><h1>Head &lt;1&gt;</h1><p><b>First
