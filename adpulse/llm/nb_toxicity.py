@@ -175,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
-    weight_of = {r["label"]: r["w"] for r in sample.groupBy("label").agg(F.min("weight").alias("w")).collect()}   # one for a class
+    classes = sample.groupBy("label").agg(F.min("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()       # one weight for a class
+    # Weights of mean one: smoothing and penalty then mean the same however many labels there are.
+    mean = sum(r["w"] * r["n"] for r in classes) / max(sum(r["n"] for r in classes), 1)
+    weight_of = {r["label"]: r["w"] / mean for r in classes}
     if len(weight_of) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), {0: -30.0, 1: 30.0}[next(iter(weight_of))] if weight_of else 0.0)
 
@@ -211,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     size, label_, weight = (rows.column(c).to_numpy() for c in ("n", "label", "weight"))
     found = rows.column("found").to_pylist()
     order = sorted(range(len(found)), key=lambda i: (label_[i], found[i]))
-    size, label_, weight = size[order], label_[order], weight[order]
+    size, label_, weight = size[order], label_[order], weight[order] / mean
     col, end = np.empty(size.sum(), np.int32), np.cumsum(size)
     for i, e, k in zip(order, end, size):
         col[e - k: e] = _unpacked(found[i])
