@@ -28,10 +28,11 @@ from adpulse.llm.training import labelled_sample
 NGRAMS = (4, 7)          # shortest and longest, in bytes
 MIN_DOCS = 5             # training texts that an n-gram must occur in
 SMOOTHING = 1.0
-PENALTY = 1.0            # of squared weights
+PENALTY = 0.1            # of squared weights
 STEPS = 500              # at most; descent ends where the gradient is small
 MEMORY = 10              # steps that the descent remembers
 PER_CLASS = 1500         # training documents of each class
+MODEL_BYTES = 256 << 20  # of a model at most: 16 a feature, and its table of places
 FOLDS, HELD_OUT = 5, 0
 _BLOCK = 1 << 19         # positions looked at together
 _CELLS = 1 << 20         # features of training texts looked at together
@@ -170,15 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     n-grams are counted in tasks and summed by a shuffle; the driver gets those
     that ``MIN_DOCS`` texts have and, for each of at most 2 * ``per_class`` texts,
-    which columns occur in it.  Without both classes every score is the one label,
+    which columns occur in it.  The model is refused beyond ``MODEL_BYTES``, the
+    most that goes to every task.  Without both classes every score is the one label,
     or one half.
     """
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
-    classes = sample.groupBy("label").agg(F.min("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()       # one weight for a class
-    # Weights of mean one: smoothing and penalty then mean the same however many labels there are.
-    mean = sum(r["w"] * r["n"] for r in classes) / max(sum(r["n"] for r in classes), 1)
-    weight_of = {r["label"]: r["w"] / mean for r in classes}
+    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Both classes weigh the same, one a text on average: smoothing and penalty then mean the
+    # same however many labels there are, and rare toxic texts are not outweighed.
+    weight_of = {y: sum(classes.values()) / (2 * n) for y, n in classes.items()}
     if len(weight_of) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), {0: -30.0, 1: 30.0}[next(iter(weight_of))] if weight_of else 0.0)
 
@@ -194,6 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     # Equal sums of the texts' hashes, and equal counts: the n-grams stand in the same texts.
     counts = (sample.mapInArrow(count, "code long, pos long, texts long").groupBy("code")
               .agg(F.sum("pos").alias("pos"), F.count("*").alias("n"), F.sum("texts").alias("texts")).where(F.col("n") >= MIN_DOCS)).toArrow()
+    if 24 * counts.num_rows > MODEL_BYTES:
+        raise ValueError(f"{counts.num_rows} n-grams are more than a model may hold: lower per_class or raise MIN_DOCS")
     codes, pos, n, texts = (counts.column(c).to_numpy().astype(np.int64) for c in ("code", "pos", "n", "texts"))
     order = np.argsort(codes.view(np.uint64))
     codes, pos, n, texts = codes.view(np.uint64)[order], pos[order], n[order], texts[order]
@@ -207,14 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         for b in batches:
             flat, offsets = utf8(b.column(0))
             found = [np.unique(columns.weights[columns.features(flat[s:e])]) for s, e in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int64()), pa.array([_packed(x) for x in found], pa.binary()), b.column(1), b.column(2)],
-                                             names=["n", "found", "label", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int64()), pa.array([_packed(x) for x in found], pa.binary()), b.column(1)],
+                                             names=["n", "found", "label"])
 
-    rows = sample.mapInArrow(present, "n long, found binary, label int, weight double").toArrow()
-    size, label_, weight = (rows.column(c).to_numpy() for c in ("n", "label", "weight"))
+    rows = sample.mapInArrow(present, "n long, found binary, label int").toArrow()
+    size, label_ = (rows.column(c).to_numpy() for c in ("n", "label"))
+    weight = np.where(label_ == 1, weight_of[1], weight_of[0])
     found = rows.column("found").to_pylist()
     order = sorted(range(len(found)), key=lambda i: (label_[i], found[i]))
-    size, label_, weight = size[order], label_[order], weight[order] / mean
+    size, label_, weight = size[order], label_[order], weight[order]
     col, end = np.empty(size.sum(), np.int32), np.cumsum(size)
     for i, e, k in zip(order, end, size):
         col[e - k: e] = _unpacked(found[i])
