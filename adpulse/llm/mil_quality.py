@@ -22,8 +22,9 @@ from adpulse.llm.arrowtext import blocks, utf8, word_spans
 from adpulse.llm.runtime import folded, prepare
 from adpulse.llm.training import labelled_sample
 
-PASSAGE_WORDS = 64       # words of a passage ...
-MAX_PASSAGES = 64        # ... or more, so that no document has more passages than this
+PASSAGE_WORDS = 64       # words of a passage, however long the text
+BAG_PASSAGES = 64        # passages of a training text that are learned from, evenly spread; scoring takes all
+LONG_TEXT = 1 << 20      # bytes of a text that are encoded at a time
 PER_CLASS = 1500         # training documents of each class
 HIDDEN, ATTENTION = 24, 16
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 128, 0.01, 1e-4, 7
@@ -46,8 +47,7 @@ def encode(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n_rows = len(offsets) - 1
     start, end, row = word_spans(flat, offsets)
     n_words = np.bincount(row, minlength=n_rows)
-    size = np.maximum(PASSAGE_WORDS, -(-n_words // MAX_PASSAGES))
-    n_passages = np.maximum(1, -(-n_words // size))
+    n_passages = np.maximum(1, -(-n_words // PASSAGE_WORDS))
     base = np.cumsum(n_passages) - n_passages
     n = int(n_passages.sum())
     owner = np.repeat(np.arange(n_rows), n_passages)
@@ -55,7 +55,7 @@ def encode(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(start):
         return out, owner
     nth = np.arange(len(start)) - (np.cumsum(n_words) - n_words)[row]
-    passage = base[row] + nth // size[row]
+    passage = base[row] + nth // PASSAGE_WORDS
 
     # Pairs of kinds, a space standing before each row; a byte belongs to the
     # passage of the last word begun, and none counts before a row's first word.
@@ -107,6 +107,25 @@ def encode(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, owner
 
 
+def stretches(flat: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A text in stretches of whole passages, ``limit`` bytes or little more each (one passage at least)."""
+    at = 0
+    while at < len(flat):
+        size = limit
+        while True:                                    # words that begin here, up to a whole number of passages
+            part = flat[at: at + size]
+            start, _, _ = word_spans(part, np.array([0, len(part)]))
+            if at + size >= len(flat):
+                yield part
+                return
+            whole = (len(start) - 1) // PASSAGE_WORDS * PASSAGE_WORDS        # the last word may go on beyond
+            if whole > 0:
+                break
+            size *= 2
+        yield part[: start[whole]]
+        at += int(start[whole])
+
+
 @dataclass
 class Model:
     """Weights of the encoder, the gated attention and the score; ``constant`` if there was nothing to learn."""
@@ -116,11 +135,28 @@ class Model:
     weights: dict[str, np.ndarray]
     constant: float | None = None
 
-    def forward(self, x: np.ndarray, owner: np.ndarray) -> dict[str, np.ndarray]:
+    def _long(self, flat: np.ndarray) -> float:
+        """The score of one long text, stretch by stretch: attention's sums are carried along, with the highest exponent so far."""
+        top, total, pooled = -np.inf, 0.0, 0.0
+        for part in stretches(flat, LONG_TEXT):
+            x, _ = encode(part, np.array([0, len(part)]))
+            h, a = self._attended((x - self.mean) / self.scale)[:2]
+            high = max(top, float(a.max()))
+            e = np.exp(a - high)
+            fade = np.exp(top - high)
+            total, pooled, top = total * fade + e.sum(), pooled * fade + e @ h, high
+        return float(1 / (1 + np.exp(-np.clip((pooled / total) @ self.weights["c"] + self.weights["b"][0], -30, 30))))
+
+    def _attended(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Encoding and attention of each passage, and the two gates."""
         w = self.weights
         h = np.tanh(x @ w["E"] + w["e"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        a = (t * s) @ w["w"]
+        return h, (t * s) @ w["w"], t, s
+
+    def forward(self, x: np.ndarray, owner: np.ndarray) -> dict[str, np.ndarray]:
+        w = self.weights
+        h, a, t, s = self._attended(x)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         size = np.diff(np.r_[first, len(owner)])
         a = np.exp(a - np.repeat(np.maximum.reduceat(a, first), size))
@@ -136,6 +172,9 @@ class Model:
             if self.constant is not None:
                 out.append(np.full(j - i, self.constant))
                 continue
+            if j - i == 1 and offsets[j] - offsets[i] > LONG_TEXT:
+                out.append(np.array([self._long(flat[offsets[i]: offsets[j]])]))
+                continue
             x, owner = encode(flat[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
             out.append(self.forward((x - self.mean) / self.scale, owner)["p"].astype(float))
         return np.concatenate(out)
@@ -194,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     """A model from the labelled documents outside the held-out fold.
 
     Their passages are encoded in tasks; the driver gets at most
-    2 * ``per_class`` bags of ``MAX_PASSAGES`` passages.
+    2 * ``per_class`` bags of ``BAG_PASSAGES`` passages.
     """
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, folds, held_out, per_class, id_col, text_col)
@@ -205,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             bags = []
             for i, j in blocks(offsets):
                 x, owner = encode(flat[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                bags += [x[owner == r].astype(np.float16).tobytes() for r in range(j - i)]
+                for bag in np.split(x, np.flatnonzero(np.diff(owner)) + 1):
+                    if len(bag) > BAG_PASSAGES:
+                        bag = bag[np.linspace(0, len(bag) - 1, BAG_PASSAGES).round().astype(int)]
+                    bags.append(bag.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), b.column(1), b.column(2)], names=["bag", "label", "weight"])
 
     rows = sample.mapInArrow(run, "bag binary, label int, weight double").collect()

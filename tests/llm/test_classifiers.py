@@ -62,11 +62,11 @@ def test_without_labels_or_rows(spark, module):
     assert module.score(docs.limit(0), module.train(docs.limit(0), labels)).collect() == []
 
 
-def test_passages_are_bounded_and_cover_the_text():
+def test_passages_have_one_size_and_cover_the_text():
     text = np.frombuffer(("word " * 50000 + "END").encode(), np.uint8)
     x, owner = mil.encode(np.r_[text, text[:50]], np.array([0, len(text), len(text), len(text) + 50]))
-    assert np.bincount(owner).tolist() == [mil.MAX_PASSAGES, 1, 1]
-    assert x[1].any() and not x[owner == 1].any()
+    assert np.bincount(owner).tolist() == [-(-50001 // mil.PASSAGE_WORDS), 1, 1]
+    assert x.any(axis=1)[owner == 0].all() and not x[owner == 1].any()
 
 
 def test_ngrams_are_exact():
@@ -112,3 +112,80 @@ def test_features_equal_brute_force():
     part = text[:400]
     here = np.unique(np.concatenate(list(nb.ngrams(part))))
     assert np.array_equal(model.features(part), np.flatnonzero(np.isin(model.codes, here)))
+
+
+def tiny_model(rng):
+    shapes = {"E": (mil.WIDTH, 5), "e": (5,), "V": (5, 3), "U": (5, 3), "w": (3,), "c": (5,), "b": (1,)}
+    return mil.Model(rng.normal(0, .1, mil.WIDTH), rng.uniform(.5, 2, mil.WIDTH), {k: rng.normal(0, 1, v) for k, v in shapes.items()})
+
+
+def plain_forward(model, bag):
+    """One bag's score in plain Python: gated attention, softmax, weighted sum, logistic unit."""
+    import math
+
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    product = lambda v, m: [sum(a * b for a, b in zip(v, column)) for column in zip(*m)]
+    hidden, logits = [], []
+    for x in bag.tolist():
+        h = [math.tanh(a + b) for a, b in zip(product(x, w["E"]), w["e"])]
+        gate = [math.tanh(t) / (1 + math.exp(-u)) for t, u in zip(product(h, w["V"]), product(h, w["U"]))]
+        hidden.append(h)
+        logits.append(sum(a * b for a, b in zip(gate, w["w"])))
+    e = [math.exp(x) for x in logits]
+    z = [sum(a * h[j] for a, h in zip(e, hidden)) / sum(e) for j in range(5)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"])) + w["b"][0])))
+
+
+def test_forward_pass_equals_plain_python():
+    rng = np.random.default_rng(6)
+    model = tiny_model(rng)
+    bags = [rng.normal(0, 1, (k, mil.WIDTH)) for k in (1, 4, 9)]
+    got = model.forward(np.concatenate(bags), np.repeat([0, 1, 2], [1, 4, 9]))["p"]
+    assert np.allclose(got, [plain_forward(model, b) for b in bags])
+
+
+def test_a_long_text_scores_the_same_in_stretches(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = tiny_model(rng)
+    text = "  lead " + " ".join(rng.choice([*WORDS, "bad%%%", "X" * 40, "\n\n"], 9000)) + "  \n"
+    flat = np.frombuffer(text.encode(), np.uint8)
+    whole = model.score(flat, np.array([0, len(flat)]))
+    for size in (100, 3000, 20_000):
+        parts = list(mil.stretches(flat, size))
+        assert b"".join(p.tobytes() for p in parts) == text.encode() and len(parts) > 2
+        monkeypatch.setattr(mil, "LONG_TEXT", size)
+        assert np.allclose(model.score(flat, np.array([0, len(flat)])), whole)
+
+
+def test_a_bad_stretch_of_a_long_text_is_a_passage_of_its_own():
+    good, bad = "the of red blue " * 16, "%%% ### $$$ !!! " * 16
+    text = good * 300 + bad + good * 300
+    x, _ = mil.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    alone, _ = mil.encode(np.frombuffer(bad.encode(), np.uint8), np.array([0, len(bad)]))
+    assert len(x) == 601 and np.allclose(x[300], alone[0])
+
+
+def test_learned_weights_of_toxicity_equal_brute_force(spark):
+    """Counts, ratios and the fit, worked out from a plain matrix of all n-grams."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(WORDS[:5], 6)) + (" moron" if i % 3 == 0 else "") for i in range(60)]
+    y = np.array([i % 3 == 0 for i in range(60)], float)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    model = nb.train(docs, labels)
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % nb.FOLDS != nb.HELD_OUT]
+    grams = [{int(c) for part in nb.ngrams(np.frombuffer(texts[i].encode(), np.uint8)) for c in part} for i in train]
+    codes = sorted({c for g in grams for c in g if sum(c in h for h in grams) >= nb.MIN_DOCS})
+    x = np.array([[c in g for c in codes] for g in grams], float)
+    y = y[train]
+    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    p, q = (share * y) @ x + nb.SMOOTHING, (share * (1 - y)) @ x + nb.SMOOTHING
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    assert model.codes[np.argsort(model.codes)].tolist() == codes
+    # At the minimum of the penalized loss over every n-gram as a column of its own, the slope is zero.
+    w = model.weights[np.argsort(model.codes)] / np.where(r == 0, 1, r)
+    z = model.intercept + (x * r) @ w
+    d = share * (1 / (1 + np.exp(-z)) - y)
+    slope = np.r_[(x * r).T @ d + nb.PENALTY * w, d.sum()]
+    start = share * (.5 - y)
+    assert np.linalg.norm(slope) < 1e-3 * np.linalg.norm(np.r_[(x * r).T @ start, start.sum()])
