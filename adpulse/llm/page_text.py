@@ -5,13 +5,19 @@ negative weight, and the main content is the contiguous run of tokens with the
 highest sum, found in one scan.  The weights of the tags are learned from
 labelled pages: pages whose own markup names the main content (an element
 ``article`` or ``main``, or a role saying so).  They begin as log-odds of
-standing within the labelled region, and are then corrected, page by page, where
-the best region is not the labelled one (tags that it wrongly holds lose weight,
-tags that it wrongly leaves out regain it).
-
-Inside the region, elements that are never main text (menus, headers, footers,
-side bars, notices, adverts, forms, scripts, comments) are left out, and the rest
-is cut into blocks at block-level tags.  An element that holds the page's largest
+standing within the labelled region, counted over all labelled pages, and are then
+corrected on a bounded sample of them, page by page, where the best region is not
+the labelled one (tags that it wrongly holds lose weight, tags that it wrongly
+leaves out regain it).  A tag that no labelled region holds tells little of what
+pages unlike these use it for, so it begins no lower than a floor; only the tags
+of whole parts of a page keep all that the counts say.
+
+Elements that are never main text (menus, headers, footers, side bars, notices,
+adverts, forms, scripts, comments) are left out: neither their words nor their
+tags score.  They are told by element and role, and block-level ones also by a
+class or id that is, ends in, or has before a word for a container, one of a list
+of names; inline elements are never left out by name.  The rest of the region is
+cut into blocks at block-level tags.  An element that holds the page's largest
 content element is not left out whatever its name; on a page without one, neither
 is a form, or an element so named, that holds most of the page's words.
 """
@@ -25,22 +31,27 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.llm.runtime import prepare
+from adpulse.llm.runtime import keep, prepare
 
-TRAIN_PAGES = 400         # labelled pages that the weights are learned from
+TRAIN_PAGES = 400         # labelled pages that the weights are corrected on; they are counted over all
 ROUNDS = 12               # passes of corrections over them
 MARGIN = 3.0              # weight of a word outside the labelled region while learning
-UNKNOWN_BLOCK, UNKNOWN_INLINE = -1.0, -0.1   # tags that no labelled page has
+UNKNOWN_BLOCK, UNKNOWN_INLINE = -0.5, -0.1   # opening tags that no labelled page has; their closing tags weigh nothing
+FLOOR_BLOCK, FLOOR_INLINE = -1.0, -0.3       # where tags begin that no labelled region holds
 LEAST = -0.02             # no tag weighs more than this
 
 # --- fixed values: HTML element names, and names that pages give to parts ---------
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")
+RAW = ("script", "style", "template", "textarea", "title", "iframe")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
     "html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul caption".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big button canvas cite code data datalist del dfn em font i ins kbd label map mark math meter nobr noscript object output picture "
+    "progress q rp rt ruby s samp slot small span strike strong sub sup svg time tt u var video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("nav header footer aside form menu button select option dialog head".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
@@ -48,6 +59,8 @@ LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead "
     "footer sidebar aside widget cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended comment comments disqus reply replies respond form search pagination pager toolbar copyright disclaimer".split())
+CONTAINERS = frozenset("list box bar area section wrapper container block widget links buttons form menu panel slot unit zone".split())   # words after a name
+PARTS = frozenset("html head body main article nav header footer aside".split())      # elements that are parts of a page
 CONTENT = frozenset(("article", "main"))
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},   # open elements that a tag ends
             "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "p": BLOCKS}
@@ -64,6 +77,17 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]
 _NAME = re.compile(r"[a-z0-9]+")
 
 
+def _named(value: str) -> str:
+    """The name of a part that never is main text which a class or id says, if it does."""
+    for whole in value.split():
+        words = _NAME.findall(whole)
+        if words and words[-1] in LEFT_OUT_NAMES:
+            return words[-1]
+        if len(words) == 2 and words[0] in LEFT_OUT_NAMES and words[1] in CONTAINERS:
+            return words[0]
+    return ""
+
+
 class Token:
     """A tag (``key`` names its weight) or a stretch of text (``key`` is None)."""
 
@@ -101,6 +125,7 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
         at = m.end()
         if m["raw"]:
             found.append(Token(m["raw"].lower(), m["raw"].lower()))
+            found[-1].out = True
             continue
         if not m["name"]:
             continue                                    # comment, doctype, or a broken tag
@@ -115,12 +140,12 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                     opened[depth] = (*opened[depth][:2], False, *opened[depth][3:])
                 end(depth, len(found) - 1)
             continue
-        names, role, hidden = set(), "", False
+        mark, role, hidden = "", "", False
         for a in _ATTR.finditer(m["attrs"] or ""):
             value = (a[2] or a[3] or a[4] or "").lower()
             kind = a[1].lower()
             if kind in ("class", "id"):
-                names |= set(_NAME.findall(value))
+                mark = mark or (_named(value) if name in BLOCKS else "")
             elif kind == "role":
                 role = value.strip()
             else:
@@ -130,8 +155,7 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                 end(d, len(found))
             elif opened[d][0] in BLOCKS:
                 break
-        mark = sorted(names & LEFT_OUT_NAMES)
-        found.append(Token(name + ("." + mark[0] if mark else ""), name))
+        found.append(Token(name + ("." + mark if mark else ""), name))
         if name not in VOID:
             content = name in CONTENT or role in CONTENT
             always = name in LEFT_OUT - {"form"} or role in LEFT_OUT_ROLES - {"form", "search"} or hidden
@@ -159,7 +183,9 @@ def _weight(token: Token, weights: dict[str, float]) -> float:
     got = weights.get(token.key)
     if got is None:
         got = weights.get(("/" if token.close else "") + token.name)
-    return (UNKNOWN_BLOCK if token.name in BLOCKS else UNKNOWN_INLINE) if got is None else got
+    if got is None:
+        got = 0.0 if token.close else UNKNOWN_BLOCK if token.name in BLOCKS else UNKNOWN_INLINE
+    return got
 
 
 def best_region(found: list[Token], scores: list[float]) -> tuple[int, int]:
@@ -175,7 +201,8 @@ def best_region(found: list[Token], scores: list[float]) -> tuple[int, int]:
 
 
 def _scores(found: list[Token], weights: dict[str, float]) -> list[float]:
-    return [(0.0 if t.out else float(t.words)) if t.key is None else _weight(t, weights) for t in found]
+    """What is left out neither adds to a region nor parts it."""
+    return [0.0 if t.out else float(t.words) if t.key is None else _weight(t, weights) for t in found]
 
 
 def label(page: str) -> tuple[list[Token], tuple[int, int]] | None:
@@ -187,16 +214,40 @@ def label(page: str) -> tuple[list[Token], tuple[int, int]] | None:
     return found, max(regions, key=lambda r: (sum(t.words for t in found[r[0]: r[1]]), -r[0]))
 
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Tag weights from labelled pages; empty if none of them is labelled."""
-    labelled = [x for x in map(label, pages) if x]
+def _known(key: str) -> str:
+    """A tag as it is counted: names beyond HTML's own, of which a table may hold any number, are one."""
+    name = key.lstrip("/").split(".")[0]
+    return key if name in BLOCKS or name in VOID or name in RAW or name in INLINE else "?"
+
+
+def counted(labelled: list[tuple[list[Token], tuple[int, int]]]) -> dict[str, tuple[int, int]]:
+    """How often each tag stands within and outside the labelled regions; tags that are left out don't count."""
     inside, outside = Counter(), Counter()
     for found, (a, b) in labelled:
         for i, t in enumerate(found):
-            if t.key is not None:
-                (inside if a <= i < b else outside)[t.key] += 1
-    keys = sorted(inside | outside)
-    weights = {k: min(LEAST, math.log((inside[k] + .5) / (outside[k] + .5))) for k in keys}
+            if t.key is not None and not t.out:
+                (inside if a <= i < b else outside)[_known(t.key)] += 1
+    return {k: (inside[k], outside[k]) for k in inside | outside}
+
+
+def initial(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log-odds of standing within a labelled region; a tag that never does begins at its floor at the lowest."""
+    weights = {}
+    for k in sorted(counts):
+        inside, outside = counts[k]
+        w = math.log((inside + .5) / (outside + .5))
+        name = k.lstrip("/").split(".")[0]
+        if not inside and name not in PARTS:
+            w = max(w, FLOOR_BLOCK if name in BLOCKS else FLOOR_INLINE)
+        weights[k] = min(LEAST, w)
+    weights.pop("?", None)                             # tags of any name weigh what unknown ones do
+    return weights
+
+
+def learn(pages: list[str], counts: dict[str, tuple[int, int]] | None = None) -> dict[str, float]:
+    """Tag weights corrected on labelled pages, from counts over all of them (else over these); empty if none is labelled."""
+    labelled = [x for x in map(label, pages) if x]
+    weights = initial(counted(labelled) if counts is None else counts)
     for _ in range(ROUNDS):
         wrong = 0
         for found, (a, b) in labelled:
@@ -206,10 +257,11 @@ def learn(pages: list[str]) -> dict[str, float]:
             if words(a, b) == words(c, d):
                 continue
             wrong += 1
-            change = Counter(found[i].key for i in range(a, b) if found[i].key is not None)
-            change.subtract(Counter(found[i].key for i in range(c, d) if found[i].key is not None))
+            tags = lambda x, y: Counter(found[i].key for i in range(x, y) if found[i].key in weights and not found[i].out)
+            change = tags(a, b)
+            change.subtract(tags(c, d))
             for k, n in change.items():
-                weights[k] = min(LEAST, weights[k] + (n > 0) - (n < 0))
+                weights[k] = min(LEAST, weights[k] + .25 * ((n > 0) - (n < 0)))
         if not wrong:
             break
     return weights
@@ -233,17 +285,39 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(x for x in texts if x)
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", train_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from the labelled pages of smallest id hash, ``train_pages`` at most."""
-    prepare(pages.sparkSession)
-    ids = [r[0] for r in pages.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(train_pages).collect()]
+def train(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> dict[str, float]:
+    """Weights counted over every labelled page and corrected on ``train_pages`` different ones.
 
-    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:                              # the driver needs the tags and word counts only
-            yield pa.RecordBatch.from_arrays([pa.array([_skeleton(x or "") for x in b.column(0).to_pylist()], pa.string())], names=["page"])
+    Tasks add up their tags' counts, of a fixed set of names.  The sample is the
+    labelled skeletons of the smallest hashes: each task sends its own smallest,
+    equal ones once, so neither a repeated page nor a repeated id fills it.
+    """
+    prepare(pages.sparkSession)
 
-    sample = pages.where(F.col(id_col).isin(ids)).select(html_col).mapInArrow(slim, "page string")
-    return learn(sorted(r[0] for r in sample.collect()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, smallest = Counter(), {}
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                found = label(x or "")
+                if found is None:
+                    continue
+                for k, (i, o) in counted([found]).items():
+                    total["i " + k] += i
+                    total["o " + k] += o
+                page = _skeleton(x)
+                smallest[xxhash.xxh64_intdigest(page) >> 1] = page
+                if len(smallest) > 2 * train_pages:
+                    smallest = dict(sorted(smallest.items())[:train_pages])
+        rows = [(k, n, None) for k, n in sorted(total.items())] + [("page", h, p) for h, p in sorted(smallest.items())[:train_pages]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
+                                         names=["kind", "n", "page"])
+
+    found = keep(pages.select(html_col).mapInArrow(run, "kind string, n long, page string"), "labelled_pages")
+    counts: dict[str, list[int]] = {}
+    for r in found.where("kind != 'page'").groupBy("kind").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["kind"][2:], [0, 0])[r["kind"][0] == "o"] = r["n"]
+    sample = found.where("kind = 'page'").groupBy("n").agg(F.min("page").alias("page")).orderBy("n").limit(train_pages)
+    return learn([r["page"] for r in sample.collect()], {k: tuple(v) for k, v in counts.items()})
 
 
 def _skeleton(page: str) -> str:
@@ -261,7 +335,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, id_col: s
     ``weights`` are learned from the pages themselves if none are given.
     """
     prepare(pages.sparkSession)
-    weights = train(pages, html_col, id_col) if weights is None else weights
+    weights = train(pages, html_col) if weights is None else weights
     narrow = pages.select(id_col, url_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,43 @@ def test_best_region_equals_brute_force():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i, j in itertools.combinations(range(10), 2))])
 
 
+INSIDE = {
+    "named inline": ('<p>The <span class="search-term">fox</span> by <a class="related-link" href=x>Jane Roe</a> ran</p>', "The fox by Jane Roe ran"),
+    "names that only hold one": ('<p class="share-price">ten dollars</p><div class="notice-of-sale">sold</div>', "ten dollars\n\nsold"),
+    "a list of links": ("<ul>" + "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(12)) + "</ul>", "\n\n".join(f"item {i}" for i in range(12))),
+    "a table": ("<table>" + "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(15)) + "</table>", "\n\n".join(f"{i}\n\nx" for i in range(15))),
+    "headings": ("".join(f"<h3>Part {i}</h3>" for i in range(15)), "\n\n".join(f"Part {i}" for i in range(15))),
+    "quotes": ("".join(f"<blockquote>quote {i}</blockquote>" for i in range(8)), "\n\n".join(f"quote {i}" for i in range(8))),
+    "formulas": ("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows</p>", "as x=2 shows"),
+    "what stands in for another": ("<p><noscript>no script</noscript> <object data=x>an object</object> <canvas>a canvas</canvas> <svg><text>a label</text></svg></p>",
+                                   "no script an object a canvas a label"),
+    "a side note": ("<aside><ul>" + "<li>x</li>" * 30 + "</ul></aside><div class='reader-comments'><p>me first</p></div><div class='share-buttons'>tell all</div>", ""),
+}
+
+
+@pytest.mark.parametrize("kind", INSIDE)
+def test_article_text_is_whole(kind):
+    """Of tags that no labelled article holds, and that menus and junk of the labelled pages do hold."""
+    weights = pt.learn([pt._skeleton(p) for p in [*pages(), *(p.replace("<div class=ad>", "<div><h3><a>") for p in pages())]])
+    mid, text = INSIDE[kind]
+    first, last = "An opening paragraph with a fair number of words in it.", "A closing paragraph with a fair number of words in it too."
+    page = (f"<html><body><nav><ul><li><a>Menu</a></li><li><a>Other menu</a></li></ul></nav><article><h1>Title</h1><p>{first}</p>{mid}<p>{last}</p></article>"
+            "<footer>copyright</footer></body></html>")
+    assert pt.main_text(page, weights) == "\n\n".join(x for x in ("Title", first, text, last) if x)
+
+
+def test_weights_are_counted_over_all_labelled_pages(spark):
+    """A repeated id or page neither fills the sample nor reaches the driver; custom tags are one."""
+    many = [f"<body><article><p>one two {i}</p><x-{i}>three</x-{i}></article><p>tail</p></body>" for i in range(300)]
+    rows = [(7, p) for p in many] + [(7, many[0])] * 500 + [(i, "<p>not labelled at all") for i in range(100)] + [(None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(6)
+    got = pt.train(df, train_pages=20)
+    labelled = [pt.label(p) for p in [*many, *[many[0]] * 500]]
+    assert set(got) == set(pt.initial(pt.counted(labelled))) == {"body", "/body", "article", "/article", "p", "/p"}
+    assert pt.counted(labelled)["p"] == (800, 800) and pt.counted(labelled)["?"] == (1600, 0)
+    assert pt.train(df.limit(0)) == {}
+
+
 def test_pages_table(spark):
     rows = [(i, f"u{i}", p, 1) for i, p in enumerate(pages())] + [(50, None, None, 1), (51, "u", "", 1), (None, "n", PAGE, 1), (3, "u3", pages()[3], 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int").repartition(2)
