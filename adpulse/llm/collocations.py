@@ -68,6 +68,7 @@ class Rows:
         index: dict[bytes, int] = {_END: 0}
         flat = (b" " + _END + b" ").join(texts).translate(_TABLE).replace(_END, b" " + _END + b" ").split()
         raw = np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int64, len(flat))
+        del flat
         words, number = _in_order([w for w in index if w != _END])
         first = np.r_[0, number][raw]
         columns = np.zeros((max_words, len(first)), np.int32)
@@ -127,11 +128,16 @@ def _distinct(columns: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarra
     n = columns.shape[1]
     if not n:
         return columns, np.zeros(0, np.int64)
-    order = np.lexsort(_keys(columns))
-    columns = columns[:, order]
-    at = np.flatnonzero(np.r_[True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)])
+    keys = _keys(columns)
+    order = np.lexsort(keys)
+    new = np.zeros(n, bool)
+    new[0] = True
+    while keys:                                    # one sorted key at a time, and no sorted copy of the rows
+        key = keys.pop()[order]
+        new[1:] |= key[1:] != key[:-1]
+    at = np.flatnonzero(new)
     total = np.diff(np.r_[at, n]) if counts is None else np.add.reduceat(counts[order], at)
-    return columns[:, at], total
+    return columns[:, order[at]], total
 
 
 def merged(blobs: list[bytes], max_words: int) -> Rows:
@@ -143,13 +149,16 @@ def merged(blobs: list[bytes], max_words: int) -> Rows:
         for w in words:
             index.setdefault(w, len(index))
     words, number = _in_order(list(index))
-    columns = []
-    for own, p in zip(lists, parts):
+    counts = np.concatenate([np.frombuffer(p[2], np.int64) for p in parts])
+    columns, at = np.empty((max_words, len(counts)), np.int32), 0
+    for i, own in enumerate(lists):
+        p, parts[i] = parts[i], None
         new = np.r_[0, number[np.fromiter((index[w] for w in own), np.int64, len(own))]].astype(np.int32)
         small = np.ascontiguousarray(np.frombuffer(p[1], np.uint8).reshape(max_words, 4, -1).transpose(0, 2, 1)).view(np.uint32)
-        columns.append(new[small.reshape(max_words, -1)])
-    counts = np.concatenate([np.frombuffer(p[2], np.int64) for p in parts])
-    return Rows(words, *_distinct(np.concatenate(columns, axis=1), counts))
+        small = small.reshape(max_words, -1)
+        columns[:, at: at + small.shape[1]] = new[small]
+        at += small.shape[1]
+    return Rows(words, *_distinct(columns, counts))
 
 
 def phrases(rows: Rows, min_count: int) -> Iterator[tuple[int, bytes, int, bool]]:

@@ -189,3 +189,13 @@ def test_learned_weights_of_toxicity_equal_brute_force(spark):
     slope = np.r_[(x * r).T @ d + nb.PENALTY * w, d.sum()]
     start = share * (.5 - y)
     assert np.linalg.norm(slope) < 1e-3 * np.linalg.norm(np.r_[(x * r).T @ start, start.sum()])
+
+
+def test_ngrams_across_block_borders(monkeypatch):
+    text = np.frombuffer(bytes(np.random.default_rng(9).integers(97, 123, 700).astype(np.uint8)), np.uint8)
+    codes = lambda: np.sort(np.concatenate(list(nb.ngrams(text))))
+    whole = codes()
+    model = nb.Model(np.unique(whole)[::3], np.ones(len(np.unique(whole)[::3])), -3.0)
+    score = model.score(text)
+    monkeypatch.setattr(nb, "_BLOCK", 64)
+    assert np.array_equal(codes(), whole) and model.score(text) == score

@@ -109,6 +109,16 @@ def test_runs_cover_each_window_once_and_agree():
     assert (end - start).max() <= s.MAX_RUN
 
 
+def test_runs_across_block_borders(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (700, 30, 900, 1)]
+    offsets, flat = np.cumsum([0, *map(len, docs)]), np.frombuffer(b"".join(docs), np.uint8)
+    windows = lambda: [(i, v) for a, b, v in zip(*s.runs(flat, offsets, 50)) for i in range(a, b)]
+    whole = windows()
+    monkeypatch.setattr(s, "_BLOCK", 64)
+    assert windows() == whole and len(whole) == 651 + 851
+
+
 @pytest.mark.parametrize("options", [{}, {"part_bytes": 700, "shard_bytes": 120, "hot_parts": 2}])
 def test_digests_equal_brute_force(spark, options):
     rows = corpus(np.random.default_rng(7))
