@@ -243,33 +243,41 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 409
     are walked side by side, and eight bytes are compared at a time.
     """
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     word = np.ndarray((n + cap + 16,), "<u8", np.concatenate((text, np.zeros(cap + 24, np.uint8))).tobytes(), strides=(1,))
-    before = np.full(n, -1, np.int64)
+    place = np.full(n + 1, n, np.int32)              # in the array; the end of the text bounds nothing
+    place[sa] = np.arange(n, dtype=np.int32)
+    stride = -(-n // lanes)
+    lanes = -(-n // stride)
+
+    def steps(values: np.ndarray, fill: int) -> np.ndarray:
+        """What the stretches need at each step, side by side."""
+        return np.r_[values, np.full(lanes * stride - n, fill, np.int32)].reshape(lanes, stride).T.copy()
+
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.full(n + 1, n, np.int64)              # in the array; the end of the text bounds nothing
-    place[sa] = np.arange(n)
-    shared = np.zeros(n, np.int64)
-    stride = -(-n // lanes) if n else 0
-    at = np.arange(0, n, stride) if n else np.zeros(0, np.int64)
-    length = np.zeros(len(at), np.int64)
-    p = np.full(len(at), n - 1, np.int64)
+    before, own = steps(before, -1), steps(place[:n], 0)
+    shared = np.zeros((stride, lanes), np.int32)
+    at = np.arange(lanes) * stride
+    length, p = np.zeros(lanes, np.int64), np.full(lanes, n - 1, np.int64)
     for step in range(stride):
-        i = at + step
-        if i[-1] >= n:
-            i = i[i < n]
-            length, p = length[: len(i)], p[: len(i)]
-        length = np.where(place[p + 1] < place[i], np.maximum(length - 1, 0), 0)
-        p = before[i]
+        length = np.where(place[p + 1] < own[step], np.maximum(length - 1, 0), 0)
+        p = before[step].astype(np.int64)
         length[p < 0] = 0
         todo = np.flatnonzero(p >= 0)
+        i, j = at[todo] + step, p[todo]
         while len(todo):
-            x = word[i[todo] + length[todo]] ^ word[p[todo] + length[todo]]
-            low = x & (~x + np.uint64(1))
-            length[todo] += np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 3)
-            todo = todo[(x == 0) & (length[todo] < cap)]
+            known = length[todo]
+            x = word[i + known] ^ word[j + known]
+            same = x == 0
+            known += np.where(same, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+            length[todo] = known
+            same &= known < cap
+            todo, i, j = todo[same], i[same], j[same]
         length = np.minimum(length, cap)
-        shared[i] = length
-    return shared[sa]
+        shared[step] = length
+    return shared.T.reshape(-1)[:n].astype(np.int64)[sa]
 
 
 class _Shard:
@@ -303,9 +311,9 @@ class _Shard:
         fixed = np.ndarray((len(self.text) - self.window + 1,), f"S{self.window}", self.text.tobytes(), strides=(1,))
         return fixed[self.spot]
 
-    def result(self) -> list[np.ndarray]:
+    def result(self) -> np.ndarray:
         """The smallest id of each window, string by string."""
-        return np.split(self.least[self.of[self.place]], np.cumsum(self.n_windows)[:-1])
+        return self.least[self.of[self.place]]
 
 
 def _merge(shards: list[_Shard]) -> None:
@@ -323,7 +331,13 @@ def _merge(shards: list[_Shard]) -> None:
 
 
 def smallest_ids(strings: list[bytes], least: np.ndarray, route: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(positions, smallest id of each of their windows) over all the distinct strings.
+    """(positions, smallest id of each of their windows) over all the distinct strings."""
+    for at, found, n in _smallest(strings, least, route, window, shard_bytes):
+        yield at, np.split(found, np.cumsum(n)[:-1])
+
+
+def _smallest(strings: list[bytes], least: np.ndarray, route: np.ndarray, window: int, shard_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, smallest id of each of their windows end to end, windows of each) over all the distinct strings.
 
     Strings with equal routes stay together: in a shard, or in shards that are merged.
     """
@@ -346,10 +360,15 @@ def smallest_ids(strings: list[bytes], least: np.ndarray, route: np.ndarray, win
         if len(shards) > 1:
             _merge(shards)
         for a, b, s in zip(cuts, cuts[1:], shards):
-            yield order[a:b], s.result()
+            yield order[a:b], s.result(), s.n_windows
         i = j
 
 
+def _laid(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of ``n`` numbers each, end to end."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 # --- Spark jobs ------------------------------------------------------------------
 
 def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str, window: int, part_bytes: int, shard_bytes: int, hot_parts: int) -> DataFrame:
@@ -416,15 +435,17 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         np.minimum.at(low, which, least)
         way = np.zeros(len(strings), np.uint64)
         way[which] = route
-        smallest: list = [None] * len(strings)
-        for at, got in smallest_ids(strings, low, way, window, shard_bytes):
-            for i, g in zip(at.tolist(), got):
-                smallest[i] = g
+        windows = np.fromiter(map(len, strings), np.int64, len(strings)) - (window - 1)
+        first = np.cumsum(windows) - windows
+        smallest = np.empty(windows.sum(), np.int64)
+        for at, got, n in _smallest(strings, low, way, window, shard_bytes):
+            smallest[_laid(first[at], n)] = got
         out, at = [], 0
         for part, n in zip(table.column("part").to_pylist(), count):
-            bits = [smallest[which[i]] < least[i] for i in range(at, at + n)]
+            of, own = which[at: at + n], least[at: at + n]
             at += n
-            out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(np.concatenate(bits)))))
+            bits = smallest[_laid(first[of], windows[of])] < np.repeat(own, windows[of])
+            out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(bits))))
         return _table(out, ("part", "bucket", "blob"))
 
     def cut(table: pa.Table, blobs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -432,22 +453,23 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         removed = np.zeros(len(part.flat), bool)
         if blobs.num_rows:
             part.strings(shared_of(blobs))
-            bits: list = [None] * len(part.string)
             answer = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
             n = np.fromiter(map(len, part.string), np.int64, len(part.string)) - (window - 1)
+            first = np.cumsum(n) - n
+            bits = np.zeros(n.sum(), bool)                            # of the windows, string by string
             for b, p in _bucketed(part.route, buckets):
-                flags = np.unpackbits(np.frombuffer(unpack(answer[b])[0], np.uint8), count=int(n[p].sum())).astype(bool)
-                for i, f in zip(p.tolist(), np.split(flags, np.cumsum(n[p])[:-1])):
-                    bits[i] = f
+                bits[_laid(first[p], n[p])] = np.unpackbits(np.frombuffer(unpack(answer[b])[0], np.uint8), count=int(n[p].sum())).astype(bool)
             later = part.ids[part.doc_] > part.least[part.which]      # this part has the string under a smaller id
             begins = np.zeros(len(part.flat) + 1, np.int64)
             np.add.at(begins, part.start_[later], 1)
             np.add.at(begins, part.end_[later], -1)
             starts = np.cumsum(begins[:-1]) > 0
-            for i in np.flatnonzero(~later).tolist():
-                f = bits[part.which[i]]
-                if f.any():
-                    starts[part.start_[i]: part.end_[i]] |= f
+            hit = np.r_[0, np.cumsum(bits)]
+            some = np.flatnonzero(~later & (hit[first + n] > hit[first])[part.which])
+            for i in range(0, len(some), _BLOCK // 16):
+                of = some[i: i + _BLOCK // 16]
+                k = n[part.which[of]]
+                starts[_laid(part.start_[of], k)[bits[_laid(first[part.which[of]], k)]]] = True
             upto = np.cumsum(starts)
             removed = upto > 0
             removed[window:] = upto[window:] > upto[:-window]
