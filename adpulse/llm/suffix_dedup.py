@@ -47,10 +47,10 @@ from adpulse.llm.runtime import keep, prepare
 WINDOW = 50
 ANCHOR = 16                    # bytes that an anchor hashes
 PART_BYTES = 4 << 20           # text of a part (one document at least)
-SHARD_BYTES = (1 << 21) - 64   # text of a suffix array; positions and ranks have 21 bits
+SHARD_BYTES = 1 << 20    # text of a suffix array; positions and ranks have 21 bits
 MAX_RUN = 4096                 # windows in one string; longer runs (periodic text) are cut
 HOT_PARTS = 4096               # an anchor in more parts than this, or with more text than a shard holds, is dealt out by window
-BUCKET_PARTS = 8               # parts' worth of anchors and strings that a bucket holds, about
+BUCKET_PARTS = 4               # parts' worth of anchors and strings that a bucket holds, about
 _BLOCK = 1 << 20               # positions that a pass looks at together
 _LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 _MASK = (1 << 21) - 1
@@ -291,7 +291,7 @@ class _Shard:
         self.n_windows = size - (window - 1)
         nth = np.arange(self.n_windows.sum()) - np.repeat(np.cumsum(self.n_windows) - self.n_windows, self.n_windows)
         self.place = np.repeat(end - size, self.n_windows) + nth          # of each window, string by string
-        id_ = np.full(len(self.text), _LAST, np.int64)
+        id_ = np.full(len(self.text), np.iinfo(least.dtype).max, least.dtype)
         id_[self.place] = np.repeat(least, self.n_windows)
         real = np.zeros(len(self.text), bool)
         real[self.place] = True
@@ -431,21 +431,25 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
         which, least, route = np.concatenate(which), np.concatenate(least), np.concatenate(route)
         strings = list(index)
         del index
-        low = np.full(len(strings), _LAST, np.int64)
+        once, least = np.unique(least, return_inverse=True)        # ids by their ranks: half the room for each window
+        least = least.astype(np.int32)
+        low = np.full(len(strings), len(once), np.int32)
         np.minimum.at(low, which, least)
         way = np.zeros(len(strings), np.uint64)
         way[which] = route
         windows = np.fromiter(map(len, strings), np.int64, len(strings)) - (window - 1)
         first = np.cumsum(windows) - windows
-        smallest = np.empty(windows.sum(), np.int64)
+        smallest = np.empty(windows.sum(), np.int32)
         for at, got, n in _smallest(strings, low, way, window, shard_bytes):
             smallest[_laid(first[at], n)] = got
         out, at = [], 0
         for part, n in zip(table.column("part").to_pylist(), count):
-            of, own = which[at: at + n], least[at: at + n]
+            bits = [np.zeros(0, bool)]
+            for i in range(at, at + n, 1 << 14):
+                of = which[i: min(i + (1 << 14), at + n)]
+                bits.append(smallest[_laid(first[of], windows[of])] < np.repeat(least[i: i + len(of)], windows[of]))
             at += n
-            bits = smallest[_laid(first[of], windows[of])] < np.repeat(own, windows[of])
-            out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(bits))))
+            out.append((part, table.column("bucket")[0].as_py(), pack(np.packbits(np.concatenate(bits)))))
         return _table(out, ("part", "bucket", "blob"))
 
     def cut(table: pa.Table, blobs: pa.Table, answers: pa.Table) -> pa.Table:
