@@ -22,6 +22,20 @@ OUTLIER_PASS, OUTLIER_WARN = 0.02, 0.05    # anomaly: share of outliers below wh
 RANGE_WARN = 0.01            # range check: share of violations below which it warns
 SCORE_HEALTHY, SCORE_AT_RISK = 90, 70      # governance index bands on the pass rate, percent
 ADS_KEYS = ["date", "hour", "campaign_id", "adgroup_id", "channel"]   # grain of the silver ads table
+ROAS_LABELS = ("HEALTHY", "REBALANCING NEEDED")       # executive headline: above the threshold, and not
+TARGET_LABELS = ("TARGET MET", "SUB-OPTIMAL")         # campaign page
+MESSAGES = {                 # texts of check results; {} stands for a figure or a name
+    "completeness": "Detected {} nulls in {} rows",
+    "completeness_empty": "Null count impossible: Table is empty",
+    "non_negative": "Illegal negative values detected ({} instances)",
+    "range": "Target range [{}, {}] - Violations: {}",
+    "row_count": "Current volume: {} (Baseline: {})",
+    "freshness": "Latency: {}h (SLA Boundary: {}h)",
+    "freshness_empty": "Incomplete batch: No date markers found",
+    "zscore": "Outlier density: {}% ({} rows)",
+    "zscore_flat": "Invariance detected (zero variance baseline)",
+    "referential": "Detected {} orphaned identifiers in {}",
+}
 SOURCE_MAP = {               # source extract per bronze table
     "bronze_ads_performance": "ads_performance.parquet",
     "bronze_ga_events": "ga_events.parquet",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import (
-    MAX_NULL_PCT, MAX_STALENESS_HOURS, MIN_DAILY_ROWS, OUTLIER_PASS, OUTLIER_WARN, RANGE_WARN, ROAS_MAX,
+    MAX_NULL_PCT, MAX_STALENESS_HOURS, MESSAGES, MIN_DAILY_ROWS, OUTLIER_PASS, OUTLIER_WARN, RANGE_WARN, ROAS_MAX,
     SCORE_AT_RISK, SCORE_HEALTHY, ZSCORE_THRESHOLD,
 )
 from adpulse.functions.exprs import fixed, round_half_away, thousands
@@ -78,6 +78,15 @@ def _rows(items: list[Column]) -> Column:
     return F.array(*items) if items else F.array().cast(_ROW_TYPE)
 
 
+def _said(kind: str, *values: Column | str) -> Column:
+    """A result's text with its figures filled in."""
+    texts = MESSAGES[kind].split("{}")
+    cols = [F.lit(texts[0])]
+    for v, text in zip(values, texts[1:], strict=True):
+        cols += [v if isinstance(v, Column) else F.lit(v), F.lit(text)]
+    return F.concat(*cols)
+
+
 def _py_num(v) -> str:
     """How the reference prints a bound: Python ``str`` of the value."""
     return str(v)
@@ -111,10 +120,10 @@ class _Compiler:
                 f"null_check_{col}", "completeness", self.table, col,
                 F.when(pct <= MAX_NULL_PCT, "PASS").otherwise("FAIL"),
                 round_half_away(pct, 4), MAX_NULL_PCT,
-                F.concat(F.lit("Detected "), thousands(F.col(a)), F.lit(" nulls in "), thousands(n), F.lit(" rows")),
+                _said("completeness", thousands(F.col(a)), thousands(n)),
             ))
         empty = _row("completeness", "completeness", self.table, "*", F.lit("FAIL"), F.lit(0.0), 0,
-                     F.lit("Null count impossible: Table is empty"))
+                     _said("completeness_empty"))
         self.rows.append(F.when(n == 0, F.array(empty)).otherwise(_rows(per_col)))
 
     def _non_negative(self, c: Check) -> None:
@@ -125,7 +134,7 @@ class _Compiler:
             out.append(_row(
                 f"non_negative_{col}", "validity", self.table, col,
                 F.when(F.col(a) == 0, "PASS").otherwise("FAIL"), F.col(a), 0,
-                F.concat(F.lit("Illegal negative values detected ("), thousands(F.col(a)), F.lit(" instances)")),
+                _said("non_negative", thousands(F.col(a))),
             ))
         self.rows.append(_rows(out))
 
@@ -144,10 +153,9 @@ class _Compiler:
         v, n = F.col(a), F.col("__n")
         pct = F.when(n > 0, v.cast("double") / n.cast("double")).otherwise(F.lit(0.0))
         status = F.when(v == 0, "PASS").when(pct < RANGE_WARN, "WARN").otherwise("FAIL")
-        label = f"Target range [{_py_num(c.min_val)}, {_py_num(c.max_val)}] - Violations: "
         self.rows.append(F.array(_row(
             f"range_check_{col}", "validity", self.table, col, status, v, 0,
-            F.concat(F.lit(label), thousands(v)),
+            _said("range", _py_num(c.min_val), _py_num(c.max_val), thousands(v)),
         )))
 
     def _row_count(self, c: Check) -> None:
@@ -155,7 +163,7 @@ class _Compiler:
         self.rows.append(F.array(_row(
             f"row_count_{self.table}", "consistency", self.table, "*",
             F.when(n >= c.min_rows, "PASS").otherwise("FAIL"), n, c.min_rows,
-            F.concat(F.lit("Current volume: "), thousands(n), F.lit(f" (Baseline: {c.min_rows:,})")),
+            _said("row_count", thousands(n), f"{c.min_rows:,}"),
         )))
 
     def _unique(self, c: Check) -> None:
@@ -182,12 +190,12 @@ class _Compiler:
         ).cast("double") / 3600.0
         name = f"freshness_{self.table}"
         missing = _row(name, "freshness", self.table, col, F.lit("FAIL"), F.lit(0.0), MAX_STALENESS_HOURS,
-                       F.lit("Incomplete batch: No date markers found"))
+                       _said("freshness_empty"))
         found = _row(
             name, "freshness", self.table, col,
             F.when(hours <= MAX_STALENESS_HOURS, "PASS").otherwise("WARN"), round_half_away(hours, 1),
             MAX_STALENESS_HOURS,
-            F.concat(F.lit("Latency: "), fixed(hours, 1), F.lit(f"h (SLA Boundary: {MAX_STALENESS_HOURS}h)")),
+            _said("freshness", fixed(hours, 1), str(MAX_STALENESS_HOURS)),
         )
         self.rows.append(F.when(F.col(a).isNull(), F.array(missing)).otherwise(F.array(found)))
 
@@ -214,12 +222,12 @@ class _Compiler:
             ]
             name = f"anomaly_{col}"
             flat = _row(name, "anomaly", self.table, col, F.lit("PASS"), F.lit(0.0), ZSCORE_THRESHOLD,
-                        F.lit("Invariance detected (zero variance baseline)"))
+                        _said("zscore_flat"))
             pct = F.try_divide(F.col(out).cast("double"), F.col(cnt).cast("double"))
             scored = _row(
                 name, "anomaly", self.table, col,
                 F.when(pct < OUTLIER_PASS, "PASS").when(pct < OUTLIER_WARN, "WARN").otherwise("FAIL"), F.col(out), ZSCORE_THRESHOLD,
-                F.concat(F.lit("Outlier density: "), fixed(pct * 100.0, 2), F.lit("% ("), thousands(F.col(out)), F.lit(" rows)")),
+                _said("zscore", fixed(pct * 100.0, 2), thousands(F.col(out))),
             )
             self.rows.append(
                 F.when(F.col(cnt) == 0, _rows([]))
@@ -246,7 +254,7 @@ def _referential(c: Check, child: DataFrame, parent: DataFrame) -> DataFrame:
     return orphans.select(F.inline(F.array(_row(
         f"ref_integrity_{col}", "consistency", c.table, col,
         F.when(o == 0, "PASS").otherwise("WARN"), o, 0,
-        F.concat(F.lit("Detected "), o.cast("string"), F.lit(f" orphaned identifiers in {c.table}")),
+        _said("referential", o.cast("string"), c.table),
     ))))
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import HEALTHY_ROAS, TARGET_ROAS
+from adpulse.config import HEALTHY_ROAS, ROAS_LABELS, TARGET_LABELS, TARGET_ROAS
 from adpulse.functions.exprs import exact_mean, guarded_ratio, money_sum, open_ratio, round_half_even
 
 def _lit_date(d) -> Column:
@@ -131,7 +131,7 @@ def headline_kpis(campaign_daily: DataFrame, f: Filters = ALL) -> DataFrame:
         guarded_ratio("total_clicks", "total_impressions").alias("ctr"),
         guarded_ratio("total_spend", "total_conversions").alias("cpa"),
         _nz(F.col("active_campaigns")).cast("long").alias("active_campaigns"),
-        F.when(roas > HEALTHY_ROAS, "HEALTHY").otherwise("REBALANCING NEEDED").alias("roas_status"),
+        F.when(roas > HEALTHY_ROAS, ROAS_LABELS[0]).otherwise(ROAS_LABELS[1]).alias("roas_status"),
     )
 
 
@@ -228,7 +228,7 @@ def campaign_scope_kpis(campaign_daily: DataFrame, f: Filters = ALL) -> DataFram
         "num_campaigns", "total_revenue", "total_spend", "total_conversions",
         roas.alias("avg_roas"),
         guarded_ratio("total_spend", "total_conversions").alias("avg_cpa"),
-        F.when(roas > TARGET_ROAS, "TARGET MET").otherwise("SUB-OPTIMAL").alias("roas_status"),
+        F.when(roas > TARGET_ROAS, TARGET_LABELS[0]).otherwise(TARGET_LABELS[1]).alias("roas_status"),
     )
 
 
