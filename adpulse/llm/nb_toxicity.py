@@ -27,7 +27,7 @@ from adpulse.llm.training import labelled_sample
 
 NGRAMS = (4, 7)          # shortest and longest, in bytes
 MIN_DOCS = 5             # training texts that an n-gram must occur in
-SMOOTHING = 1.0
+SMOOTHING = 2.0          # texts of either class added to the counts of an n-gram
 PENALTY = 0.1            # of squared weights
 STEPS = 500              # at most; descent ends where the gradient is small
 MEMORY = 10              # steps that the descent remembers
