@@ -64,6 +64,34 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def word_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each word's number, the rows' offsets among the words, and the distinct words (binary) in the order of their numbers."""
+    flat, offsets = utf8(column)
+    rows = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(flat))
+    lists = pc.ascii_split_whitespace(rows)
+    word, ends = lists.flatten().cast(pa.large_binary()), np.asarray(pc.list_value_length(lists).to_numpy(zero_copy_only=False), np.int64).cumsum()
+    some = pc.binary_length(word).to_numpy(zero_copy_only=False) > 0     # white space at the ends of a row gives empty words
+    if not some.all():
+        word, ends = word.filter(pa.array(some)), np.r_[0, np.cumsum(some)][ends]
+    coded = word.dictionary_encode()
+    return coded.indices.to_numpy(), np.r_[0, ends].astype(np.int64), coded.dictionary
+
+
+def joined_words(number: np.ndarray, offsets: np.ndarray, words: pa.Array) -> pa.Array:
+    """Rows of words, given by their numbers, each row's joined by one space."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.take(pa.array(number))), pa.scalar(b" ", words.type))
+
+
+def joined(words: pa.Array) -> bytes:
+    """All words, joined by one space."""
+    return joined_words(np.arange(len(words)), np.array([0, len(words)]), words)[0].as_py()
+
+
+def word_list(words: pa.Array) -> list[bytes]:
+    """Words (none is empty or holds white space) one by one; many times as fast as ``to_pylist``."""
+    return joined(words).split()
+
+
 def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with further columns at its end (names may repeat)."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])

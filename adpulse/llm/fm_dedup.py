@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from adpulse.llm.arrowtext import utf8
+from adpulse.llm.arrowtext import joined, joined_words, word_list, word_numbers
 from adpulse.llm.fm_index import FMIndex
 from adpulse.llm.parts import pack, unpack, write_parts
 from adpulse.llm.runtime import keep, prepare
@@ -49,6 +49,7 @@ SHARD_WORDS = 1 << 18          # words of an index (one anchor's strings at leas
 MAX_RUN = 256                  # windows in one string; longer runs (periodic text) are cut
 BUCKET_PARTS = 8               # parts' worth of anchors and strings that a bucket holds, about
 _BLOCK = 1 << 20               # words that a pass looks at together
+_BLOB_BYTES = 16 << 20         # of blobs whose words are numbered together
 _LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 _ONE = np.uint64(1)
 
@@ -75,16 +76,9 @@ class _Part:
         ids = np.asarray(table.column("_id").fill_null(_LAST).to_numpy(), np.int64) if table.num_rows else np.zeros(0, np.int64)
         order = np.lexsort((table.column("_row").to_numpy(), ids))
         self.table, self.ids, self.window = table.take(pa.array(order)), ids[order], window
-        flat, offsets = utf8(self.table.column("_text"))
-        data, index, found = flat.tobytes(), {}, [np.zeros(0, np.int32)]
-        for s, e in zip(offsets.tolist(), offsets[1:].tolist()):
-            words = data[s:e].split()
-            found.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
-        self.words = list(index)
-        self.n = np.fromiter(map(len, found[1:]), np.int64, len(found) - 1)
-        self.offsets = np.r_[0, np.cumsum(self.n)]
-        self.flat = np.concatenate(found)
-        self.key = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.flat, self.offsets, self.words = word_numbers(self.table.column("_text"))
+        self.n, self.small = np.diff(self.offsets), np.zeros(len(self.words), np.int32)
+        self.key = np.fromiter(map(xxhash.xxh64_intdigest, word_list(self.words)), np.uint64, len(self.words))
         self._find_runs()
 
     def _find_runs(self) -> None:
@@ -161,18 +155,21 @@ class _Part:
         data, index = self.flat.tobytes(), {}
         spans = zip((4 * start).tolist(), (4 * (end + self.window - 1)).tolist())
         self.which = np.fromiter((index.setdefault(data[s:e], len(index)) for s, e in spans), np.int64, len(start))
-        self.string = [np.frombuffer(x, np.int32) for x in index]
-        first = np.unique(self.which, return_index=True)[1]      # runs lie by id: the first has the smallest
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(np.r_[-1, self.which])))      # runs lie by id: the first has the smallest
+        self.begin, self.size = start[first], end[first] + self.window - 1 - start[first]    # a string stands where its first run does
         self.least, self.route = self.ids[doc[first]], route[first]
         self.run_start, self.run_end, self.run_doc = start, end, doc
 
     def blob(self, of: np.ndarray) -> bytes:
         """Some of the strings: their words, the number of words of each, smallest ids and routes."""
-        size = np.fromiter((len(self.string[i]) for i in of.tolist()), np.int64, len(of))
-        flat = np.concatenate([self.string[i] for i in of.tolist()])
-        used, small = np.unique(flat, return_inverse=True)
-        planes = small.astype(np.uint32).view(np.uint8).reshape(-1, 4).T               # bytes of one weight pack well together
-        return pack(b" ".join([self.words[u] for u in used.tolist()]), planes, size.astype(np.uint32), self.least[of], self.route[of])
+        size = self.size[of]
+        flat = self.flat[np.repeat(self.begin[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        nth = np.arange(len(flat), dtype=np.int32)
+        self.small[flat] = nth
+        used = np.sort(flat[self.small[flat] == nth])                                  # each word once
+        self.small[used] = nth[: len(used)]
+        planes = self.small[flat].view(np.uint8).reshape(-1, 4).T                      # bytes of one weight pack well together
+        return pack(joined(self.words.take(pa.array(used))), planes, size.astype(np.uint32), self.least[of], self.route[of])
 
     def covered(self, later: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Which words go: ``later`` runs whole, and of the others the windows that ``bits`` tells, string by string."""
@@ -180,7 +177,7 @@ class _Part:
         np.add.at(begins, self.run_start[later], 1)
         np.add.at(begins, self.run_end[later], -1)
         starts = np.cumsum(begins[:-1]) > 0
-        n = np.fromiter(map(len, self.string), np.int64, len(self.string)) - (self.window - 1)
+        n = self.size - (self.window - 1)
         first = np.cumsum(n) - n
         hit = np.r_[0, np.cumsum(bits)]
         some = np.flatnonzero(~later & (hit[first + n] > hit[first])[self.which])
@@ -195,10 +192,27 @@ class _Part:
         return gone
 
 
-def _read_blob(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read_blob(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words, planes, size, least, route = unpack(blob)
     small = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
-    return words.split(b" "), small, np.frombuffer(size, np.uint32).astype(np.int64), np.frombuffer(least, np.int64), np.frombuffer(route, np.uint64)
+    return words, small, np.frombuffer(size, np.uint32).astype(np.int64), np.frombuffer(least, np.int64), np.frombuffer(route, np.uint64)
+
+
+def _renumbered(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """What each blob holds; instead of its words, their numbers from 1 on, the same in all blobs."""
+    known, i = pa.array([], pa.large_binary()), 0
+    while i < len(blobs):
+        some, filled = [], 0
+        while i < len(blobs) and filled < _BLOB_BYTES:
+            some.append(_read_blob(blobs[i]))
+            filled += len(some[-1][0]) + some[-1][1].nbytes
+            i += 1
+        number, offsets, words = word_numbers(pa.array([x[0] for x in some], pa.large_binary()))
+        coded = pa.concat_arrays([known, words]).dictionary_encode()      # known words keep their numbers
+        to = coded.indices.to_numpy()[len(known):] + np.int32(1)
+        known = coded.dictionary
+        for (_, *others), s, e in zip(some, offsets.tolist(), offsets[1:].tolist()):
+            yield to[number[s:e]], *others
 
 
 def smallest_ids(strings: list[np.ndarray], least: np.ndarray, route: np.ndarray, window: int, shard_words: int = SHARD_WORDS) -> np.ndarray:
@@ -272,12 +286,9 @@ def _shared_anchors(table: pa.Table, shard_words: int) -> pa.Table:
 
 def _judged(table: pa.Table, window: int, shard_words: int) -> pa.Table:
     """Answers each part which windows of its strings some document with a smaller id has."""
-    numbers: dict[bytes, int] = {}
     index: dict[bytes, int] = {}
     which, least, route = [], [], []
-    for blob in table.column("blob").to_pylist():
-        words, small, size, low, way = _read_blob(blob)
-        new = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.int32, len(words))
+    for new, small, size, low, way in _renumbered(table.column("blob").to_pylist()):
         data = new[small].tobytes()
         ends = (4 * np.cumsum(size)).tolist()
         which.append(np.fromiter((index.setdefault(data[e - 4 * n: e], len(index)) for n, e in zip(size.tolist(), ends)), np.int64, len(size)))
@@ -338,7 +349,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
             part.strings(shared_of(blobs.filter(pa.array(~answer))))
             answers = blobs.filter(pa.array(answer))
             got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
-            n = np.fromiter(map(len, part.string), np.int64, len(part.string)) - (window - 1)
+            n = part.size - (window - 1)
             first = np.cumsum(n) - n
             bits = np.zeros(n.sum(), bool)
             for b, at in _by_bucket(part.route, buckets):
@@ -359,9 +370,7 @@ def _cut(docs: DataFrame, finish, schema: StructType, id_col: str, text_col: str
 
 def _kept_texts(part: _Part, gone: np.ndarray) -> list[bytes]:
     """Each document's kept words, joined by one space."""
-    word, kept = part.words.__getitem__, part.flat[~gone].tolist()
-    at = np.r_[0, np.cumsum(~gone)][part.offsets].tolist()
-    return [b" ".join(map(word, kept[s:e])) for s, e in zip(at, at[1:])]
+    return joined_words(part.flat[~gone], np.r_[0, np.cumsum(~gone)][part.offsets], part.words).to_pylist()
 
 
 def _removed(part: _Part, gone: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 The text is a sequence of word numbers in which 0 ends a string.  The index holds
 the Burrows-Wheeler transform of the text in a Huffman-shaped wavelet tree (about
 as many bits a word as the words' entropy, each level a packed bitmap with block
-ranks), the first place of each word, and where suffixes cease to share their
+ranks, all zeros before all ones), the first place of each word, and where suffixes cease to share their
 first words.  Suffixes are ordered by ``limit`` + 1 words at least, which is all
 that searches for matches of ``limit`` words look at.
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_ONE = np.uint64(1)
+
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` ordered by their first ``depth`` numbers (at least), by prefix doubling.
@@ -52,30 +54,31 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def code_lengths(frequency: np.ndarray) -> np.ndarray:
-    """Lengths of a Huffman code: two queues, leaves and joined nodes, both by ascending weight."""
+    """Lengths of a Huffman code.
+
+    No joined node weighs less than the two lightest together, so all nodes that
+    weigh no more than that are joined in one round, neighbours by weight.
+    """
     n = len(frequency)
     if n == 1:
         return np.ones(1, np.int64)
-    order = np.argsort(frequency, kind="stable")
-    weight = frequency[order].tolist()
-    parent = [0] * (2 * n - 1)
-    leaf, joined = 0, n
-    for made in range(n, 2 * n - 1):
-        total = 0
-        for _ in range(2):
-            if leaf < n and (joined >= made or weight[leaf] <= weight[joined]):
-                node, leaf = leaf, leaf + 1
-            else:
-                node, joined = joined, joined + 1
-            parent[node] = made
-            total += weight[node]
-        weight.append(total)
-    depth = [0] * (2 * n - 1)
-    for node in range(2 * n - 3, -1, -1):
-        depth[node] = depth[parent[node]] + 1
-    lengths = np.empty(n, np.int64)
-    lengths[order] = depth[:n]
-    return lengths
+    node = np.argsort(frequency, kind="stable")
+    weight = frequency[node]
+    parent, made, rounds = np.zeros(2 * n - 1, np.int64), n, [n]
+    while len(node) > 1:
+        pairs = int(np.searchsorted(weight, weight[0] + weight[1], "right")) // 2
+        new = made + np.arange(pairs)
+        parent[node[: 2 * pairs]] = np.repeat(new, 2)
+        joined = weight[: 2 * pairs].reshape(-1, 2).sum(1)
+        made += pairs
+        rounds.append(made)
+        at = np.searchsorted(weight[2 * pairs:], joined, "right")
+        weight, node = np.insert(weight[2 * pairs:], at, joined), np.insert(node[2 * pairs:], at, new)
+    depth = np.zeros(2 * n - 1, np.int64)
+    for low, high in zip([0, *rounds][-2::-1], rounds[::-1]):      # parents are made in later rounds
+        of = slice(low, min(high, 2 * n - 2))
+        depth[of] = depth[parent[of]] + 1
+    return depth[:n]
 
 
 class WaveletTree:
@@ -89,42 +92,27 @@ class WaveletTree:
         deepest = int(sorted_length[-1])
         step = np.left_shift(1, deepest - sorted_length)           # leaves of the full tree under each code
         left = np.cumsum(step) - step
-        self.code = np.empty(size, np.int64)
-        self.code[canonical] = left >> (deepest - sorted_length)
+        self.code = np.empty(size, np.int32)                       # filled up with zeros to the longest
+        self.code[canonical] = left
         self.short = (deepest - self.length).astype(np.uint8)       # how much shorter than the longest code
         self.short_at = np.arange(deepest, 0, -1)                  # of the codes that end at each level
-        self.branch = np.stack([self.code >> np.maximum(self.length - 1 - level, 0) & 1 for level in range(deepest)]).astype(bool)
         self.bits, self.blocks = [], []
-        self.begin = np.zeros((deepest, size), np.int32)           # of the symbol's node at each level
-        self.before = np.zeros((deepest, size), np.int32)          # ones before that
-        code, length = self.code[sequence], self.length[sequence]
+        self.node = np.zeros((deepest, size), np.int64)            # where the symbol's node begins at each level, and the ones before that
+        rest, here = self.code[sequence], canonical                # codes that go on, and their symbols, in the order of the level
         for level in range(deepest):
-            here = canonical[np.searchsorted(sorted_length, level, "right"):]      # symbols whose codes go on
-            prefix = self.code[here] >> (self.length[here] - level)
-            reach = np.cumsum(frequency[here]) - frequency[here]
+            mask = 1 << (deepest - 1 - level)
+            prefix, bit = self.code[here] >> (deepest - level), rest & mask != 0
             first = np.maximum.accumulate(np.where(np.r_[True, prefix[1:] != prefix[:-1]], np.arange(len(here)), 0))
-            begin = reach[first]
-            bit = (code >> (length - 1 - level) & 1).astype(np.uint8)
+            begin = (np.cumsum(frequency[here]) - frequency[here])[first]
             self._add(bit)
-            ones = np.r_[0, np.cumsum(bit, dtype=np.int64)]
-            self.begin[level, here], self.before[level, here] = begin, ones[begin]
-            # Each node's zeros, then its ones; codes that end here drop out.
-            starts = np.unique(begin)
-            node = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(bit)]))
-            at = np.arange(len(bit))
-            one_rank = ones[:-1] - ones[starts][node]
-            zeros = np.diff(np.r_[starts, len(bit)]) - np.diff(ones[np.r_[starts, len(bit)]])
-            to = starts[node] + np.where(bit == 1, zeros[node] + one_rank, at - starts[node] - one_rank)
-            go_on = length > level + 1
-            kept = np.empty(len(bit), bool)
-            kept[to] = go_on
-            for name, old in (("code", code), ("length", length)):
-                new = np.empty_like(old)
-                new[to] = old
-                if name == "code":
-                    code = new[kept]
-                else:
-                    length = new[kept]
+            self.node[level, here] = begin << 32 | np.r_[0, np.cumsum(bit)][begin]
+            # All zeros, then all ones; codes that end here drop out: they are the smallest.
+            cut = int(np.searchsorted(sorted_length, level + 1, "right"))
+            if cut < size:
+                live, branch = self.code[here] >= left[cut], self.code[here] & mask != 0
+                here = np.r_[here[~branch & live], here[branch & live]]
+                live = rest >= left[cut]
+                rest = np.r_[rest[~bit & live], rest[bit & live]]
 
     def _add(self, bit: np.ndarray) -> None:
         padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
@@ -137,18 +125,18 @@ class WaveletTree:
         """How often each symbol occurs before the place beside it, and whether it stands there."""
         order = np.argsort(self.short[symbol], kind="stable")             # long codes first: those still on their way are a prefix
         symbol, out, stands = symbol[order], place[order].astype(np.int64), np.ones(len(symbol), bool)
+        code = self.code[symbol]
         live = np.searchsorted(self.short[symbol], self.short_at)
         for level, k in enumerate(live.tolist()):
             if not k:
                 break
-            c, pos = symbol[:k], out[:k]
-            at = self.begin[level][c] + pos
-            block, offset = at >> 6, (at & 63).astype(np.uint64)
+            pos, node = out[:k], self.node[level][symbol[:k]]
+            at = (node >> 32) + pos
+            block, here = at >> 6, np.left_shift(1, at & 63).view(np.uint64)
             word = self.bits[level][block]
-            bit = self.branch[level][c]
-            below = word & (np.left_shift(np.uint64(1), offset) - np.uint64(1))
-            ones = self.blocks[level][block] + np.bitwise_count(below) - self.before[level][c]
-            stands[:k] &= (word >> offset & np.uint64(1)).astype(bool) == bit
+            bit = code[:k] & (1 << (len(live) - 1 - level)) != 0
+            ones = self.blocks[level][block] + np.bitwise_count(word & (here - _ONE)) - (node & 0xFFFFFFFF)
+            stands[:k] &= (word & here != 0) == bit
             out[:k] = np.where(bit, ones, pos - ones)
         ranks, there = np.empty_like(out), np.empty_like(stands)
         ranks[order], there[order] = out, stands

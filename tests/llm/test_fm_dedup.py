@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import sys
 
 import numpy as np
 import pytest
 
+from adpulse.llm import arrowtext as a
 from adpulse.llm import fm_dedup as d
 from adpulse.llm import fm_index as f
 
@@ -144,6 +146,71 @@ def test_blocks_and_cut_runs(spark, monkeypatch):
     assert windows(cut) == windows(whole) and len(windows(cut)) == 388 + 288 + 3 and (cut.end - cut.start).max() <= 7
 
 
+def calls(work):
+    """How many calls the interpreter makes."""
+    made = 0
+
+    def count(frame, event, arg):
+        nonlocal made
+        made += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return made
+
+
+def test_no_step_goes_word_by_word():
+    """Words are numbered, and codes found, by operations on whole arrays: the CPU budget leaves no call for each word."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30_000, 2_000)) for _ in range(20)]
+    tables = [pa.table({"_row": range(20), "_id": range(i, 20 + i), "_text": texts}) for i in range(4)]
+    parts = [d._Part(t, 13) for t in tables]
+    n_words = sum(len(p.flat) for p in parts)
+    assert n_words == 160_000 and calls(lambda: [d._Part(t, 13) for t in tables]) < n_words / 20
+    for p in parts:
+        p.strings(np.unique(p.value))
+    blobs = [p.blob(np.arange(0, len(p.route), 40)) for p in parts]
+    held = sum(len(d._read_blob(b)[0].split()) for b in blobs)
+    table = d._rows([(i, 0, b) for i, b in enumerate(blobs)])
+    assert held > 10_000 and calls(lambda: d._judged(table, 13, d.SHARD_WORDS)) < 1.5 * held
+    assert calls(lambda: [d._kept_texts(p, np.zeros(len(p.flat), bool)) for p in parts]) < n_words / 20
+    assert calls(lambda: f.code_lengths(rng.integers(1, 1000, 20_000))) < 2_000
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_blobs_share_numbers(monkeypatch, limit):
+    monkeypatch.setattr(d, "_BLOB_BYTES", limit)
+    words = [b"a \xff\xfe b", b"b \x1c\x00 a", b"\xc3\xa9 b"]
+    none = np.zeros(0, np.int64)
+    blobs = [d.pack(w, np.zeros((4, 1), np.uint8), none.astype(np.uint32), none, none.astype(np.uint64)) for w in words]
+    assert [x[0].tolist() for x in d._renumbered(blobs)] == [[1, 2, 3], [3, 4, 1], [5, 3]]
+
+
+def test_words_of_any_bytes():
+    """White space is that of the rule, other control characters and bytes that are no UTF-8 belong to words; ends, empty texts and nulls."""
+    import pyarrow as pa
+
+    every = bytes(range(256))
+    rows = [b"  a\xff b\x0b\x0ca\xff ", None, b"", b" \t\r\n", every, "\u00a0x\u2003y \u0085".encode(), b"b"]
+    for column in (pa.array(rows, pa.binary()), pa.chunked_array([pa.array(rows[:3], pa.large_binary()), pa.array(rows[3:], pa.large_binary())]),
+                   pa.array([b"cut off", *rows], pa.binary())[1:]):
+        number, offsets, words = a.word_numbers(column)
+        listed = a.word_list(words)
+        want = [(r or b"").split() for r in rows]
+        assert [[listed[n] for n in number[s:e]] for s, e in zip(offsets, offsets[1:])] == want and listed == words.to_pylist()
+        assert listed == list(dict.fromkeys(w for r in want for w in r))
+        assert a.joined_words(number, offsets, words).to_pylist() == [b" ".join(w) for w in want]
+    for none in (pa.array([], pa.string()), pa.array([None, " "], pa.string())):
+        number, offsets, words = a.word_numbers(none)
+        assert not len(number) and offsets.tolist() == [0] * (len(none) + 1) and a.word_list(words) == []
+        assert a.joined_words(number, offsets, words).to_pylist() == [b""] * len(none)
+
+
 def test_texts_are_cut_and_columns_kept(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     rows = [(2, "und  " + passage + " tail", 5, "k"), (1, "prefix\n" + passage, 6, None), (3, None, None, "z"), (4, passage, 7, "q"), (5, "a  b", 1, "r")]
